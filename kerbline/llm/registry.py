@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "media")
+MODULES = ("toxicity", "langid", "quality", "bpe", "media")
 
 
 def queries() -> dict:
