@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "langid", "quality", "bpe", "neardup", "media")
+MODULES = ("licenses", "toxicity", "langid", "quality", "decontam", "bpe", "neardup", "media")
 
 
 def queries() -> dict:
