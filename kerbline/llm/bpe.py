@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,11 @@ from pyspark.sql import types as T
 from .common import map_texts, table
 
 #: Words and white-space-free runs kept in a worker's memory before it starts anew.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 350_000
+#: Characters that Python's split takes for white space and the tokenizers don't.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Words of up to so many symbols are merged by scanning, longer ones with a heap.
+SCANNED = 64
 NEVER = np.int64(2**40)
 
 
@@ -104,7 +109,7 @@ class Codec:
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
         self._tables(model["merges"])
         self.words: dict[str, list[int]] = {}
-        self.runs: dict[str, list[int]] = {}
+        self.runs: dict[str, list[int]] = {a: [i] for a, i in self.added.items()}
         self.fine = np.empty(0, np.int64)
         self.exact_words = self.seen_words = 0
 
@@ -134,7 +139,15 @@ class Codec:
         self.sound = ~clash
         for t in merged[np.argsort(self.rank[merged])]:
             self.sound[t] &= self.sound[self.left[t]] and self.sound[self.right[t]]
-        self.longest = max(len(s.removesuffix(self.suffix)) for s in self.vocab)
+        # The longest token that begins with two given characters.
+        self.longest: dict[str, int] = {}
+        for name in self.vocab:
+            bare = name.removesuffix(self.suffix)
+            self.longest[bare[:2]] = max(len(bare), self.longest.get(bare[:2], 1))
+        self.after: list[dict[int, int]] = [{} for _ in range(n)]  # left token -> right token -> rank
+        self.made: dict[int, int] = {}
+        for (x, y), (r, z) in self.merge.items():
+            self.after[x][y], self.made[r] = r, z
 
     def _edge(self, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         edge, end = [np.arange(self.n)], [np.full(self.n, NEVER)]
@@ -168,16 +181,26 @@ class Codec:
 
     def propose(self, symbols: str) -> list[int] | None:
         """Greedy longest match over a word in byte-level characters; None if a character has no token."""
-        out, at, n, vocab = [], 0, len(symbols), self.vocab
+        out, at, n, get, longest, whole = [], 0, len(symbols), self.vocab.get, self.longest.get, symbols + self.suffix
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                t = vocab.get(symbols[at:end] + self.suffix if end == n else symbols[at:end])
+            end = at + longest(symbols[at : at + 2], 1)
+            if end >= n:
+                t = get(whole[at:])
+                end = n - 1
+            else:
+                t = None
+            if t is not None:
+                out.append(t)
+                return out
+            while end > at:
+                t = get(symbols[at:end])
                 if t is not None:
                     out.append(t)
-                    at = end
                     break
+                end -= 1
             else:
                 return None
+            at = end
         return out
 
     def exact(self, symbols: str) -> list[int]:
@@ -185,6 +208,8 @@ class Codec:
         ids = [self.vocab.get(c) for c in symbols[:-1]] + [self.vocab.get(symbols[-1] + self.suffix)]
         ids = [t for t in ids if t is not None]
         n = len(ids)
+        if n <= SCANNED:
+            return self.scan(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merge.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -202,12 +227,29 @@ class Codec:
                     heapq.heappush(heap, (m[0], p, ids[p], ids[q], m[1]))
         return [t for t in ids if t >= 0]
 
+    def scan(self, ids: list[int]) -> list[int]:
+        """The same merges for a short word, looking for the next one in the list of ranks."""
+        after, made, none = self.after, self.made, len(self.merge) * 2
+        ranks = [after[x].get(y, none) for x, y in zip(ids, ids[1:])]
+        while ranks:
+            r = min(ranks)
+            if r == none:
+                break
+            i = ranks.index(r)
+            z = ids[i] = made[r]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = after[ids[i - 1]].get(z, none)
+            if i < len(ranks):
+                ranks[i] = after[z].get(ids[i + 1], none)
+        return ids
+
     def learn(self, words: list[str]) -> dict[str, list[int]]:
         """Encodes new words together: proposals, one check of all tokens and pairs, exact merges for the rest."""
         if len(self.words) + len(words) > CACHE_ENTRIES:
             self.words.clear()
         self.seen_words += len(words)
-        symbols = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table) for w in words]
+        symbols = [w if w.isascii() and w.isalpha() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table) for w in words]
         made = [self.propose(s) for s in symbols]
         flat = np.array([t for m in made for t in m or (0,)], np.int64)
         sizes = np.array([len(m) if m else 1 for m in made])
@@ -231,36 +273,38 @@ class Codec:
             out[word] = m
         return out
 
-    def normalize(self, text: str) -> str:
-        # Character by character: no special rule for a sigma at a word's end.
-        return self.spaces.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+    def split(self, text: str) -> list[str]:
+        """The runs without white space."""
+        return self.spaces.split(text) if any(c in text for c in SEPARATORS) else text.split()
+
+    def cut(self, run: str) -> list[str]:
+        """The words of a run, normalised: NFC, then lower case character by character, without a special rule for a final sigma."""
+        if not run.isascii():
+            run = unicodedata.normalize("NFC", run).replace("Σ", "σ")
+        run = run.lower()
+        return [run] if run.isalpha() else self.pieces(run)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        parts = [self.is_added.split(t) if "<|" in t else [t] for t in texts]
-        runs = [[p if p in self.added else self.spaces.split(p) for p in ps] for ps in parts]
-        new = set().union(*(p for ps in runs for p in ps if isinstance(p, list)))
+        runs: list[list[str]] = []  # of all texts; an added token is a run of its own
+        for t in texts:
+            if "<|" in t:
+                runs.append([r for p in self.is_added.split(t) for r in ([p] if p in self.added else self.split(p))])
+            else:
+                runs.append(self.split(t))
+        if len(self.runs) > CACHE_ENTRIES:
+            self.runs = {a: [i] for a, i in self.added.items()}
         known = self.runs
-        if len(known) + len(new) > CACHE_ENTRIES:
-            known.clear()
-        new = [r for r in new if r not in known]
-        cut = [self.pieces(self.normalize(r)) for r in new]
+        found = [list(map(known.get, rs)) for rs in runs]
+        holes = [None in ms for ms in found]
+        new = list({r for rs, ms, h in zip(runs, found, holes, strict=True) if h for r, m in zip(rs, ms, strict=True) if m is None})
+        cut = [self.cut(r) for r in new]
         words = set().union(*cut)
         have = {w: m for w in words if (m := self.words.get(w)) is not None}
         if len(have) < len(words):
             have |= self.learn([w for w in words if w not in have])
         for r, ws in zip(new, cut, strict=True):
             known[r] = have[ws[0]] if len(ws) == 1 else [t for w in ws for t in have[w]]
-        out = []
-        for ps in runs:
-            ids: list[int] = []
-            for p in ps:
-                if isinstance(p, list):
-                    for r in p:
-                        ids += known[r]
-                else:
-                    ids.append(self.added[p])
-            out.append(ids)
-        return out
+        return [list(chain.from_iterable(map(known.__getitem__, rs) if h else ms)) for rs, ms, h in zip(runs, found, holes, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         names = self.names
