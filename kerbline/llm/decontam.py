@@ -95,7 +95,8 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int
     pairs = probes.join(small_enough(sig.select("h", "item_id"), n_sig), "h").select("__k", "__n", "item_id").distinct().checkpoint()
     found = texts.select(*keep, *text_key(text), F.col(text).alias("__text")).join(small_enough(pairs, pairs.count()), ["__k", "__n"])
     facts = index.select("item_id", "shingles", "need", F.col("n").alias("n_item"))
-    rows = found.join(small_enough(facts, n_sig), "item_id").withColumn("n_shared", F.size(F.array_intersect("shingles", shingle_texts(words(F.col("__text")), width))))
+    split = found.withColumn("__w", words(F.col("__text"))).drop("__text")  # a column, as an expression inside a lambda is worked out for each shingle
+    rows = split.join(small_enough(facts, n_sig), "item_id").withColumn("n_shared", F.size(F.array_intersect("shingles", shingle_texts(F.col("__w"), width))))
     return rows.where(F.col("n_shared") >= F.col("need")).select(*keep, "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"), "__k", "__n")
 
 
