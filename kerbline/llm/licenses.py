@@ -50,9 +50,9 @@ OTHERS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def normal(text: Column) -> Column:
-    """The words with one space before, between and after them; one space without words."""
-    low = F.translate(F.regexp_replace(text, OTHERS, " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.concat(F.lit(" "), F.trim(low), F.when(F.trim(low) != "", " ").otherwise(""))
+    """The lower-cased words with one space before, between and after them; one space without words."""
+    # Beyond A-Z, lower() changes no word into a phrase: no other letter becomes one of theirs.
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), OTHERS, " ")
 
 
 def spaces(text: Column) -> Column:
@@ -71,7 +71,7 @@ def phrase_columns(n: Column) -> dict[str, Column]:
     before = lambda at: spaces(F.substring(n, F.lit(1), at)) - 1
     any_held = F.greatest(*held.values())
     return {
-        "n_words": F.greatest(spaces(n) - 1, F.lit(0)).cast("long"),
+        "n_words": (spaces(n) - 1).cast("long"),
         "n_base": sum(count.values(), F.lit(0)).cast("long"),
         "first_word": F.when(any_held, before(first)).cast("long"),
         "last_word": F.when(any_held, before(last)).cast("long"),
@@ -146,7 +146,7 @@ p AS ({phrases}),
 spots AS (SELECT rid, label, i FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM w) JOIN p ON array_to_string(w[i:i + size - 1], ' ') = phrase),
 b AS (SELECT rid, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS base FROM spots GROUP BY rid),
 t(label, tokens) AS (VALUES {rows}),
-l AS (SELECT rid, list_distinct({words.format("line")}) AS tokens FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
+l AS (SELECT rid, list_distinct({words.replace("translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "lower({0})").format("line")}) AS tokens FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
 n AS (SELECT rid, label, len(list_intersect(t.tokens, l.tokens)) AS common, len(t.tokens) AS n FROM l CROSS JOIN t),
 m AS (SELECT rid, list(DISTINCT label) AS found, max(common / n) AS best FROM n WHERE common * 100 >= n * {PERCENT} GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
