@@ -31,11 +31,12 @@ from pyspark.sql import types as T
 from .common import map_texts, table
 
 #: Words and white-space-free runs kept in a worker's memory before it starts anew.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 600_000
 #: Characters that Python's split takes for white space and the tokenizers don't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Words of up to so many symbols are merged by scanning, longer ones with a heap.
 SCANNED = 64
+PAIR_MULTIPLY, PAIR_SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
 NEVER = np.int64(2**40)
 
 
@@ -82,6 +83,18 @@ def codec_of(spec: Spec) -> "Codec":
     return _CODECS[spec.key]
 
 
+class Runs(dict):
+    """Token ids of runs; a run met for the first time gets a list that is filled at the end of the chunk."""
+
+    def __init__(self, *known):
+        super().__init__(*known)
+        self.new: dict[str, list[int]] = {}
+
+    def __missing__(self, run: str) -> list[int]:
+        ids = self[run] = self.new[run] = []
+        return ids
+
+
 class Codec:
     def __init__(self, spec: Spec):
         j = json.loads(spec.raw)
@@ -109,8 +122,9 @@ class Codec:
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
         self._tables(model["merges"])
         self.words: dict[str, list[int]] = {}
-        self.runs: dict[str, list[int]] = {a: [i] for a, i in self.added.items()}
-        self.fine = np.empty(0, np.int64)
+        self.runs = Runs({a: [i] for a, i in self.added.items()})
+        # A table of pairs that were checked before; of those that share a place the last stays.
+        self.pair_keys, self.pair_clash = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         self.exact_words = self.seen_words = 0
 
     def _tables(self, merges: list) -> None:
@@ -258,11 +272,15 @@ class Codec:
         pairs = flat[:-1] * self.n + flat[1:]
         inside = np.ones(len(pairs), bool)
         inside[starts[1:] - 1] = False
-        new = np.unique(pairs[inside])
-        new = new[~np.isin(new, self.fine)]
+        slot = (pairs.view(np.uint64) * PAIR_MULTIPLY) >> PAIR_SHIFT
+        new = np.unique(pairs[inside & (self.pair_keys[slot] != pairs)])
         clash = self._clash(new // self.n, new % self.n)
-        self.fine = np.concatenate([self.fine, new[~clash]]) if len(self.fine) < 10**6 else new[~clash]
-        bad[:-1] |= inside & np.isin(pairs, new[clash])
+        at = (new.view(np.uint64) * PAIR_MULTIPLY) >> PAIR_SHIFT
+        known = self.pair_keys[slot] == pairs
+        bad[:-1] |= inside & known & self.pair_clash[slot]
+        rest = np.flatnonzero(inside & ~known)
+        bad[rest] |= clash[np.searchsorted(new, pairs[rest])]
+        self.pair_keys[at], self.pair_clash[at] = new, clash
         out: dict[str, list[int]] = {}
         failed = np.logical_or.reduceat(bad, starts)
         for word, s, m, f in zip(words, symbols, made, failed, strict=True):
@@ -292,19 +310,19 @@ class Codec:
             else:
                 runs.append(self.split(t))
         if len(self.runs) > CACHE_ENTRIES:
-            self.runs = {a: [i] for a, i in self.added.items()}
+            self.runs = Runs({a: [i] for a, i in self.added.items()})
         known = self.runs
-        found = [list(map(known.get, rs)) for rs in runs]
-        holes = [None in ms for ms in found]
-        new = list({r for rs, ms, h in zip(runs, found, holes, strict=True) if h for r, m in zip(rs, ms, strict=True) if m is None})
+        found = [list(map(known.__getitem__, rs)) for rs in runs]
+        new, known.new = known.new, {}
         cut = [self.cut(r) for r in new]
         words = set().union(*cut)
         have = {w: m for w in words if (m := self.words.get(w)) is not None}
         if len(have) < len(words):
             have |= self.learn([w for w in words if w not in have])
-        for r, ws in zip(new, cut, strict=True):
-            known[r] = have[ws[0]] if len(ws) == 1 else [t for w in ws for t in have[w]]
-        return [list(chain.from_iterable(map(known.__getitem__, rs) if h else ms)) for rs, ms, h in zip(runs, found, holes, strict=True)]
+        for ids, ws in zip(new.values(), cut, strict=True):
+            for w in ws:
+                ids += have[w]
+        return [list(chain.from_iterable(ms)) for ms in found]
 
     def decode(self, ids: list[int]) -> str:
         names = self.names
