@@ -1,4 +1,650 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the ride views, each with the same query in DuckDB's SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import domains as D
+from ..functions import geo as G
+from ..functions import rules as R
+from ..operators import analytics as A
+from ..operators import enrich as E
+from ..operators import exports as X
+from ..operators import filters as FL
+from ..operators import graph, spatial
+from ..operators import rides as RD
+from ..operators.filters import EventFilter
+from .adapters import Ride, ctes
+
+c = F.col
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(Ride(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = f"{ctes(*views)}\n{sql}" if views else sql
+        return f
+
+    return add
+
+
+def longs(df: DataFrame) -> DataFrame:
+    """Whole numbers as bigint, the type that the SQL side is cast to."""
+    return df.select(*(c(n).cast("bigint").alias(n) if t in ("int", "smallint", "tinyint") else c(n) for n, t in df.dtypes))
+
+
+# --- shared SQL ---------------------------------------------------------------------------------
+
+SEG = "seg AS (SELECT *, CASE WHEN usage_count + avoidance_count > 0 THEN avoidance_count / (usage_count + avoidance_count) END AS avoidance_ratio, CASE WHEN usage_count > 0 THEN preference_count / usage_count END AS preference_ratio FROM segments)"
+LOCAL = "(make_timestamp({0} * 1000) AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Berlin')"
+EV = f"ev AS (SELECT *, upper(strftime({LOCAL.format('event_ts')}, '%A')) AS day_of_week, hour({LOCAL.format('event_ts')}) AS hour_of_day FROM segment_events)"
+RIDE = "rd AS (SELECT *, CASE WHEN actual_distance >= 0 AND shortest_distance > 0 AND overlap_ratio BETWEEN 0 AND 1 THEN CASE WHEN actual_distance <= shortest_distance * (1 + 0.1e0) THEN 'EQUIVALENT_ROUTE' WHEN overlap_ratio < 0.3e0 THEN 'CORRIDOR_ALTERNATIVE' ELSE 'LOCAL_DETOUR' END END AS route_comparison_type FROM rides)"
+A_, P_ = "event_type = 'AVOIDANCE'", "event_type = 'PREFERENCE'"
+
+
+def n_(expr: str = "*", where: str | None = None) -> str:
+    return f"CAST(count({expr}){f' FILTER (WHERE {where})' if where else ''} AS BIGINT)"
+
+
+# --- AG-3, AG-4: distributions over all dimensions ------------------------------------------------
+
+LADDER = {
+    "PRECIPITATION_BUCKET": "CASE WHEN precipitation IS NULL THEN 'UNKNOWN' WHEN precipitation = 0 THEN '0 mm' WHEN precipitation < 1 THEN '< 1 mm' WHEN precipitation < 5 THEN '1-5 mm' ELSE '>= 5 mm' END",
+    **{d: f"CASE WHEN {v} IS NULL THEN 'UNKNOWN' " + " ".join(f"WHEN {v} < {b} THEN '{t}'" for b, t in steps) + f" ELSE '{last}' END" for d, (v, steps, last) in A.BUCKETS.items()},
+}
+
+
+def _distribution(dimension: str, criteria: EventFilter, where: str, suffix: str = ""):
+    sql_dim = LADDER.get(dimension, f"CAST({dimension.lower()} AS VARCHAR)")
+    avgs = ", ".join(f"round(avg({a}), 6) AS avg_{a}" for a in A.AVERAGES)
+    query(
+        f"ag3_distribution_{dimension.lower()}{suffix}",
+        f""", {SEG}, {EV}, g AS (SELECT {sql_dim} AS raw, {n_()} AS total, {n_("*", A_)} AS avoidance, {n_("*", P_)} AS preference, {avgs} FROM ev JOIN seg USING (segment_id) WHERE {where} GROUP BY 1)
+SELECT '{dimension}' AS dimension, coalesce(raw, 'UNKNOWN') AS value, total, avoidance, preference, avoidance / total AS avoidance_share, preference / total AS preference_share, {", ".join(f"avg_{a}" for a in A.AVERAGES)}
+FROM g ORDER BY total DESC, raw NULLS FIRST LIMIT 50""",
+        ("segments", "segment_events"),
+    )(lambda r, d=dimension, f=criteria: A.distribution(r.events(), r.segments(), d, f))
+
+
+for _d in A.DIMENSIONS:
+    _distribution(_d, EventFilter(), "true")
+_distribution("RIDE_INTENT", EventFilter(start=757382400000, end=852076800000, event_type="AVOIDANCE", traffic_condition="HEAVY", enrichments=("WEATHER_ENRICHED", "TRAFFIC_MEASURED")), f"event_ts >= 757382400000 AND event_ts <= 852076800000 AND {A_} AND traffic_condition = 'HEAVY' AND weather_enriched AND traffic_status = 'ENRICHED'", "_filtered")
+
+
+# --- AG-1, AG-2, AG-6: counters -------------------------------------------------------------------
+
+
+def _zero(name: str, domain, table: str, column: str) -> str:
+    values = ", ".join(f"('{v}')" for v in domain)
+    return f"SELECT '{name}' AS counter, d.v AS value, {n_(f't.{column}')} AS n FROM (VALUES {values}) d(v) LEFT JOIN {table} t ON t.{column} = d.v GROUP BY ALL"
+
+
+@query(
+    "ag1_summary",
+    f", {RIDE}\n"
+    + "\nUNION ALL ".join(
+        [
+            _zero("ride_status", D.STATUS, "rd", "status"),
+            _zero("route_comparison", D.ROUTE_COMPARISON, "rd", "route_comparison_type"),
+            _zero("event_type", D.EVENT_TYPE, "segment_events", "event_type"),
+            f"SELECT 'segments', 'total', {n_()} FROM segments",
+            f"SELECT 'segments', 'observed', {n_('*', 'usage_count + avoidance_count > 0')} FROM segments",
+            f"SELECT 'events', 'total', {n_()} FROM segment_events",
+            f"""SELECT 'events', 'measured', {n_("*", "traffic_status = 'ENRICHED'")} FROM segment_events""",
+            "SELECT 'events', 'first', min(event_ts) FROM segment_events",
+            "SELECT 'events', 'last', max(event_ts) FROM segment_events",
+        ]
+    ),
+    ("segments", "segment_events", "rides"),
+)
+def _(r):
+    return A.summary(r.rides(), r.segments(), r.events())
+
+
+@query("ag1_pipeline_status", "SELECT counter AS source, value, n FROM (" + " UNION ALL ".join(_zero(s, D.ENRICHMENT_STATUS, "segment_events", f"{s}_state") for s in ("weather", "ohsome", "closure", "traffic")) + ")", ("segment_events",))
+def _(r):
+    return A.pipeline_status(r.events())
+
+
+_CONTEXT = f"SELECT {n_('DISTINCT ride_id')} AS rides, {n_()} AS events, {n_('*', A_)} AS avoidance, {n_('*', P_)} AS preference, min(event_ts) AS first_ts, max(event_ts) AS last_ts FROM segment_events"
+
+
+@query("ag6_context", _CONTEXT + " WHERE event_ts >= 0 AND ride_intent = 'COMMUTE'", ("segment_events",))
+def _(r):
+    return A.context(r.events(), EventFilter(start=0, ride_intent="COMMUTE"))
+
+
+@query("ag2_context_all", _CONTEXT, ("segment_events",))
+def _(r):
+    return A.context(r.events())
+
+
+# --- AG-5, AG-7, AG-8: infrastructure signals -----------------------------------------------------
+
+
+def _signals(attribute: str):
+    v = attribute.lower()
+    known = f"ohsome_enriched AND {v} IS NOT NULL AND trim({v}) <> '' AND upper(trim({v})) <> 'UNKNOWN'"
+    query(
+        f"ag8_signals_{v}",
+        f""", k AS (SELECT ride_id, event_type, lower(trim({v})) AS value FROM segment_events WHERE {known}),
+t AS (SELECT {n_()} AS matching, {n_("*", known)} AS known FROM segment_events),
+b AS (SELECT {n_("*", A_)} AS ba, {n_("*", P_)} AS bp FROM (SELECT DISTINCT ride_id, event_type FROM k)),
+g AS (SELECT value, {n_("*", A_)} AS avoidance, {n_("*", P_)} AS preference FROM (SELECT DISTINCT * FROM k) GROUP BY value HAVING count(*) >= 5)
+SELECT value, avoidance, preference, avoidance / (avoidance + preference) AS avoidance_share, known / matching AS coverage, ba / (ba + bp) AS baseline, (avoidance / (avoidance + preference) - ba / (ba + bp)) * 100 AS difference
+FROM g, t, b ORDER BY avoidance_share DESC, avoidance + preference DESC, value LIMIT 10""",
+        ("segment_events",),
+    )(lambda r: A.infrastructure_signals(r.events(), attribute))
+
+
+for _a in ("SURFACE", "HIGHWAY", "CYCLEWAY_TYPE", "SMOOTHNESS"):
+    _signals(_a)
+
+
+# --- TK-1..4, TK-6, JN-2, JN-3: rankings and pages ------------------------------------------------
+
+_EXISTS = "segment_id IN (SELECT segment_id FROM segment_events WHERE event_ts >= 0 AND event_ts <= 915148800000 AND event_type = 'AVOIDANCE' AND traffic_enriched)"
+_CRIT = EventFilter(start=0, end=915148800000, event_type="AVOIDANCE", enrichments=("TRAFFIC_ENRICHED",))
+_SEGMENT = ["segment_id", "street_name", "usage_count", "avoidance_count", "preference_count", "avoidance_ratio", "preference_ratio"]
+_COLS = ", ".join(_SEGMENT)
+
+
+@query("tk1_suspicious", f", {SEG} SELECT {_COLS} FROM seg WHERE usage_count + avoidance_count >= 5 AND avoidance_ratio >= 0.1e0 ORDER BY avoidance_ratio DESC, segment_id LIMIT 100", ("segments",))
+def _(r):
+    return A.suspicious(r.segments(), r.events()).select(*_SEGMENT)
+
+
+@query("jn3_suspicious_with_criteria", f", {SEG} SELECT {_COLS} FROM seg WHERE {_EXISTS} AND usage_count + avoidance_count >= 5 AND avoidance_ratio >= 0.1e0 ORDER BY avoidance_ratio DESC, segment_id LIMIT 100", ("segments", "segment_events"))
+def _(r):
+    return A.suspicious(r.segments(), r.events(), _CRIT).select(*_SEGMENT)
+
+
+_STRONG = "lon1 IS NOT NULL AND usage_count + avoidance_count >= 5 AND (coalesce(avoidance_ratio, 0) >= 0.1e0 OR coalesce(preference_ratio, 0) >= 0.1e0)"
+
+
+@query("tk2_map_segments", f", {SEG} SELECT {_COLS} FROM seg WHERE {_STRONG} ORDER BY greatest(coalesce(avoidance_ratio, 0), coalesce(preference_ratio, 0)) DESC, usage_count + avoidance_count DESC, segment_id LIMIT 1000", ("segments",))
+def _(r):
+    return A.map_segments(r.segments(), r.events()).select(*_SEGMENT)
+
+
+@query("tk3_map_segments_in_box", f", {SEG} SELECT {_COLS} FROM seg WHERE {_STRONG} AND {_EXISTS} AND lon2 >= 13.31e0 AND lon1 <= 13.35e0 AND lat1 >= 52.45e0 AND lat1 <= 52.4705e0 ORDER BY segment_id LIMIT 1000", ("segments", "segment_events"))
+def _(r):
+    return A.map_segments(r.segments(), r.events(), _CRIT, within=FL.parse_box("13.31,52.45,13.35,52.4705")).select(*_SEGMENT)
+
+
+@query("tk4_segment_events", "SELECT event_id, ride_id, event_type, event_ts, bike_type FROM segment_events JOIN rides USING (ride_id) WHERE segment_id = 7 AND event_ts >= 0 ORDER BY event_ts DESC, event_id LIMIT 100", ("segment_events", "rides"))
+def _(r):
+    rides = r.rides().select("ride_id", "bike_type")
+    return A.segment_events(r.events().select("event_id", "segment_id", "ride_id", "event_type", "event_ts"), rides, 7, EventFilter(start=0)).select("event_id", "ride_id", "event_type", "event_ts", "bike_type")
+
+
+@query("tk6_next_rides", "SELECT ride_id, start_ms FROM rides WHERE status = 'PENDING' ORDER BY start_ms NULLS LAST, ride_id LIMIT 500", ("rides",))
+def _(r):
+    return A.next_rides(r.rides()).select("ride_id", "start_ms")
+
+
+@query("jn1_events_with_segments", f", {SEG} SELECT event_id, segment_id, street_name, avoidance_ratio FROM segment_events JOIN seg USING (segment_id)", ("segments", "segment_events"))
+def _(r):
+    return r.view("segment_events").select("event_id", "segment_id").join(r.segments(), "segment_id").select("event_id", "segment_id", "street_name", "avoidance_ratio")
+
+
+# --- AG-9..11, WN-2, TK-5, JN-13, JN-14: corridors ------------------------------------------------
+
+_K = "111320e0"
+_NEAR = f"sqrt(power(greatest(0e0, greatest(b.lon1 - a.lon2, a.lon1 - b.lon2)) * {_K} * cos(radians(a.lat1)), 2) + power((a.lat1 - b.lat1) * {_K}, 2))"
+_USABLE = "lon1 IS NOT NULL AND street_name IS NOT NULL AND trim(street_name) <> '' AND lower(trim(street_name)) <> 'unknown'"
+_CLUSTERS = f"""u AS (SELECT *, lower(trim(street_name)) AS norm FROM segments WHERE {_USABLE} AND segment_id IN (SELECT segment_id FROM scope)),
+e AS (SELECT a.segment_id AS x, b.segment_id AS y FROM u a JOIN u b ON a.norm = b.norm AND {_NEAR} <= 75),
+reach(x, y) AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+cl AS (SELECT x AS segment_id, min(y) AS cluster FROM reach GROUP BY x)"""
+
+
+@query("wn2_clusters", f", scope AS (SELECT segment_id FROM segments), {_CLUSTERS} SELECT segment_id, cluster FROM cl", ("segments",))
+def _(r):
+    usable = r.segments().where((F.trim("street_name") != "") & (R.normal_name(c("street_name")) != "unknown") & c("line").isNotNull()).withColumn("norm", R.normal_name(c("street_name")))
+    return spatial.clusters(usable, 75.0, "norm", "segment_id")
+
+
+def _corridors(rank: str, intent: str | None):
+    name = rank.lower()
+    scope = f"ride_intent = '{intent}'" if intent else "true"
+    rides = f"AND i.ride_id IN (SELECT ride_id FROM rides WHERE ride_intent = '{intent}')" if intent else ""
+    to_line = f"sqrt(power(greatest(0e0, greatest(m.lon1 - i.lon, i.lon - m.lon2)) * {_K} * cos(radians(i.lat)), 2) + power((m.lat1 - i.lat) * {_K}, 2))"
+    query(
+        f"ag9_corridors_{name}{'_' + intent.lower() if intent else ''}",
+        f""", scope AS (SELECT segment_id, ride_id, event_type FROM segment_events WHERE {scope}), {_CLUSTERS},
+m AS (SELECT u.*, cluster FROM u JOIN cl USING (segment_id)),
+g AS (SELECT cluster, min(street_name) AS street_name, {n_()} AS segments, array_to_string(list(segment_id ORDER BY segment_id), ',') AS segment_ids, min(lon1) AS min_lon, min(lat1) AS min_lat, max(lon2) AS max_lon, max(lat1) AS max_lat FROM m GROUP BY cluster),
+h AS (SELECT cluster, scope.* FROM scope JOIN cl USING (segment_id)),
+k AS (SELECT cluster, {n_("DISTINCT ride_id", A_)} AS avoidance_rides, {n_("DISTINCT ride_id", P_)} AS preference_rides, {n_("*", A_)} AS avoidance_events, {n_("*", P_)} AS preference_events FROM h GROUP BY cluster),
+t AS (SELECT cluster, segment_id AS top_segment FROM (SELECT cluster, segment_id, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, segment_id) AS n FROM h WHERE event_type = '{rank}' GROUP BY cluster, segment_id) WHERE n = 1),
+best AS (SELECT * FROM g JOIN k USING (cluster) LEFT JOIN t USING (cluster) WHERE {name}_rides >= 5 ORDER BY {name}_rides DESC, {name}_events DESC, street_name, cluster LIMIT 8),
+s AS (SELECT m.cluster, {n_("DISTINCT i.incident_id")} AS scary_incidents FROM best JOIN m USING (cluster) JOIN incidents i ON i.scary AND i.lon IS NOT NULL {rides} AND {to_line} <= 25 GROUP BY m.cluster)
+SELECT cluster, street_name, segments, segment_ids, min_lon, min_lat, max_lon, max_lat, avoidance_rides, preference_rides, avoidance_events, preference_events, top_segment, coalesce(scary_incidents, 0) AS scary_incidents FROM best LEFT JOIN s USING (cluster)""",
+        ("segments", "segment_events", "incidents", "rides"),
+    )(lambda r: A.corridors(r.segments(), r.view("segment_events"), r.incidents(), r.rides(), rank, intent=intent).withColumn("segment_ids", F.array_join(c("segment_ids").cast("array<string>"), ",")))
+
+
+_corridors("AVOIDANCE", None)
+_corridors("PREFERENCE", "COMMUTE")
+
+
+@query("ge16_corridor_geometry", f"""SELECT array_to_string(list(segment_id ORDER BY segment_id), ',') AS edge_ids FROM segments WHERE lower(trim(street_name)) = 'street 5' AND lon1 IS NOT NULL
+AND lon2 >= {G.grown_box(13.30, 52.45, 13.32, 52.46)[0]!r}::DOUBLE AND lon1 <= {G.grown_box(13.30, 52.45, 13.32, 52.46)[2]!r}::DOUBLE AND lat1 BETWEEN {G.grown_box(13.30, 52.45, 13.32, 52.46)[1]!r}::DOUBLE AND {G.grown_box(13.30, 52.45, 13.32, 52.46)[3]!r}::DOUBLE""", ("segments",))
+def _(r):
+    edges = r.segments().withColumnRenamed("segment_id", "edge_id")
+    return A.corridor_geometry(edges, " STREET 5 ", 13.30, 52.45, 13.32, 52.46).select(F.array_join(c("edge_ids").cast("array<string>"), ",").alias("edge_ids"))
+
+
+# --- AG-12, AG-13, JN-5, JN-16: segments and what lies near ---------------------------------------
+
+_MEANS = ("traffic_volume_kfz", "traffic_speed_kfz", "temperature_2m", "precipitation", "wind_speed_10m", "wind_direction_10m")
+
+
+@query("ag12_traffic_stats", f"SELECT segment_id, {n_('*', A_)} AS avoidance, {n_('*', P_)} AS preference, {', '.join(f'round(avg({m}), 6) AS avg_{m}' for m in _MEANS)}, CAST(NULL AS VARCHAR) AS dominant_traffic_condition FROM segment_events GROUP BY segment_id", ("segment_events",))
+def _(r):
+    return A.traffic_stats(r.view("segment_events"))
+
+
+_POINT = f"sqrt(power(greatest(0e0, greatest(s.lon1 - i.lon, i.lon - s.lon2)) * {_K} * cos(radians(i.lat)), 2) + power((s.lat1 - i.lat) * {_K}, 2))"
+_INCIDENT_JOIN = f"FROM segments s JOIN incidents i ON s.lon1 IS NOT NULL AND i.lon IS NOT NULL AND abs(s.lat1 - i.lat) < 0.001 AND {_POINT} <= 25"
+
+
+@query("jn5_incidents_near", f"SELECT segment_id, incident_id, round({_POINT}, 4) AS metres {_INCIDENT_JOIN}", ("segments", "incidents"))
+def _(r):
+    return A.incidents_near(r.incidents(), r.segments()).select("segment_id", "incident_id", F.round("metres", 4).alias("metres"))
+
+
+@query("ag13_incident_breakdown", f", near AS (SELECT segment_id, incident_type {_INCIDENT_JOIN}), k AS (SELECT segment_id, incident_type, count(*) AS n FROM near WHERE incident_type IS NOT NULL GROUP BY ALL), t AS (SELECT segment_id, string_agg(incident_type || '=' || n, ',' ORDER BY n DESC, incident_type) AS types FROM k GROUP BY segment_id) SELECT segment_id, {n_()} AS incidents, types FROM near LEFT JOIN t USING (segment_id) GROUP BY segment_id, types", ("segments", "incidents"))
+def _(r):
+    found = A.incident_breakdown(A.incidents_near(r.incidents(), r.segments()))
+    text = F.array_join(F.transform("types", lambda x: F.concat_ws("=", x["type"], x["n"].cast("string"))), ",")
+    return found.select("segment_id", "incidents", text.alias("types"))
+
+
+@query("jn16_segment_summaries", f", n AS (SELECT segment_id, count(*) AS incidents {_INCIDENT_JOIN} GROUP BY 1), f AS (SELECT segment_id, count(*) AS factors FROM factors GROUP BY 1) SELECT segment_id, CAST(coalesce(incidents, 0) AS BIGINT) AS incidents, CAST(coalesce(factors, 0) AS BIGINT) AS factors FROM segments LEFT JOIN n USING (segment_id) LEFT JOIN f USING (segment_id)", ("segments", "incidents", "factors"))
+def _(r):
+    return A.segment_summaries(r.segments(), r.incidents(), r.factors()).select("segment_id", "incidents", "factors")
+
+
+@query("jn5_lines_near_lines", f"SELECT a.segment_id AS a, b.segment_id AS b FROM segments a JOIN segments b ON a.segment_id < b.segment_id AND a.lon1 IS NOT NULL AND b.lon1 IS NOT NULL AND abs(a.lat1 - b.lat1) < 0.0005 AND {_NEAR} <= 40", ("segments",))
+def _(r):
+    left = r.segments().where("line IS NOT NULL").select(c("segment_id").alias("a"), c("line").alias("la"))
+    right = r.segments().where("line IS NOT NULL").select(c("segment_id").alias("b"), c("line").alias("lb"))
+    return spatial.lines_near_lines(left, right, 40.0, "la", "lb", ["a", "b"]).where("a < b").select("a", "b")
+
+
+# --- JN-6..10: enrichment -------------------------------------------------------------------------
+
+_DET = f"sqrt(power(greatest(0e0, greatest(s.lon1 - d.lon, d.lon - s.lon2)) * {_K} * cos(radians(d.lat)), 2) + power((s.lat1 - d.lat) * {_K}, 2))"
+_RANKED = f"""near AS (SELECT segment_id, street_name, detector_key, d.*, row_number() OVER (PARTITION BY segment_id ORDER BY {_DET}, detector_key) - 1 AS rank FROM segments s JOIN detectors d ON s.lon1 IS NOT NULL AND d.lon IS NOT NULL AND abs(s.lat1 - d.lat) < 0.001 AND {_DET} <= 75)"""
+_DEG = "CASE lower(direction) WHEN 'nord' THEN 0e0 WHEN 'ost' THEN 90e0 WHEN 'süd' THEN 180e0 WHEN 'west' THEN 270e0 WHEN 'nordost' THEN 45e0 ELSE 225e0 END"
+# Segments run from west to east, so their bearing is 90 less a tiny turn of the great circle.
+_BEST = f"""{_RANKED}, sc AS (SELECT *, greatest(0, 100 - 3 * rank) + CASE WHEN trim(street_name) <> '' AND lower(street_name) <> 'unknown' AND (contains(lower(trim(street_name)), lower(detector_street)) OR contains(lower(detector_street), lower(trim(street_name)))) THEN 25 ELSE 0 END
+ + CASE WHEN delta <= 45 THEN 20 WHEN delta <= 90 THEN 8 WHEN delta >= 135 THEN -20 ELSE 0 END AS score FROM (SELECT *, abs(((89.9994e0 - {_DEG} + 540e0) % 360e0) - 180e0) AS delta FROM near WHERE rank < 25)),
+dy AS (SELECT event_id, segment_id, CAST({LOCAL.format("event_ts")} AS DATE) AS day, CAST(hour({LOCAL.format("event_ts")}) AS BIGINT) AS hour FROM segment_events),
+best AS (SELECT event_id, day, hour, detector_key, det_id15, mq_name, score FROM (SELECT dy.*, sc.*, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, rank) AS place FROM dy JOIN sc USING (segment_id) WHERE NOT removed AND (active_from IS NULL OR active_from <= day) AND (active_to IS NULL OR active_to >= day)) WHERE place = 1)"""
+
+
+@query("jn6_detector_ranks", f", {_RANKED} SELECT segment_id, detector_key, CAST(rank AS BIGINT) AS rank FROM near WHERE rank < 25", ("segments", "detectors"))
+def _(r):
+    return longs(E.detector_pairs(r.detectors(), r.segments()).select("segment_id", "detector_key", "rank"))
+
+
+@query("jn6_best_detectors", f", {_BEST} SELECT event_id, detector_key, hour, CAST(score AS DOUBLE) AS score FROM best", ("segments", "detectors", "segment_events"))
+def _(r):
+    return longs(E.best_detectors(r.view("segment_events"), r.segments(), r.detectors()).select("event_id", "detector_key", "hour", "score"))
+
+
+_MEASURE = """SELECT CASE s WHEN 0 THEN 'NEW_DETECTOR' WHEN 1 THEN 'OLD_DETECTOR' ELSE 'OLD_MQ' END AS source_type, concat(CASE s WHEN 0 THEN 'TE' WHEN 1 THEN 'D' ELSE 'MQ' END, CAST(k AS STRING)) AS key, day, hour,
+ CAST((k * 37 + hour * 50) % 1000 - 20 AS INT) AS volume_kfz, ((k * 13 + hour * 7) % 170) * 1e0 AS speed_kfz, CASE WHEN s = 0 THEN NULL ELSE (k % 5) * 0.25e0 END AS quality, CASE WHEN s = 0 THEN (k * hour % 101) * 1e0 END AS completeness
+FROM (SELECT DISTINCT s_suppkey AS k, CAST(l_shipdate AS DATE) AS day, CAST(l_orderkey % 24 AS BIGINT) AS hour, CAST(s_suppkey % 3 AS BIGINT) AS s FROM @lineitem JOIN @supplier ON l_linenumber > 0 AND s_suppkey % 50 = l_orderkey % 50 WHERE l_linenumber <= 2)"""
+
+
+def _measurements(r: Ride) -> DataFrame:
+    return r.spark.sql(_MEASURE.replace("@lineitem", "{l}").replace("@supplier", "{s}"), l=r.table("lineitem"), s=r.table("supplier"))
+
+
+def _usable(t: str) -> str:
+    return f"({t}.volume_kfz >= 0 AND {t}.speed_kfz BETWEEN 0 AND 160 AND " + (f"{t}.completeness >= 75)" if t == "n" else f"{t}.quality >= 0.75e0)")
+
+
+@query(
+    "jn7_traffic",
+    f""", {_BEST}, ms AS ({_MEASURE.replace("@", "")}), av AS (SELECT DISTINCT source_type, strftime(day, '%Y-%m') AS month FROM ms),
+j AS (SELECT best.event_id, best.detector_key, CASE WHEN {_usable("n")} THEN 'n' WHEN {_usable("o")} THEN 'o' WHEN {_usable("q")} THEN 'q' END AS pick,
+  n.key IS NOT NULL OR o.key IS NOT NULL OR q.key IS NOT NULL AS found, EXISTS (SELECT 1 FROM av WHERE av.month = strftime(best.day, '%Y-%m')) AS there,
+  n.volume_kfz AS nv, o.volume_kfz AS ov, q.volume_kfz AS qv, n.speed_kfz AS ns, o.speed_kfz AS os, q.speed_kfz AS qs
+ FROM best LEFT JOIN ms n ON n.source_type = 'NEW_DETECTOR' AND n.key = best.detector_key AND n.day = best.day AND n.hour = best.hour
+ LEFT JOIN ms o ON o.source_type = 'OLD_DETECTOR' AND o.key = best.det_id15 AND o.day = best.day AND o.hour = best.hour
+ LEFT JOIN ms q ON q.source_type = 'OLD_MQ' AND q.key = best.mq_name AND q.day = best.day AND q.hour = best.hour),
+f AS (SELECT *, CASE pick WHEN 'n' THEN nv WHEN 'o' THEN ov WHEN 'q' THEN qv END AS v, CASE pick WHEN 'n' THEN ns WHEN 'o' THEN os WHEN 'q' THEN qs END AS sp FROM j)
+SELECT ev.event_id, CASE WHEN f.event_id IS NULL THEN 'NO_DETECTOR_MATCH' WHEN pick IS NOT NULL THEN 'ENRICHED' WHEN NOT there THEN 'NO_SOURCE_FILE' WHEN found THEN 'LOW_QUALITY' ELSE 'NO_MEASUREMENT' END AS traffic_status,
+ f.detector_key, CASE pick WHEN 'n' THEN 'NEW_DETECTOR' WHEN 'o' THEN 'OLD_DETECTOR' WHEN 'q' THEN 'OLD_MQ' END AS source_type, CAST(v AS BIGINT) AS traffic_volume_kfz, sp AS traffic_speed_kfz,
+ CASE WHEN pick IS NULL THEN NULL WHEN sp <= 20 AND v > 150 THEN 'CONGESTED' WHEN sp <= 30 OR v >= 800 THEN 'HEAVY' WHEN v <= 150 AND sp > 30 THEN 'LIGHT' ELSE 'MODERATE' END AS traffic_condition, true AS traffic_enriched
+FROM segment_events ev LEFT JOIN f USING (event_id)""",
+    ("segments", "detectors", "segment_events"),
+)
+def _(r):
+    from ..sources.traffic import available_months
+
+    found = _measurements(r)
+    return longs(E.enrich_traffic(r.view("segment_events"), r.segments(), r.detectors(), found, available_months(found)))
+
+
+_HOURS = """SELECT lat2, lon2, hour_ms, CAST((hour_ms / 3600000) % 30 AS DOUBLE) AS temperature_2m, CAST((hour_ms / 3600000) % 5 AS DOUBLE) AS precipitation, CAST((hour_ms / 3600000) % 45 AS DOUBLE) AS wind_speed_10m, CAST((hour_ms / 3600000) % 360 AS DOUBLE) AS wind_direction_10m, CAST((hour_ms / 3600000) % 4 AS BIGINT) AS weather_code
+FROM (SELECT DISTINCT a.x / 100e0 AS lat2, b.x / 100e0 AS lon2, o.h AS hour_ms FROM (SELECT DISTINCT @ms(l_shipdate) + (l_orderkey % 24) * 3600000 AS h FROM @lineitem WHERE l_linenumber = 1) o, (SELECT DISTINCT 5245 + s_nationkey % 3 AS x FROM @supplier) a, (SELECT DISTINCT 1330 + s_nationkey % 5 AS x FROM @supplier) b)"""
+
+
+def _weather(r: Ride) -> DataFrame:
+    return r.spark.sql(_HOURS.replace("@ms(", "unix_millis(").replace("@lineitem", "{l}").replace("@supplier", "{s}"), l=r.table("lineitem"), s=r.table("supplier"))
+
+
+_PLACE = "pl AS (SELECT segment_id, round(lat1, 2) AS lat2, round((lon1 + lon2) / 2, 2) AS lon2 FROM segments WHERE lon1 IS NOT NULL)"
+_HOURS_SQL = _HOURS.replace("@ms(l_shipdate)", "(epoch_us(l_shipdate) // 1000)").replace("@", "")
+
+
+@query(
+    "jn9_weather",
+    f""", {_PLACE}, wh AS ({_HOURS_SQL})
+SELECT event_id, w.temperature_2m, w.precipitation, w.wind_speed_10m, w.wind_direction_10m, w.weather_code,
+ CASE WHEN abs(((90e0 - w.wind_direction_10m + 540e0) % 360e0) - 180e0) <= 45 THEN 'HEADWIND' WHEN abs(((90e0 - w.wind_direction_10m + 540e0) % 360e0) - 180e0) >= 135 THEN 'TAILWIND' WHEN w.wind_direction_10m IS NOT NULL THEN 'CROSSWIND' END AS wind_exposure, true AS weather_enriched
+FROM segment_events e LEFT JOIN pl USING (segment_id) LEFT JOIN wh w ON w.lat2 = pl.lat2 AND w.lon2 = pl.lon2 AND w.hour_ms = e.event_ts - e.event_ts % 3600000
+WHERE w.wind_direction_10m IS NULL OR w.wind_direction_10m NOT IN (45, 135, 225, 315)""",
+    ("segments", "segment_events"),
+)
+def _(r):
+    # On the class boundaries the segments' bearing of not quite 90 degrees decides; they are tested by hand.
+    edge = c("wind_direction_10m").isin(45.0, 135.0, 225.0, 315.0)
+    return E.enrich_weather(r.view("segment_events"), r.segments(), _weather(r)).where(~F.coalesce(edge, F.lit(False)))
+
+
+@query(
+    "jn12_weather_factors",
+    f""", {_PLACE}, wh AS ({_HOURS_SQL}), want AS (SELECT DISTINCT segment_id, lat2, lon2, event_ts - event_ts % 3600000 AS hour_ms FROM segment_events JOIN pl USING (segment_id))
+SELECT segment_id, 'WEATHER' AS factor_type, hour_ms AS valid_from, hour_ms + 3600000 AS valid_to FROM want JOIN wh USING (lat2, lon2, hour_ms)
+WHERE NOT EXISTS (SELECT 1 FROM factors f WHERE f.factor_type = 'WEATHER' AND f.segment_id = want.segment_id AND f.valid_from = want.hour_ms)""",
+    ("segments", "segment_events", "factors"),
+)
+def _(r):
+    return E.weather_factors(r.view("segment_events"), r.segments(), _weather(r), r.factors()).select("segment_id", "factor_type", "valid_from", "valid_to")
+
+
+@query(
+    "jn10_closures",
+    f""", hours AS (SELECT DISTINCT segment_id, event_ts - event_ts % 3600000 AS h FROM segment_events),
+hit AS (SELECT s.segment_id, k.* FROM closures k JOIN segments s ON s.lon1 IS NOT NULL AND abs(s.lat1 - k.lat) < 0.001 AND sqrt(power(greatest(0e0, greatest(s.lon1 - k.lon, k.lon - s.lon2)), 2) + power(s.lat1 - k.lat, 2)) <= 0.0003e0
+  AND (street_name IS NULL OR trim(street_name) = '' OR lower(street_name) = 'unknown' OR trim(closure_street) = '' OR contains(lower(street_name), lower(closure_street)) OR contains(lower(closure_street), lower(street_name)))
+  JOIN hours ON hours.segment_id = s.segment_id AND k.valid_from <= h + 3600000 AND (k.valid_to IS NULL OR k.valid_to >= h))
+SELECT segment_id, factor_type, source, valid_from, min(feed_id) AS feed_id FROM hit WHERE NOT EXISTS (SELECT 1 FROM factors f WHERE f.segment_id = hit.segment_id AND f.factor_type = hit.factor_type AND f.valid_from = hit.valid_from) GROUP BY segment_id, factor_type, source, valid_from""",
+    ("segments", "segment_events", "closures", "factors"),
+)
+def _(r):
+    return E.closures_at(r.view("segment_events"), r.segments(), r.closures(), r.factors()).select("segment_id", "factor_type", "source", "valid_from", "feed_id")
+
+
+# --- WN-1, AG-14..16, JN-4, JN-15, SNK, DF-6/7: exports -------------------------------------------
+
+
+@query(
+    "wn1_calibration_sample",
+    f""", {RIDE}, p AS (SELECT *, row_number() OVER (PARTITION BY route_comparison_type ORDER BY md5(CAST(ride_id AS VARCHAR))) AS place FROM rd WHERE route_comparison_type IS NOT NULL),
+s AS (SELECT ride_id, median(gps_accuracy) AS median_accuracy, {n_()} AS points FROM ride_points GROUP BY 1)
+SELECT ride_id, start_ms, route_comparison_type, actual_distance, shortest_distance, actual_distance - shortest_distance AS excess_distance, (actual_distance - shortest_distance) / shortest_distance AS excess_ratio, overlap_ratio, median_accuracy, coalesce(points, 0) AS points
+FROM p LEFT JOIN s USING (ride_id) WHERE place <= 100""",
+    ("rides", "ride_points"),
+)
+def _(r):
+    return A.calibration_sample(r.rides(), r.ride_points())
+
+
+@query("ag15_event_years", "SELECT DISTINCT CAST(year(make_timestamp(event_ts * 1000)) AS BIGINT) AS year FROM segment_events WHERE year(make_timestamp(event_ts * 1000)) BETWEEN 1990 AND 2026", ("segment_events",))
+def _(r):
+    return longs(A.event_years(r.view("segment_events"), 2026, 1990))
+
+
+@query("ag16_median_accuracy", "SELECT ride_id, median(gps_accuracy) AS median_accuracy FROM ride_points GROUP BY ride_id", ("ride_points",))
+def _(r):
+    return r.ride_points().groupBy("ride_id").agg(F.median("gps_accuracy").alias("median_accuracy"))
+
+
+_YEARS = [1995, 1996]
+
+
+def _signal_sql(events: str, value: str) -> str:
+    steps = [("<= -0.9e0", "AVOIDANCE_EXTREME"), ("<= -0.6e0", "AVOIDANCE_STRONG"), ("<= -0.3e0", "AVOIDANCE"), ("<= -0.1e0", "AVOIDANCE_LIGHT"), (">= 0.9e0", "PREFERENCE_EXTREME"), (">= 0.6e0", "PREFERENCE_STRONG"), (">= 0.3e0", "PREFERENCE"), (">= 0.1e0", "PREFERENCE_LIGHT")]
+    return f"CASE WHEN {events} = 0 THEN 'NO_EVENTS' " + " ".join(f"WHEN {value} {b} THEN '{t}'" for b, t in steps) + " ELSE 'BASELINE' END"
+
+
+def _balance_sql(a: str, p: str) -> str:
+    return f"CASE WHEN {a} + {p} > 0 THEN CAST({p} - {a} AS DOUBLE) / ({a} + {p} + 5) ELSE 0e0 END"
+
+
+_FLAGS = {"traffic_enriched_count": "traffic_enriched", "weather_enriched_count": "weather_enriched", "ohsome_enriched_count": "ohsome_enriched", "traffic_measured_count": "traffic_status = 'ENRICHED'"}
+_YEAR_AGG = ", ".join(f"{n_('*', f'year(make_timestamp(event_ts * 1000)) = {y} AND {p}')} AS {k}_{y}" for y in _YEARS for k, p in (("a", A_), ("p", P_)))
+_YEAR_COLS = ", ".join(f"nullif(coalesce(a_{y}, 0) + coalesce(p_{y}, 0), 0) AS event_count_{y}, CASE WHEN a_{y} + p_{y} > 0 THEN {_signal_sql(f'(a_{y} + p_{y})', f'({_balance_sql(f"a_{y}", f"p_{y}")})')} END AS bucket_{y}" for y in _YEARS)
+
+
+@query(
+    "ag14_tile_columns",
+    f""", {SEG}, x AS (SELECT segment_id, {", ".join(f"{n_('*', p)} AS {k}" for k, p in _FLAGS.items())}, {_YEAR_AGG} FROM segment_events GROUP BY 1)
+SELECT segment_id, street_name, usage_count, avoidance_count, preference_count, avoidance_ratio, preference_ratio, usage_count + avoidance_count AS observations, gradient_percent, avoidance_count + preference_count AS event_count,
+ {_balance_sql("avoidance_count", "preference_count")} AS balance, {_signal_sql("avoidance_count + preference_count", "(" + _balance_sql("avoidance_count", "preference_count") + ")")} AS bucket,
+ {", ".join(f"coalesce({k}, 0) AS {k}" for k in _FLAGS)}, {_YEAR_COLS}
+FROM seg LEFT JOIN x USING (segment_id) WHERE lon1 IS NOT NULL AND usage_count + avoidance_count >= 1""",
+    ("segments", "segment_events"),
+)
+def _(r):
+    return X.tile_columns(r.segments(), r.view("segment_events"), _YEARS).drop("line")
+
+
+@query("snk1_tile_features")
+def _(r):
+    return X.tile_features(r.segments(), r.view("segment_events"), _YEARS)
+
+
+@query("snk7_map_features")
+def _(r):
+    return X.map_features(r.segments())
+
+
+@query("snk3_calibration_rows")
+def _(r):
+    sample = A.calibration_sample(r.rides(), r.ride_points())
+    return X.calibration_rows(sample, F.lit(None).cast("string"), F.lit(None).cast("string"))
+
+
+@query(
+    "snk5_upsert_segments",
+    """, n AS (SELECT segment_id + 1000 AS segment_id, 'New' AS n_name, gradient_percent AS n_gradient FROM segments)
+SELECT segment_id, coalesce(street_name, n_name) AS street_name, coalesce(n_gradient, gradient_percent) AS gradient_percent FROM segments FULL JOIN n USING (segment_id)""",
+    ("segments",),
+)
+def _(r):
+    old = r.segments().select("segment_id", "street_name", "line", "gradient_percent")
+    new = old.select((c("segment_id") + 1000).alias("segment_id"), F.lit("New").alias("street_name"), "line", "gradient_percent")
+    return RD.upsert_segments(old, new).select("segment_id", "street_name", "gradient_percent")
+
+
+@query("snk6_mark_enriched", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'DONE' END AS weather_state FROM segment_events""", ("segment_events",))
+def _(r):
+    events = r.view("segment_events").select("event_id", "weather_state")
+    result = events.where("event_id % 2 = 0").select("event_id", F.lit("DONE").alias("weather_state")).distinct()
+    return E.marked(events, result)
+
+
+# --- FL: filters ----------------------------------------------------------------------------------
+
+
+@query("fl9_factors_overlapping", "SELECT factor_id FROM factors WHERE valid_from <= 1710000000000 AND (valid_to IS NULL OR valid_to >= 1700000000000)", ("factors",))
+def _(r):
+    return FL.factors_of(r.factors(), 1700000000000, 1710000000000, "HAZARD").select("factor_id")
+
+
+@query("fl10_factors_by_type", "SELECT factor_id, valid_from FROM factors WHERE factor_type = 'HAZARD'", ("factors",))
+def _(r):
+    return FL.factors_of(r.factors(), start=5, factor_type="HAZARD").select("factor_id", "valid_from")
+
+
+@query("fl11_near_misses", "SELECT incident_id, lon, lat, ts FROM incidents WHERE scary AND lon IS NOT NULL AND ts >= 0", ("incidents",))
+def _(r):
+    return FL.near_misses(r.incidents(), start=0).select("incident_id", "lon", "lat", "ts")
+
+
+@query("fl12_usable_points", "SELECT ride_id, seq FROM ride_points WHERE lat IS NOT NULL AND lon IS NOT NULL AND ts IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND lat <> 0 AND lon <> 0", ("ride_points",))
+def _(r):
+    return RD.usable_points(r.ride_points()).select("ride_id", "seq")
+
+
+@query("fl13_rides_in_country", "SELECT ride_id, bool_and(lat BETWEEN 47.2e0 AND 55.1e0 AND lon BETWEEN 5.8e0 AND 15.1e0) AS inside FROM ride_points GROUP BY 1", ("ride_points",))
+def _(r):
+    return FL.rides_in_country(r.ride_points())
+
+
+_HAV = "2 * 6371000e0 * asin(sqrt(least(power(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin((radians(b.lon) - radians(a.lon)) / 2), 2), 1e0)))"
+
+
+@query("fl14_short_rides", f", o AS (SELECT *, row_number() OVER (PARTITION BY ride_id ORDER BY ts, seq) AS f, row_number() OVER (PARTITION BY ride_id ORDER BY ts DESC, seq) AS l FROM ride_points) SELECT a.ride_id, {_HAV} < 500 AS skip FROM o a JOIN o b ON a.ride_id = b.ride_id AND a.f = 1 AND b.l = 1", ("ride_points",))
+def _(r):
+    return RD.too_short(r.ride_points())
+
+
+@query("fl19_detectors", "SELECT detector_key, lon, lat, 75e0 AS radius FROM detectors WHERE lon IS NOT NULL AND lat IS NOT NULL", ("detectors",))
+def _(r):
+    from ..sources.traffic import located_detectors
+
+    return located_detectors(r.detectors()).select("detector_key", "lon", "lat", "radius")
+
+
+@query("fl9_closures_current", "SELECT feed_id, valid_from FROM closures WHERE valid_from <= 800000000000 AND (valid_to IS NULL OR valid_to >= 790000000000)", ("closures",))
+def _(r):
+    from ..sources.closures import current
+
+    return current(r.closures(), 790000000000, 800000000000).select("feed_id", "valid_from")
+
+
+# --- DF, DT, GE, ST, WN-3..5: functions ------------------------------------------------------------
+
+
+@query("df1_route_comparison", f", {RIDE} SELECT ride_id, route_comparison_type FROM rd", ("rides",))
+def _(r):
+    return r.rides().select("ride_id", "route_comparison_type")
+
+
+_B = LOCAL.format("start_ms")
+_SECONDS = "((end_ms - start_ms) // 1000)"
+_INTENT = f"""(CASE WHEN dayofweek({_B}) IN (0, 6) THEN -2 WHEN hour({_B}) BETWEEN 6 AND 8 OR hour({_B}) IN (17, 18) OR (hour({_B}) = 19 AND minute({_B}) <= 30) THEN 2 ELSE 1 END
+ + CASE WHEN (end_ms - start_ms) // 60000 BETWEEN 15 AND 50 THEN 1 WHEN (end_ms - start_ms) // 60000 > 50 THEN -1 ELSE 0 END
+ + CASE WHEN {_SECONDS} > 0 THEN CASE WHEN actual_distance / {_SECONDS} * 3.6e0 BETWEEN 12 AND 22 THEN 1 WHEN actual_distance / {_SECONDS} * 3.6e0 < 10 OR actual_distance / {_SECONDS} * 3.6e0 > 28 THEN -1 ELSE 0 END ELSE 0 END
+ + CASE route_comparison_type WHEN 'EQUIVALENT_ROUTE' THEN 1 WHEN 'LOCAL_DETOUR' THEN -1 WHEN 'CORRIDOR_ALTERNATIVE' THEN -3 ELSE 0 END
+ + CASE WHEN overlap_ratio >= 0.85e0 THEN 1 ELSE 0 END
+ + CASE WHEN shortest_distance > 0 AND actual_distance / shortest_distance <= 1.15e0 THEN 1 WHEN shortest_distance > 0 AND actual_distance / shortest_distance >= 1.5e0 THEN -2 ELSE 0 END
+ + CASE WHEN child_transport THEN 1 ELSE 0 END - CASE WHEN trailer_attached THEN 1 ELSE 0 END
+ + CASE WHEN bike_type = 'ROAD_RACING_BIKE' THEN -1 WHEN bike_type IN ('CITY_TREKKING_BIKE', 'E_BIKE') THEN 1 ELSE 0 END)"""
+
+
+@query("df2_ride_intent", f", {RIDE} SELECT ride_id, CASE WHEN status <> 'PROCESSED' THEN 'UNKNOWN' WHEN {_INTENT} >= 2 THEN 'COMMUTE' WHEN {_INTENT} <= -2 THEN 'LEISURE' ELSE 'UNKNOWN' END AS intent FROM rd", ("rides",))
+def _(r):
+    rides = r.rides()
+    names = ("start_ms", "end_ms", "actual_distance", "shortest_distance", "route_comparison_type", "is_detour", "overlap_ratio", "child_transport", "trailer_attached", "bike_type", "status")
+    return rides.select("ride_id", R.ride_intent({n: c(n) for n in names}).alias("intent"))
+
+
+@query("df4_traffic_condition", "SELECT event_id, CASE WHEN traffic_volume_kfz IS NULL AND traffic_speed_kfz IS NULL THEN 'UNKNOWN' WHEN traffic_speed_kfz <= 20 AND traffic_volume_kfz > 150 THEN 'CONGESTED' WHEN coalesce(traffic_speed_kfz <= 30, false) OR coalesce(traffic_volume_kfz >= 800, false) THEN 'HEAVY' WHEN traffic_volume_kfz <= 150 AND (traffic_speed_kfz IS NULL OR traffic_speed_kfz > 30) THEN 'LIGHT' ELSE 'MODERATE' END AS condition FROM segment_events", ("segment_events",))
+def _(r):
+    return r.view("segment_events").select("event_id", R.traffic_condition(c("traffic_volume_kfz"), c("traffic_speed_kfz")).alias("condition"))
+
+
+@query("dt_local_time", f"SELECT event_id, upper(strftime({LOCAL.format('event_ts')}, '%A')) AS day_of_week, CAST(hour({LOCAL.format('event_ts')}) AS BIGINT) AS hour_of_day, event_ts - event_ts % 3600000 AS hour_ms, CAST(year(make_timestamp(event_ts * 1000)) AS BIGINT) AS utc_year FROM segment_events", ("segment_events",))
+def _(r):
+    return longs(r.view("segment_events").select("event_id", R.day_of_week(c("event_ts")).alias("day_of_week"), R.hour_of_day(c("event_ts")).alias("hour_of_day"), R.hour_floor(c("event_ts")).alias("hour_ms"), R.utc_year(c("event_ts")).alias("utc_year")))
+
+
+@query("str_street_match", "SELECT segment_id, p_brand AS brand, contains(lower(p_name), lower(p_brand)) OR contains(lower(p_brand), lower(p_name)) AS matches FROM segments JOIN part ON segment_id = p_partkey", ("segments",))
+def _(r):
+    parts = r.table("part")
+    return parts.select(c("p_partkey").alias("segment_id"), c("p_brand").alias("brand"), R.closure_streets_match(c("p_name"), c("p_brand")).alias("matches"))
+
+
+@query("ge1_distance", f", p AS (SELECT *, lat AS la, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM ride_points WINDOW w AS (PARTITION BY ride_id ORDER BY seq)) SELECT a.ride_id, a.seq, round({_HAV.replace('b.lat', 'a.lat2').replace('b.lon', 'a.lon2')}, 4) AS metres FROM p a WHERE lat2 IS NOT NULL", ("ride_points",))
+def _(r):
+    w = Window.partitionBy("ride_id").orderBy("seq")
+    points = r.ride_points().withColumns({"lat2": F.lead("lat").over(w), "lon2": F.lead("lon").over(w)}).where("lat2 IS NOT NULL")
+    return longs(points.select("ride_id", "seq", F.round(G.haversine(c("lat"), c("lon"), c("lat2"), c("lon2")), 4).alias("metres")))
+
+
+@query("ge9_utm")
+def _(r):
+    east, north = G.utm33(c("lon1"), c("lat1"))
+    return r.segments().where("lon1 IS NOT NULL").select("segment_id", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
+
+
+@query("ge13_centroid", "SELECT segment_id, round((lon1 + lon2) / 2, 9) AS lon, round(lat1, 9) AS lat FROM segments WHERE lon1 IS NOT NULL", ("segments",))
+def _(r):
+    middle = G.centroid(c("line"))
+    return r.segments().where("line IS NOT NULL").select("segment_id", F.round(middle["lon"], 9).alias("lon"), F.round(middle["lat"], 9).alias("lat"))
+
+
+_EDGES = "list(l_partkey % 200 ORDER BY l_linenumber, l_partkey)"
+
+
+def _ride_edges(r: Ride) -> DataFrame:
+    pairs = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", (c("l_partkey") % 200).cast("int").alias("e"))))
+    return r.table("lineitem").groupBy(c("l_orderkey").alias("ride_id")).agg(F.transform(pairs, lambda x: x["e"]).alias("edge_ids"))
+
+
+@query("ag17_usage", f"SELECT l_partkey % 200 AS segment_id, {n_()} AS usage_count FROM lineitem GROUP BY 1")
+def _(r):
+    return RD.usage_counts(_ride_edges(r)).select(c("segment_id").cast("long").alias("segment_id"), "usage_count")
+
+
+@query("ag18_event_counts", f"SELECT segment_id, {n_('*', A_)} AS avoidance_count, {n_('*', P_)} AS preference_count FROM (SELECT DISTINCT segment_id, ride_id, event_type FROM segment_events) GROUP BY 1", ("segment_events",))
+def _(r):
+    return RD.event_counts(r.view("segment_events"))
+
+
+@query("ag18_counters", f", u AS (SELECT l_partkey % 200 AS segment_id, count(*) AS u FROM lineitem GROUP BY 1), k AS (SELECT segment_id, {n_('*', A_)} AS a, {n_('*', P_)} AS p FROM (SELECT DISTINCT segment_id, ride_id, event_type FROM segment_events) GROUP BY 1), j AS (SELECT segment_id, CAST(coalesce(u, 0) AS BIGINT) AS usage_count, coalesce(a, 0) AS avoidance_count, coalesce(p, 0) AS preference_count FROM segments LEFT JOIN u USING (segment_id) LEFT JOIN k USING (segment_id)) SELECT *, CASE WHEN usage_count + avoidance_count > 0 THEN avoidance_count / (usage_count + avoidance_count) END AS avoidance_ratio, CASE WHEN usage_count > 0 THEN preference_count / usage_count END AS preference_ratio FROM j", ("segments", "segment_events"))
+def _(r):
+    return RD.with_counters(r.segments().select("segment_id"), _ride_edges(r), r.view("segment_events"))
+
+
+@query("st_edge_sets", f"SELECT a.ride_id, array_to_string(list_sort(list_distinct(list_concat(x, y))), ',') AS both, array_to_string(list_sort(list_filter(list_distinct(x), lambda v: NOT list_contains(y, v))), ',') AS only FROM (SELECT l_orderkey AS ride_id, {_EDGES} AS x FROM lineitem GROUP BY 1) a JOIN (SELECT l_orderkey + 1 AS ride_id, {_EDGES} AS y FROM lineitem GROUP BY 1) b USING (ride_id)")
+def _(r):
+    mine = _ride_edges(r)
+    other = mine.select((c("ride_id") + 1).alias("ride_id"), c("edge_ids").alias("other"))
+    text = lambda a: F.array_join(F.array_sort(a).cast("array<string>"), ",")
+    return mine.join(other, "ride_id").select("ride_id", text(F.array_union("edge_ids", "other")).alias("both"), text(F.array_except("edge_ids", "other")).alias("only"))
+
+
+@query("wn5_first_edges", "SELECT ride_id, edge_id, CAST(min(n) AS BIGINT) AS first_place FROM (SELECT l_orderkey AS ride_id, l_partkey % 200 AS edge_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) GROUP BY 1, 2")
+def _(r):
+    placed = _ride_edges(r).select("ride_id", F.posexplode("edge_ids").alias("place", "edge_id"))
+    first = placed.groupBy("ride_id", "edge_id").agg((F.min("place") + 1).cast("long").alias("first_place"))
+    return first.select("ride_id", c("edge_id").cast("long").alias("edge_id"), "first_place")
+
+
+@query("gr3_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS x, l_suppkey - l_suppkey % 4 AS y FROM lineitem), s AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r(x, y) AS (SELECT x, y FROM s UNION SELECT r.x, s.y FROM r JOIN s ON r.y = s.x) SELECT x AS node, least(x, min(y)) AS root FROM r WHERE x IN (SELECT x FROM s WHERE x <> y) GROUP BY x""")
+def _(r):
+    links = r.table("lineitem").select(c("l_suppkey").alias("a"), (c("l_suppkey") - c("l_suppkey") % 4).alias("b")).distinct()
+    return graph.components(links)
+
+
+def _network(r: Ride) -> DataFrame:
+    """A street grid over the segments: an edge for each one to its right and its upper neighbour."""
+    s = r.table("part").select(c("p_partkey").alias("n"))
+    right = s.where("n % 50 <> 49").select((c("n") * 2).alias("edge_id"), c("n").alias("from_node"), (c("n") + 1).alias("to_node"), F.lit(100.0).alias("metres"))
+    up = s.select((c("n") * 2 + 1).alias("edge_id"), c("n").alias("from_node"), (c("n") + 50).alias("to_node"), F.lit(111.0).alias("metres"))
+    return right.unionByName(up).withColumns({"edge_id": c("edge_id").cast("int"), "forward": F.lit(True), "backward": c("edge_id") % 5 != 0})
+
+
+@query("gr1_shortest_paths")
+def _(r):
+    trips = r.rides().join(r.table("nation").select(c("n_nationkey").alias("k")), c("ride_id") == c("k") * 40 + 40)
+    placed = trips.select("ride_id", (c("ride_id") % 150 + 1).alias("source"), (c("ride_id") * 7 % 150 + 1).alias("target"))
+    return graph.shortest_paths(placed, _network(r)).withColumn("path_edges", F.array_join(c("path_edges").cast("array<string>"), ","))
