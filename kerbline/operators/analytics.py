@@ -24,16 +24,28 @@ BUCKETS = {
     "TRAFFIC_SPEED_BUCKET": ("traffic_speed_kfz", [(20, "< 20 km/h"), (30, "20-30 km/h"), (50, "30-50 km/h")], ">= 50 km/h"),
 }
 PLAIN = ("EVENT_TYPE", "HOUR_OF_DAY", "DAY_OF_WEEK", "RIDE_INTENT", "WIND_EXPOSURE", "CYCLEWAY_TYPE", "CYCLEWAY_LOCATION", "HIGHWAY", "SURFACE", "SMOOTHNESS", "LIT", "WEATHER_CODE", "TRAFFIC_CONDITION")
-DIMENSIONS: dict[str, Column] = {
-    **{d: c(d.lower()) for d in PLAIN},
-    "PRECIPITATION_BUCKET": F.when(c("precipitation") == 0, "0 mm").otherwise(ladder(c("precipitation"), [(1, "< 1 mm"), (5, "1-5 mm")], ">= 5 mm")),
-    **{d: ladder(c(v), steps, last) for d, (v, steps, last) in BUCKETS.items()},
-}
+DIMENSIONS = (*PLAIN, "PRECIPITATION_BUCKET", *BUCKETS)
 AVERAGES = ("temperature_2m", "precipitation", "wind_speed_10m", "traffic_volume_kfz", "traffic_speed_kfz", "avoidance_ratio", "preference_ratio")
 #: Attributes that infrastructure signals can be drawn from.
 ATTRIBUTES = ("CYCLEWAY_TYPE", "CYCLEWAY_LOCATION", "HIGHWAY", "SURFACE", "SMOOTHNESS", "LIT")
 
-avoided, preferred = c("event_type") == "AVOIDANCE", c("event_type") == "PREFERENCE"
+
+def avoided() -> Column:
+    return c("event_type") == "AVOIDANCE"
+
+
+def preferred() -> Column:
+    return c("event_type") == "PREFERENCE"
+
+
+def dimension_value(dimension: str) -> Column:
+    """The raw value of a dimension."""
+    if dimension == "PRECIPITATION_BUCKET":
+        return F.when(c("precipitation") == 0, "0 mm").otherwise(ladder(c("precipitation"), [(1, "< 1 mm"), (5, "1-5 mm")], ">= 5 mm"))
+    if dimension in BUCKETS:
+        value, steps, last = BUCKETS[dimension]
+        return ladder(c(value), steps, last)
+    return c(dimension.lower())
 
 
 def zero_filled(df: DataFrame, column: str, domain: Iterable[str]) -> DataFrame:
@@ -74,8 +86,8 @@ def distribution(events: DataFrame, segments: DataFrame, dimension: str, criteri
     if dimension not in DIMENSIONS:
         raise ValueError(f"no dimension {dimension}")
     joined = criteria.apply(events).join(segments.select("segment_id", "gradient_percent", "avoidance_ratio", "preference_ratio"), "segment_id")
-    groups = joined.groupBy(DIMENSIONS[dimension].alias("raw")).agg(
-        F.count("*").alias("total"), F.count_if(avoided).alias("avoidance"), F.count_if(preferred).alias("preference"), *(F.avg(a).alias(f"avg_{a}") for a in AVERAGES)
+    groups = joined.groupBy(dimension_value(dimension).alias("raw")).agg(
+        F.count("*").alias("total"), F.count_if(avoided()).alias("avoidance"), F.count_if(preferred()).alias("preference"), *(F.avg(a).alias(f"avg_{a}") for a in AVERAGES)
     )
     top = groups.orderBy(F.desc("total"), c("raw").cast("string")).limit(clamp(limit, 1, 200))
     return top.select(
@@ -94,7 +106,7 @@ def context(events: DataFrame, criteria: EventFilter = EventFilter()) -> DataFra
     """One row: rides, events by type, first and last time."""
     check_range(criteria.start, criteria.end)
     return criteria.apply(events).agg(
-        F.countDistinct("ride_id").alias("rides"), F.count("*").alias("events"), F.count_if(avoided).alias("avoidance"), F.count_if(preferred).alias("preference"), F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts")
+        F.countDistinct("ride_id").alias("rides"), F.count("*").alias("events"), F.count_if(avoided()).alias("avoidance"), F.count_if(preferred()).alias("preference"), F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts")
     )
 
 
@@ -111,8 +123,8 @@ def infrastructure_signals(events: DataFrame, attribute: str, criteria: EventFil
     scope = criteria.apply(events)
     known = scope.where(known_value(value, c("ohsome_enriched"))).select("ride_id", "event_type", F.lower(F.trim(value)).alias("value"))
     totals = scope.agg(F.count("*").alias("matching"), F.count_if(known_value(value, c("ohsome_enriched"))).alias("known"))
-    base = known.select("ride_id", "event_type").distinct().agg(F.count_if(avoided).alias("base_avoidance"), F.count_if(preferred).alias("base_preference"))
-    buckets = known.distinct().groupBy("value").agg(F.count_if(avoided).alias("avoidance"), F.count_if(preferred).alias("preference")).where(c("avoidance") + c("preference") >= max(1, least))
+    base = known.select("ride_id", "event_type").distinct().agg(F.count_if(avoided()).alias("base_avoidance"), F.count_if(preferred()).alias("base_preference"))
+    buckets = known.distinct().groupBy("value").agg(F.count_if(avoided()).alias("avoidance"), F.count_if(preferred()).alias("preference")).where(c("avoidance") + c("preference") >= max(1, least))
     rate = c("avoidance") / (c("avoidance") + c("preference"))
     picked = buckets.withColumn("avoidance_share", rate).orderBy(F.desc("avoidance_share"), F.desc(c("avoidance") + c("preference")), "value").limit(clamp(limit, 1, 50))
     whole = totals.crossJoin(base)  # one row by one row
@@ -162,7 +174,7 @@ def segment_events(events: DataFrame, rides: DataFrame, segment_id: int, criteri
 def traffic_stats(events: DataFrame) -> DataFrame:
     """Event counts and mean traffic of each segment."""
     means = ("traffic_volume_kfz", "traffic_speed_kfz", "temperature_2m", "precipitation", "wind_speed_10m", "wind_direction_10m")
-    return events.groupBy("segment_id").agg(F.count_if(avoided).alias("avoidance"), F.count_if(preferred).alias("preference"), *(F.round(F.avg(m), 6).alias(f"avg_{m}") for m in means), F.lit(None).cast("string").alias("dominant_traffic_condition"))
+    return events.groupBy("segment_id").agg(F.count_if(avoided()).alias("avoidance"), F.count_if(preferred()).alias("preference"), *(F.round(F.avg(m), 6).alias(f"avg_{m}") for m in means), F.lit(None).cast("string").alias("dominant_traffic_condition"))
 
 
 def incidents_near(incidents: DataFrame, segments: DataFrame, metres: float = 25.0) -> DataFrame:
@@ -208,7 +220,7 @@ def corridors(segments: DataFrame, events: DataFrame, incidents: DataFrame, ride
         F.min("street_name").alias("street_name"), F.count("*").alias("segments"), F.array_sort(F.collect_list("segment_id")).alias("segment_ids"), *(getattr(F, k[:3])(e).alias(k) for k, e in edges.items())
     )
     hit = scope.join(member.select("segment_id", "cluster"), "segment_id")
-    by_ride = hit.groupBy("cluster", "ride_id").agg(F.count_if(avoided).alias("a"), F.count_if(preferred).alias("p"))
+    by_ride = hit.groupBy("cluster", "ride_id").agg(F.count_if(avoided()).alias("a"), F.count_if(preferred()).alias("p"))
     counts = by_ride.groupBy("cluster").agg(F.count_if(c("a") > 0).alias("avoidance_rides"), F.count_if(c("p") > 0).alias("preference_rides"), F.sum("a").alias("avoidance_events"), F.sum("p").alias("preference_events"))
     by_segment = hit.where(c("event_type") == rank).groupBy("cluster", "segment_id").agg(F.count("*").alias("n"))
     top = by_segment.groupBy("cluster").agg(F.max_by("segment_id", F.struct("n", -c("segment_id"))).alias("top_segment"))

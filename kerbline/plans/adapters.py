@@ -91,7 +91,9 @@ FROM customer""",
     ),
 }
 
-LINE = F.when(F.col("lon1").isNotNull(), F.array(F.struct(F.col("lon1").alias("lon"), F.col("lat1").alias("lat")), F.struct(F.col("lon2").alias("lon"), F.col("lat1").alias("lat"))))
+def segment_line():
+    """A segment's two vertices; null without a longitude."""
+    return F.when(F.col("lon1").isNotNull(), F.array(F.struct(F.col("lon1").alias("lon"), F.col("lat1").alias("lat")), F.struct(F.col("lon2").alias("lon"), F.col("lat1").alias("lat"))))
 
 
 def spark_text(name: str) -> str:
@@ -123,7 +125,7 @@ class Ride:
         return self.spark.sql(spark_text(name), source=self.table(VIEWS[name][0]))
 
     def segments(self) -> DataFrame:
-        made = self.view("segments").withColumn("line", LINE)
+        made = self.view("segments").withColumn("line", segment_line())
         c = F.col
         return made.withColumns({"avoidance_ratio": R.avoidance_ratio(c("usage_count"), c("avoidance_count")), "preference_ratio": R.preference_ratio(c("usage_count"), c("preference_count"))})
 
