@@ -190,7 +190,8 @@ def overlap_ratio(shortest: Column, actual: Column, radius: float = 20.0) -> Col
         strip = F.when(both, F.greatest(along[0], across[0])), F.when(both, F.least(along[1], across[1]))
         c1, c2 = circle(ax, ay), circle(bx, by)
         low, high = F.least(c1[0], c2[0], strip[0]), F.greatest(c1[1], c2[1], strip[1])
-        return F.struct(F.greatest(low, F.lit(0.0)).alias("lo"), F.least(high, F.lit(1.0)).alias("hi"))
+        found = low.isNotNull()  # greatest and least skip nulls
+        return F.struct(F.when(found, F.greatest(low, F.lit(0.0))).alias("lo"), F.when(found, F.least(high, F.lit(1.0))).alias("hi"))
 
     def covered(leg):
         found = F.array_sort(F.filter(F.transform(legs(actual), lambda other: interval(leg, other)), lambda s: s["lo"] < s["hi"]))

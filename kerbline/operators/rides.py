@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.geo import haversine, overlap_ratio
+from ..functions.geo import haversine, line_line_metres, overlap_ratio
 from .filters import valid_position
-from .spatial import lines_near_lines
 
 c = F.col
 LEAST_METRES, REACH_METRES = 500.0, 20.0
@@ -69,13 +68,15 @@ def edge_moments(rides: DataFrame, points: DataFrame, edges: DataFrame) -> DataF
     return pairs.groupBy("ride_id", "edge_id").agg(F.min_by("ts", F.struct(haversine(c("m.lat"), c("m.lon"), c("lat"), c("lon")).alias("d"), c("seq"))).alias("ts"))
 
 
-def apart_edges(rides: DataFrame, edges: DataFrame, source: str, reference: str) -> DataFrame:
-    """ride_id, edge_id: edges of `source` that aren't in `reference` and don't come near any edge of it; edges without a line count as far."""
-    only = rides.select("ride_id", F.explode(F.array_except(source, reference)).alias("edge_id"))
-    mine = only.join(edges.select("edge_id", c("line").alias("own")), "edge_id")
-    theirs = rides.select("ride_id", F.explode(F.array_distinct(reference)).alias("ref_id")).join(edges.select(c("edge_id").alias("ref_id"), c("line").alias("ref")), "ref_id")
-    keyed = lines_near_lines(mine, theirs.withColumnRenamed("ride_id", "ref_ride"), REACH_METRES, "own", "ref", ["ride_id", "edge_id", "ref_ride", "ref_id"])
-    return only.join(keyed.where(c("ride_id") == c("ref_ride")).select("ride_id", "edge_id"), ["ride_id", "edge_id"], "left_anti")
+def apart_edges(rides: DataFrame, edges: DataFrame, source: str, reference: str, way: str) -> DataFrame:
+    """ride_id, edge_id: edges of `source` that aren't in `reference` and don't come near the line `way`.
+
+    An edge that touches the line at an end counts as near, one without a line of its own as far.
+    """
+    only = rides.select("ride_id", F.col(way).alias("way"), F.explode(F.array_except(source, reference)).alias("edge_id"))
+    placed = only.join(edges.select("edge_id", c("line").alias("own")).dropDuplicates(["edge_id"]), "edge_id", "left")
+    near = F.coalesce(line_line_metres(c("own"), c("way")) <= REACH_METRES, F.lit(False))
+    return placed.where(~near).select("ride_id", "edge_id")
 
 
 def compare_rides(rides: DataFrame) -> DataFrame:
@@ -99,8 +100,8 @@ def register_events(compared: DataFrame, edges: DataFrame, moments: DataFrame) -
     A ride with an event without a time yields none and is to be marked an ERROR (see failed_rides).
     """
     local = compared.where(c("route_comparison_type") == "LOCAL_DETOUR")
-    avoided = apart_edges(local, edges, "path_edges", "edge_ids").withColumn("event_type", F.lit("AVOIDANCE"))
-    chosen = apart_edges(local, edges, "edge_ids", "path_edges").withColumn("event_type", F.lit("PREFERENCE"))
+    avoided = apart_edges(local, edges, "path_edges", "edge_ids", "trajectory").withColumn("event_type", F.lit("AVOIDANCE"))
+    chosen = apart_edges(local, edges, "edge_ids", "path_edges", "shortest_line").withColumn("event_type", F.lit("PREFERENCE"))
     timed = avoided.unionByName(chosen).join(moments, ["ride_id", "edge_id"], "left").join(local.select("ride_id", "start_ms", "ride_intent"), "ride_id")
     events = timed.select(c("edge_id").cast("long").alias("segment_id"), "ride_id", "event_type", F.coalesce("ts", "start_ms").alias("event_ts"), "ride_intent")
     whole = events.withColumn("ok", F.bool_and(c("event_ts").isNotNull()).over(Window.partitionBy("ride_id")))

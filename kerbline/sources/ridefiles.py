@@ -28,8 +28,8 @@ def discover(spark: SparkSession, root: str, imported: DataFrame | None = None,
 
     A limit is a batch of an import run.
     """
-    read = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "VM*").load(root)
-    found = read.select(F.input_file_name().alias("path"), c("value").alias("content")).where(ride_paths(c("path")))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "VM*").load(root)
+    found = read.select("path", c("content").cast("string").alias("content")).where(ride_paths(c("path")))
     found = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     if imported is not None:
         found = found.join(imported.select("file"), "file", "left_anti")
