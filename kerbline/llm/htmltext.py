@@ -383,7 +383,8 @@ def _article(rng) -> str:
     out = [f"<{t} {MARK}>"]
     if rng.random() < 0.8:
         out.append(f"<h1>{_words(rng, 1, 12)}</h1>")
-    for _ in range(int(rng.integers(1, 14)) if rng.random() < 0.8 else 1):
+    many = rng.random()
+    for _ in range(int(rng.integers(1, 14)) if many < 0.78 else int(rng.integers(40, 200)) if many < 0.82 else 1):
         r = rng.random()
         text = " ".join(_sentence(rng) for _ in range(int(rng.integers(1, 7)))) if rng.random() < 0.8 else _sentence(rng, 2, 7)
         if r < 0.68:
@@ -407,9 +408,10 @@ def _article(rng) -> str:
 
 def sample_page(rng) -> str:
     """A page; elements of the main text stand inside one that carries MARK, clutter as _clutter makes it."""
-    body = [_clutter(rng) for _ in range(int(rng.integers(0, 5)))]
+    bare = rng.random() < 0.06
+    body = [_clutter(rng) for _ in range(0 if bare else int(rng.integers(0, 5)))]
     main = _article(rng)
-    after = [_clutter(rng) for _ in range(int(rng.integers(0, 5)))]
+    after = [_clutter(rng) for _ in range(0 if bare else int(rng.integers(0, 5)))]
     if rng.random() < 0.3:
         main = f'<div class="{_pick(rng, "wrapper", "page", "container", "row")}">{"".join(after[:1])}{main}{_clutter(rng) if rng.random() < 0.5 else ""}</div>'
     return f"<!DOCTYPE html><html><head><title>{_words(rng, 2, 8)}</title></head><body>{''.join(body)}{main}{''.join(after)}" + _pick(rng, "</body></html>", "")
@@ -436,7 +438,7 @@ def _marked(html: str) -> tuple[Page, set[int]]:
     return plain, {i for i, t in enumerate(shown.tokens) if "zzmark" in t}
 
 
-def fit_pages(pages: int = 1000, seed: int = 5) -> Trees:
+def fit_pages(pages: int = 800, seed: int = 5) -> Trees:
     """pages: how many sample pages the trees are trained on."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
