@@ -19,10 +19,11 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ from .common import map_texts, table
 
 #: Words and white-space-free runs kept in a worker's memory before it starts anew.
 CACHE_ENTRIES = 600_000
+#: Bytes of text encoded at once.
+CHUNK = 1_000_000
 #: Characters that Python's split takes for white space and the tokenizers don't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Words of up to so many symbols are merged by scanning, longer ones with a heap.
@@ -84,17 +87,21 @@ def codec_of(spec: Spec) -> "Codec":
 
 
 class Runs(dict):
-    """Token ids of runs; a run met for the first time gets a list that is filled at the end of the chunk."""
+    """Token ids of runs as bytes of 32-bit numbers; a run met for the first time gets a buffer that is filled at the end of the chunk."""
 
     def __init__(self, *known):
         super().__init__(*known)
-        self.new: dict[str, list[int]] = {}
+        self.new: dict[str, bytearray] = {}
 
-    def __missing__(self, run: str) -> list[int]:
-        ids = self[run] = self.new[run] = []
+    def __missing__(self, run: str) -> bytearray:
+        ids = self[run] = self.new[run] = bytearray()
         return ids
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class Codec:
     def __init__(self, spec: Spec):
         j = json.loads(spec.raw)
@@ -121,8 +128,9 @@ class Codec:
         self.table = dict(enumerate(self.letters))
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
         self._tables(model["merges"])
-        self.words: dict[str, list[int]] = {}
-        self.runs = Runs({a: [i] for a, i in self.added.items()})
+        self.words: dict[str, bytes] = {}
+        self.spellings = pa.array([self.names.get(i, "") for i in range(max(self.names) + 1)])
+        self.runs = Runs({a: packed([i]) for a, i in self.added.items()})
         # A table of pairs that were checked before; of those that share a place the last stays.
         self.pair_keys, self.pair_clash = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         self.exact_words = self.seen_words = 0
@@ -258,9 +266,9 @@ class Codec:
                 ranks[i] = after[z].get(ids[i + 1], none)
         return ids
 
-    def learn(self, words: list[str]) -> dict[str, list[int]]:
+    def learn(self, words: list[str]) -> dict[str, bytes]:
         """Encodes new words together: proposals, one check of all tokens and pairs, exact merges for the rest."""
-        if len(self.words) + len(words) > CACHE_ENTRIES:
+        if len(self.words) + len(words) > CACHE_ENTRIES // 3:
             self.words.clear()
         self.seen_words += len(words)
         symbols = [w if w.isascii() and w.isalpha() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table) for w in words]
@@ -281,14 +289,13 @@ class Codec:
         rest = np.flatnonzero(inside & ~known)
         bad[rest] |= clash[np.searchsorted(new, pairs[rest])]
         self.pair_keys[at], self.pair_clash[at] = new, clash
-        out: dict[str, list[int]] = {}
+        out: dict[str, bytes] = {}
         failed = np.logical_or.reduceat(bad, starts)
         for word, s, m, f in zip(words, symbols, made, failed, strict=True):
             if m is None or f:
                 self.exact_words += 1
                 m = self.exact(s)
-            self.words[word] = m
-            out[word] = m
+            out[word] = self.words[word] = packed(m)
         return out
 
     def split(self, text: str) -> list[str]:
@@ -302,7 +309,8 @@ class Codec:
         run = run.lower()
         return [run] if run.isalpha() else self.pieces(run)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode_all(self, texts: list[str]) -> pa.ListArray:
+        """The ids of all texts."""
         runs: list[list[str]] = []  # of all texts; an added token is a run of its own
         for t in texts:
             if "<|" in t:
@@ -310,7 +318,7 @@ class Codec:
             else:
                 runs.append(self.split(t))
         if len(self.runs) > CACHE_ENTRIES:
-            self.runs = Runs({a: [i] for a, i in self.added.items()})
+            self.runs = Runs({a: packed([i]) for a, i in self.added.items()})
         known = self.runs
         found = [list(map(known.__getitem__, rs)) for rs in runs]
         new, known.new = known.new, {}
@@ -322,11 +330,20 @@ class Codec:
         for ids, ws in zip(new.values(), cut, strict=True):
             for w in ws:
                 ids += have[w]
-        return [list(chain.from_iterable(ms)) for ms in found]
+        each = [b"".join(ms) for ms in found]
+        offsets = np.cumsum([0, *map(len, each)]) // 4
+        flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(each))])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids: the tokens' spellings joined by a space."""
+        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.spellings.take(ids.values)), " ")
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.encode_all(texts).to_pylist()
 
     def decode(self, ids: list[int]) -> str:
-        names = self.names
-        return " ".join([names[i] for i in ids])
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
 
 ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
@@ -343,15 +360,12 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: list[str]
         codec = codec_of(spec.value)
 
         def work(texts):
-            ids = codec.encode(texts)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.concatenate([np.array(i, np.int32) for i in ids]) if len(ids) else np.empty(0, np.int32)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), [codec.decode(i) for i in ids]
+            ids = codec.encode_all(texts)
+            return ids, codec.decode_all(ids)
 
         return work
 
-    return map_texts(df, text, ENCODED, make, keep if keep is not None else [c for c in df.columns if c != text])
+    return map_texts(df, text, ENCODED, make, keep if keep is not None else [c for c in df.columns if c != text], CHUNK)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

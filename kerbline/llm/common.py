@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +40,15 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
 
 
+def few_of(df: DataFrame, order: Column, wanted: int, total: int) -> DataFrame:
+    """Rows whose hash is among the smallest, about four times as many as wanted: a sort and limit over them sends few rows from each task.
+
+    order: a 64-bit hash; total: about how many rows df has.
+    """
+    share = 4 * max(wanted, 250) / max(total, 1)
+    return df if share >= 1 else df.where(order <= F.lit(int(-(2**63) + share * 2**64)))
+
+
 def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive runs of rows that hold about `limit` characters together."""
     start = size = 0
@@ -50,12 +61,24 @@ def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[
         yield start, len(texts)
 
 
+def spans(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """The same over an Arrow column, by bytes, without turning it into Python strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + limit)) + 1)
+        yield start, min(end, len(ends))
+        start = end
+
+
 def map_texts(
     df: DataFrame,
     text: str,
     schema: T.StructType,
     make: Callable[[], Callable[[list[str]], Iterable[list]]],
     keep: list[str],
+    limit: int = CHUNK_CHARS,
 ) -> DataFrame:
     """Adds columns computed from one text column, chunk by chunk, over Arrow batches.
 
@@ -69,9 +92,9 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            for lo, hi in chunks(texts):
-                made = work([t or "" for t in texts[lo:hi]])
+            texts = batch.column(len(keep))
+            for lo, hi in spans(texts, limit):
+                made = work([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
                 kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
                 new = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(made, list(arrow)[len(keep) :], strict=True)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip([*kept, *new], arrow, strict=True)], schema=arrow)
