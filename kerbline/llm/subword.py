@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import few_of, map_texts
 
 STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—"
 #: Distinct tokens whose scores a worker keeps before it starts anew.
@@ -228,8 +228,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from,
     """
     order = F.xxhash64("doc_id")
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn_from).groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
-    ids = [known.where(F.col("__label") == k).orderBy(order, "doc_id").limit(per_class[k]) for k in (0, 1)]
     counts = dict(known.groupBy("__label").count().collect())
+    ids = [few_of(known.where(F.col("__label") == k), order, per_class[k], counts.get(k, 0)).orderBy(order, "doc_id").limit(per_class[k]) for k in (0, 1)]
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
     rows = texts.orderBy(order, "doc_id", "text").limit(sum(per_class)).select("text", "__label").collect()
     total = sum(counts.values())
