@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.geo import haversine, line_line_metres, overlap_ratio
 from .filters import valid_position
+from .graph import ready_to_checkpoint
 
 c = F.col
 LEAST_METRES, REACH_METRES = 500.0, 20.0
@@ -99,7 +100,10 @@ def register_events(compared: DataFrame, edges: DataFrame, moments: DataFrame) -
 
     A ride with an event without a time yields none and is to be marked an ERROR (see failed_rides).
     """
-    local = compared.where(c("route_comparison_type") == "LOCAL_DETOUR")
+    ready_to_checkpoint(compared.sparkSession)
+    # Compared once: the overlap is costly, and a filter on what follows from it would repeat it.
+    wanted = ["ride_id", "edge_ids", "path_edges", "trajectory", "shortest_line", "start_ms", "ride_intent", "route_comparison_type"]
+    local = compared.select(*wanted).checkpoint().where(c("route_comparison_type") == "LOCAL_DETOUR")
     avoided = apart_edges(local, edges, "path_edges", "edge_ids", "trajectory").withColumn("event_type", F.lit("AVOIDANCE"))
     chosen = apart_edges(local, edges, "edge_ids", "path_edges", "shortest_line").withColumn("event_type", F.lit("PREFERENCE"))
     timed = avoided.unionByName(chosen).join(moments, ["ride_id", "edge_id"], "left").join(local.select("ride_id", "start_ms", "ride_intent"), "ride_id")

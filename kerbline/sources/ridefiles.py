@@ -26,7 +26,7 @@ def ride_paths(name: Column) -> Column:
 def discover(spark: SparkSession, root: str, imported: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """file and content of ride files below a folder that aren't imported yet (column file), by name.
 
-    A limit is a batch of an import run.
+    A limit is a batch of an import run. Files without a byte are passed over by Spark's readers.
     """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "VM*").load(root)
     found = read.select("path", c("content").cast("string").alias("content")).where(ride_paths(c("path")))

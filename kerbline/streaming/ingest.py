@@ -13,7 +13,7 @@ from ..sources import ridefiles
 
 def ride_stream(spark: SparkSession, root: str, files_per_batch: int = 500) -> DataFrame:
     """file and content of new ride files, in bounded batches."""
-    raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "VM*").option("maxFilesPerTrigger", files_per_batch).load(root)
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "VM*").option("maxFilesPerTrigger", files_per_batch).load(root)
     found = raw.select("path", F.col("content").cast("string").alias("content")).where(ridefiles.ride_paths(F.col("path")))
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 

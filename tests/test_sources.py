@@ -31,7 +31,8 @@ def rides(tmp_path):
     folder.mkdir(parents=True)
     (folder / "VM2_1").write_text(RIDE)
     (folder / "VM2_2").write_text("key,lat,lon\n1,2,3\n")
-    (folder / "VM2_3").write_text("")
+    (folder / "VM2_3").write_text("\n \n")
+    (folder / "VM2_6").write_text("")  # Spark's readers pass over files without a byte
     (folder / ".VM2_4").write_text("x")
     (folder / "other").write_text("x")
     (tmp_path / "VM2_5").write_text("outside")
