@@ -42,6 +42,7 @@ TAG_AT = {t: i for i, t in enumerate(TAGS)}
 TOKEN_AT = {t: i for i, t in enumerate(TOKENS)}
 
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>", re.S)
+HTML, BODY = re.compile(r"<html\b", re.I), re.compile(r"<body\b", re.I)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -56,6 +57,8 @@ class Page:
         self.tags, self.parents, self.tokens = ["#"], [-1], [()]
         self.links = [0]
         self.order: list[tuple[int, str]] = []  # (element, text); an empty text ends a block
+        if not HTML.search(html):  # fragments get the elements that browsers imply, so depths compare
+            html = f"<html>{'' if BODY.search(html) else '<body>'}{html}"
         self._read(html)
 
     def _read(self, html: str) -> None:
