@@ -21,7 +21,7 @@ from .common import few_of, map_texts
 
 STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—"
 #: Distinct tokens whose scores a worker keeps before it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
