@@ -10,9 +10,7 @@ four values in some order (a region):
    longest common prefix, and each node and its region's centre, the node nearest to the majority of
    the region's sketches. Confirmed links already join most groups, however large they are, and
    there are a few candidates for each node.
-2. In all trees, the pairs of a region that aren't joined yet. In a region of over CROWD nodes
-   these are, from the smaller group's side, the pairs of close sketches and each node's NEAREST, of each
-   other group the NEAREST members. A region of over LIMIT nodes
+2. In all trees, the pairs of a region that aren't joined yet. A region of over LIMIT nodes
    is cut at the next depth, up to eight values, and what is then still larger is compared within
    a window of the sorted order; the cuts differ from tree to tree.
 
@@ -39,9 +37,9 @@ from .common import ensure_checkpoints, map_texts, table
 from .components import components
 
 HASHES, TREES, FIRST, LIMIT, WINDOW = 128, 24, 6, 2048, 32
-CROWD, NEAREST = 16, 16
-#: How unlike two sketches may be, in standard deviations from the mean at the similarity asked for: at all, and in a crowd.
-SPREAD, CROWD_SPREAD = 4.0, 1.0
+CROWD = 16
+#: How unlike two sketches may be, in standard deviations from the mean at the similarity asked for.
+SPREAD = 4.0
 #: Rows of sorted regions held at once in a worker, and words whose hashes it keeps.
 ROWS_AT_ONCE, CACHE_ENTRIES = 50_000, 100_000
 #: Sets kept while a task confirms pairs.
@@ -212,45 +210,23 @@ def _to_centres(cols: dict[str, np.ndarray], region: np.ndarray, percent: int, u
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
 
 
-def _nearest(cols: dict[str, np.ndarray], region: np.ndarray, percent: int, unlike: int, close: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a region with different roots: the close ones, and the NEAREST of each node to each other root."""
-    out_a, out_b = [], []
+def _within(cols: dict[str, np.ndarray], region: np.ndarray, percent: int, unlike: int):
+    """All pairs of a region that may be similar and have different roots, block by block."""
     for lo, hi in _spans(region, 2):
         node, size, root = (cols[c][lo:hi] for c in ("node", "size", "root"))
         if (root == root[0]).all():
             continue
-        _, of, count = np.unique(root, return_inverse=True, return_counts=True)
-        members = count[of]  # links are sought from the smaller group, which has the fewer nodes to ask
         # Rows in blocks: the matrix of a whole region at LIMIT would take tens of MB.
         for at in range(0, hi - lo, 128):
-            part = slice(at, min(at + 128, hi - lo))
-            far = differing(cols, np.arange(lo, hi)[part, None], np.arange(lo, hi)[None])
-            small, large = np.minimum(size[part, None], size[None]), np.maximum(size[part, None], size[None])
-            i, k = np.nonzero((root[part, None] != root[None]) & (members[part, None] <= members[None]) & (far <= unlike) & (small * 100 >= large * percent))
-            if not len(i):
-                continue
-            d = far[i, k]
-            order = np.lexsort((k, d, i))
-            i, k, d = i[order], k[order], d[order]
-            first = np.maximum.accumulate(np.where(np.concatenate([[True], i[1:] != i[:-1]]), np.arange(len(i)), 0))
-            picked = (np.arange(len(i)) - first < NEAREST) | (d <= close)
-            i, k, d = i[picked], k[picked], d[picked]
-            # Of a group that has many close members, the nearest are enough: one link joins all.
-            order = np.lexsort((k, d, root[k], i))
-            i, k = i[order], k[order]
-            new = np.concatenate([[True], (i[1:] != i[:-1]) | (root[k[1:]] != root[k[:-1]])])
-            place = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
-            out_a.append(node[at + i[place < NEAREST]])
-            out_b.append(node[k[place < NEAREST]])
-    if not out_a:
-        return (np.empty(0, np.int64),) * 2
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return both[0], both[1]
+            part, rest = slice(at, min(at + 128, hi - lo)), slice(at, None)
+            far = differing(cols, np.arange(lo, hi)[part, None], np.arange(lo, hi)[None, rest])
+            small, large = np.minimum(size[part, None], size[None, rest]), np.maximum(size[part, None], size[None, rest])
+            i, k = np.nonzero(np.triu((root[part, None] != root[None, rest]) & (far <= unlike) & (small * 100 >= large * percent)))
+            yield node[at + i], node[at + k]
 
 
 def _pairs(cols: dict[str, np.ndarray], neighbours: bool, percent: int):
-    unlike, close = most_unlike(percent, SPREAD), most_unlike(percent, CROWD_SPREAD)
+    unlike = most_unlike(percent, SPREAD)
     region = _groups(cols["tree"], cols["hi"])
     if neighbours:
         yield _near(cols, region, 1, percent, unlike)
@@ -265,7 +241,7 @@ def _pairs(cols: dict[str, np.ndarray], neighbours: bool, percent: int):
         return {c: v[which] for c, v in cols.items()}, region[which]
 
     yield _near(*part(mixed[region] & (count <= CROWD)), CROWD, percent, unlike)
-    yield _nearest(*part(mixed[region] & (count > CROWD) & (count <= LIMIT)), percent, unlike, close)
+    yield from _within(*part(mixed[region] & (count > CROWD) & (count <= LIMIT)), percent, unlike)
     rest, whole = part(mixed[region] & (count > LIMIT))
     if len(whole):
         yield _near(rest, whole, WINDOW, percent, unlike)
@@ -273,12 +249,12 @@ def _pairs(cols: dict[str, np.ndarray], neighbours: bool, percent: int):
         for shift in (48, 32, 16, 0):  # at the next values
             cut = _groups(whole, depth >> np.uint64(shift))
             fits = np.bincount(cut)[cut] <= LIMIT
-            yield _nearest({c: v[fits] for c, v in rest.items()}, cut[fits], percent, unlike, close)
+            yield from _within({c: v[fits] for c, v in rest.items()}, cut[fits], percent, unlike)
             rest, depth, whole = {c: v[~fits] for c, v in rest.items()}, depth[~fits], cut[~fits]
             if not len(whole):
                 return
             yield _near(rest, whole, WINDOW, percent, unlike)
-        yield _nearest(rest, whole, percent, unlike, close)
+        yield from _within(rest, whole, percent, unlike)
 
 
 def candidates(rows: DataFrame, neighbours: bool, percent: int) -> DataFrame:

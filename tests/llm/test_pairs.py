@@ -118,6 +118,16 @@ def test_crowded_regions():
     assert len(centred) < 3 * n
 
 
+def test_all_pairs_of_a_crowd():
+    import numpy as np
+
+    n, bits = 300, 30  # one node differs from all others in more hashes than most of a crowd's pairs do
+    cols = {"tree": np.zeros(n, np.int64), "hi": np.zeros(n, np.int64), "lo": np.arange(n), "node": np.arange(n), "size": np.full(n, 50), "root": np.arange(n), **{k: np.zeros(n, np.int64) for k in neardup.SKETCH}}
+    cols["s0"][7] = 2**bits - 1
+    pairs = {tuple(sorted(p)) for a, b in neardup._pairs(cols, False, 80) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert pairs == {(i, k) for i in range(n) for k in range(i + 1, n)}
+
+
 def test_signed_sketches():
     import numpy as np
 
