@@ -645,6 +645,6 @@ def _network(r: Ride) -> DataFrame:
 
 @query("gr1_shortest_paths")
 def _(r):
-    trips = r.rides().join(r.table("nation").select(c("n_nationkey").alias("k")), c("ride_id") == c("k") * 40 + 40)
-    placed = trips.select("ride_id", (c("ride_id") % 150 + 1).alias("source"), (c("ride_id") * 7 % 150 + 1).alias("target"))
+    n = r.table("part").count()
+    placed = r.rides().select("ride_id", (c("ride_id") % n + 1).alias("source"), (c("ride_id") * 7 % n + 1).alias("target"))
     return graph.shortest_paths(placed, _network(r)).withColumn("path_edges", F.array_join(c("path_edges").cast("array<string>"), ","))

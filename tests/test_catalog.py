@@ -41,6 +41,36 @@ def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_every_ride_is_routed(spark, sf_dir):
+    import numpy as np
+
+    from kerbline.operators import graph
+    from kerbline.plans.adapters import Ride
+    from kerbline.plans.catalog import _network
+
+    r = Ride(spark, sf_dir)
+    ways = [(w.source, w.target, w.metres, w.edge_id) for w in graph.directed(_network(r)).collect()]
+    n, top = r.table("part").count(), max(max(w[:2]) for w in ways)
+    least = np.full((top + 1, top + 1), np.inf)
+    np.fill_diagonal(least, 0)
+    for a, b, w, _ in ways:
+        least[a, b] = min(least[a, b], w)
+    for k in range(top + 1):
+        least = np.minimum(least, least[:, k, None] + least[k])
+    step = {(a, e): (b, w) for a, b, w, e in ways}
+    rows = {x.ride_id: x for x in QUERIES["gr1_shortest_paths"](spark, sf_dir).collect()}
+    assert sorted(rows) == sorted(x.o_orderkey for x in r.table("orders").collect())
+    for ride, x in rows.items():
+        at, goal = ride % n + 1, ride * 7 % n + 1
+        want, gone = least[at, goal], 0.0
+        assert x.shortest_distance == (want if np.isfinite(want) else None)
+        for e in filter(None, (x.path_edges or "").split(",")):
+            at, w = step[at, int(e)]
+            gone += w
+        assert x.shortest_distance is None or (at, gone) == (goal, want)
+    assert any(x.shortest_distance is not None for x in rows.values())
+
+
 def test_entry(spark, sf_dir):
     import __spark_entry__ as entry
 
