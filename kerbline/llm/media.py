@@ -2,12 +2,15 @@
 
 A payload is written by the wave module (mono, 8 bits, RATE frames a second) and read back from
 the stored bytes. Its short-time Fourier transform (Hann frames of FRAME samples less their mean, a
-frame every FRAME samples, the last one padded with silence) gives each frame's strongest bin. A peak and each
-of the next FAN peaks form a pair; the fingerprint is the array of pairs in time order, each
+frame every HOP samples from HOP before the first, so each sample lies in two frames; edges and zeros at the end are
+silence outside the mean) gives each frame's peaks: the PEAKS strongest bins that are stronger than both
+neighbours and have at least 1 / FAINT of the frame's greatest power. A peak forms pairs with the weaker ones of its frame and with
+the peaks of the next FAN frames; the fingerprint is the array of pairs in time order, each
 as frame * 2**16 + anchor bin * 2**9 + target bin * 2**2 + distance in frames.
 
-Null texts count as empty, and an empty payload is one block of zeros, so its frames are silent:
-silent frames have no peak and no pair. Equal texts give equal values. Whole payloads are
+Null texts count as empty, and an empty payload is one block of zeros, so its frames are silent, as
+are those of one repeated byte: silent frames have no peak and no pair. Any other payload has pairs, as two frames
+hold each of its samples. Peaks are no digest: a few unequal texts, very short ones first, share theirs. Equal texts give equal values. Whole payloads are
 transformed in blocks of frames, so memory follows the longest payload only by its bytes.
 """
 
@@ -23,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import map_texts, table
 
-BLOCK, RATE, FRAME, FAN, FRAMES_AT_ONCE = 64, 8000, 256, 3, 4096
+BLOCK, RATE, FRAME, HOP, PEAKS, FAINT, FAN, FRAMES_AT_ONCE = 64, 8000, 256, 128, 3, 10, 3, 2048
 
 
 def payload_of(text: str) -> tuple[int, bytes]:
@@ -49,33 +52,52 @@ def from_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def peaks(payload: bytes) -> np.ndarray:
-    """The strongest bin but the constant one in each frame, -1 where the frame is silent."""
+def frame_peaks(payload: bytes) -> np.ndarray:
+    """The strongest local peaks of each frame, strongest first, but not the constant bin; -1 where there are fewer."""
     samples = np.frombuffer(payload, np.uint8)
-    n = -(-len(samples) // FRAME)
-    window, out = np.hanning(FRAME).astype(np.float32), np.empty(n, np.int64)
+    n = -(-len(samples) // HOP) + 1
+    samples = samples[: len(payload.rstrip(b"\0"))]  # the padding is silence: a step down to it would drown short texts
+    window, out = np.hanning(FRAME).astype(np.float32), np.empty((n, PEAKS), np.int64)
     for lo in range(0, n, FRAMES_AT_ONCE):
         hi = min(n, lo + FRAMES_AT_ONCE)
-        block = np.zeros((hi - lo) * FRAME, np.float32)
-        part = samples[lo * FRAME : hi * FRAME]
-        block[: len(part)] = part
-        frames = block.reshape(-1, FRAME)
-        frames = (frames - frames.mean(axis=1, keepdims=True)) * window
-        spectrum = np.fft.rfft(frames, axis=1)[:, 1:]
+        block, real = np.zeros((2, (hi - lo + 1) * HOP), np.float32)
+        first = (lo - 1) * HOP  # the sample at the block's start
+        part = samples[max(first, 0) : hi * HOP]
+        at = max(-first, 0)
+        block[at : at + len(part)] = part
+        real[at : at + len(part)] = 1
+        frames, there = (np.concatenate([x.reshape(-1, HOP)[:-1], x.reshape(-1, HOP)[1:]], axis=1) for x in (block, real))
+        mean = frames.sum(axis=1, keepdims=True) / np.maximum(there.sum(axis=1, keepdims=True), 1)
+        spectrum = np.fft.rfft((frames - mean) * there * window, axis=1)[:, 1:]
         power = spectrum.real**2 + spectrum.imag**2
-        best = power.argmax(axis=1)
-        out[lo:hi] = np.where(power[np.arange(hi - lo), best] > 0, best, -1)
+        most = power.max(axis=1, keepdims=True)
+        local = (power > 0) & (power * FAINT >= most)
+        local[:, 1:] &= power[:, 1:] > power[:, :-1]
+        local[:, :-1] &= power[:, :-1] >= power[:, 1:]
+        power[~local] = 0
+        for k in range(PEAKS):
+            best = power.argmax(axis=1)
+            out[lo:hi, k] = np.where(power[np.arange(hi - lo), best] > 0, best, -1)
+            power[np.arange(hi - lo), best] = 0
     return out
 
 
+def peaks(payload: bytes) -> np.ndarray:
+    """The strongest bin but the constant one in each frame, -1 where the frame is silent."""
+    return frame_peaks(payload)[:, 0]
+
+
 def fingerprint(payload: bytes) -> np.ndarray:
-    """Time-coded pairs of spectral peaks, by anchor frame and then by distance."""
-    bins = peaks(payload)
+    """Time-coded pairs of spectral peaks, by anchor frame, then by distance, then strongest first."""
+    bins = frame_peaks(payload)
     n = len(bins)
-    codes = np.full((n, FAN), -1, np.int64)
-    for d in range(1, min(FAN, n - 1) + 1):
-        a, b = bins[:-d], bins[d:]
-        codes[: n - d, d - 1] = np.where((a >= 0) & (b >= 0), (np.arange(n - d) << 16) | (a << 9) | (b << 2) | d, -1)
+    same = [(i, k) for i in range(PEAKS) for k in range(i + 1, PEAKS)]
+    codes = np.full((n, len(same) + FAN * PEAKS * PEAKS), -1, np.int64)
+    pairs = [(0, i, k) for i, k in same] + [(d, i, k) for d in range(1, FAN + 1) for i in range(PEAKS) for k in range(PEAKS)]
+    for j, (d, i, k) in enumerate(pairs):
+        if d < n:
+            a, b = bins[: n - d, i], bins[d:, k]
+            codes[: n - d, j] = np.where((a >= 0) & (b >= 0), (np.arange(n - d) << 16) | (a << 9) | (b << 2) | d, -1)
     flat = codes.ravel()
     return flat[flat >= 0]
 

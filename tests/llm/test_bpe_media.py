@@ -89,3 +89,27 @@ def test_fingerprint_tells_a_tone():
     assert set(media.peaks(b"\0" * 512).tolist()) == {-1} and len(media.fingerprint(b"\0" * 512)) == 0
     codes = media.fingerprint(tone(20))
     assert (np.diff(codes >> 16) >= 0).all() and set(((codes >> 9) & 127).tolist()) == {19}
+
+
+def test_short_texts_are_told_apart():
+    texts = ["a cat", "a dog", "the cat sat on the mat", "the cat sat on the hat", "x" * 63 + "y", "one two three " * 18, "one two four " * 19, "x" * 191 + "y"]
+    prints = [tuple(media.fingerprint(media.payload_of(t)[1]).tolist()) for t in texts]
+    assert all(prints) and len(set(prints)) == len(texts)
+    assert not len(media.fingerprint(b"x" * 128)) and not len(media.fingerprint(media.payload_of("")[1]))
+    assert any(code & 3 == 0 for code in prints[2])
+
+
+def test_frames_overlap():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    payload = rng.integers(0, 256, 1024, np.uint8).tobytes()
+    blank = lambda lo, hi: payload[:lo] + b"\x80" * (hi - lo) + payload[hi:]
+    whole = media.fingerprint(payload).tolist()
+    assert all(media.fingerprint(blank(lo, lo + 32)).tolist() != whole for lo in range(0, 1024, 32))  # seams and edges count too
+    assert len(media.frame_peaks(payload)) == 1024 // media.HOP + 1
+    keep, media.FRAMES_AT_ONCE = media.FRAMES_AT_ONCE, 2
+    try:
+        assert media.fingerprint(payload).tolist() == whole
+    finally:
+        media.FRAMES_AT_ONCE = keep
