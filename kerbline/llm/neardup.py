@@ -12,7 +12,8 @@ four values in some order (a region):
    there are a few candidates for each node.
 2. In all trees, the pairs of a region that aren't joined yet. A region of over LIMIT nodes
    is cut at the next depth, up to eight values, and what is then still larger is compared within
-   a window of the sorted order; the cuts differ from tree to tree.
+   a window of the sorted order. Those are shortcuts: the nodes of all such regions are also joined
+   by the rare shingles of their full sets, which finds all links between them wherever a region is cut.
 
 A pair goes on if the lengths allow the similarity and a sketch of two bits for each hash
 doesn't rule it out (at SPREAD standard deviations), and is then confirmed on the full sets: it is a
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -288,6 +289,40 @@ def candidates(rows: DataFrame, neighbours: bool, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def large_regions(rows: DataFrame) -> DataFrame:
+    """tree and hi of the regions of over LIMIT nodes that aren't one group yet."""
+    return rows.groupBy("tree", "hi").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("top")).where((F.col("n") > LIMIT) & (F.col("low") != F.col("top"))).select("tree", "hi")
+
+
+def prefix_pairs(nodes: DataFrame, docs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
+    """Distinct pairs of nodes (a < b) with different roots, among them all that are similar enough. nodes: node, rep, size, root.
+
+    Shingles of one root come first in each set, then rare ones. Similar sets share one so early that what follows it may suffice.
+    """
+
+    def make():
+        def work(texts):
+            sets = [shingles(t, width) for t in texts]
+            return [s.view(np.int64) for s in sets], [node_of(s) for s in sets]
+
+        return work
+
+    texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("__t")).join(nodes.select("node", "rep", "size", "root"), "rep")
+    sets = map_texts(texts, "__t", T.StructType([T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("named", T.LongType())]), make, ["node", "size", "root"])
+    tokens = sets.where("named = node").dropDuplicates(["node"]).select("node", "size", "root", F.explode("tokens").alias("token")).checkpoint()
+    known = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("top")).where("low != top").select("token", "n")
+    own = Window.partitionBy("node")
+    shared = tokens.join(known, "token").withColumn("m", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("n", "token")))
+    left = shared.where(F.col("m") * 100 >= F.col("size") * percent).withColumn("rest", F.col("m") - F.col("place") + 1)  # shingles from this one on
+    kept = left.where(F.col("rest") * 100 >= F.col("size") * percent).select("node", "size", "root", "token", "rest").checkpoint()
+    x = kept.where(F.col("rest") * (100 + percent) >= F.col("size") * (2 * percent)).alias("x")  # the smaller set
+    y = kept.alias("y")
+    smaller = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
+    enough = F.least("x.rest", "y.rest") * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & smaller & (F.col("x.size") * 100 >= F.col("y.size") * percent) & enough)
+    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
     """The pairs whose full sets are similar enough. nodes: node, rep (a document's key); docs: key, text."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rep"), "node")
@@ -339,7 +374,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     found = confirm(candidates(tree_rows(nodes.withColumn("root", F.col("node")), range(FIRST)), True, percent).checkpoint(), nodes, docs, width, percent, text, key).checkpoint()
     roots = components(found).checkpoint()
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = confirm(candidates(tree_rows(joined, range(TREES)), False, percent).checkpoint(), nodes, docs, width, percent, text, key)
+    forest = tree_rows(joined, range(TREES))
+    pairs, large = candidates(forest, False, percent), large_regions(forest).checkpoint()
+    if not large.isEmpty():
+        crowded = joined.join(forest.join(large, ["tree", "hi"]).select("node").distinct(), "node")
+        pairs = pairs.union(prefix_pairs(crowded, docs, width, percent, text, key)).distinct()
+    more = confirm(pairs.checkpoint(), nodes, docs, width, percent, text, key)
     named = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     over = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     final = joined.select("node", "rep", "root").join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root"))

@@ -128,6 +128,34 @@ def test_all_pairs_of_a_crowd():
     assert pairs == {(i, k) for i in range(n) for k in range(i + 1, n)}
 
 
+def test_large_regions_by_shingles(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    fresh = lambda: f"v{rng.randrange(10**9)}"
+    base, docs = [fresh() for _ in range(100)], []
+    for i in range(160):  # one template, edited to about the limit of similarity
+        words = list(base)
+        for at in rng.sample(range(100), rng.choice([2, 4, 5, 6, 8, 20])):
+            words[at] = fresh()
+        docs.append((i, " ".join(words[: rng.choice([100, 96, 85])])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = neardup.described(frame, 2, "text", ["doc_id"]).selectExpr("node", "doc_id AS rep", "n_shingles AS size", "doc_id % 5 AS root", "sig").cache()
+    of = {r.rep: r.node for r in rows.collect()}
+    sets = [(of[i], i % 5, shingles_of(t, 2)) for i, t in docs]
+    want = {tuple(sorted((m, n))) for k, (m, r, s) in enumerate(sets) for n, q, t in sets[:k] if r != q and 100 * len(s & t) >= 80 * len(s | t)}
+    got = {tuple(r) for r in neardup.prefix_pairs(rows, frame, 2, 80, "text", "doc_id").collect()}
+    assert want and want <= got and all(a < b for a, b in got)
+    one = rows.selectExpr("node", "rep", "size", "0L AS root", "sig")
+    assert neardup.prefix_pairs(one, frame, 2, 80, "text", "doc_id").count() == 0
+    forest = neardup.tree_rows(rows, range(neardup.TREES))
+    assert neardup.large_regions(forest).count() == 0
+    monkeypatch.setattr(neardup, "LIMIT", 4)
+    assert neardup.large_regions(forest).count() > 0 and neardup.large_regions(neardup.tree_rows(one, range(neardup.TREES))).count() == 0
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame, 2).collect()}
+    assert found == {i: c for i, (c, _) in brute(docs, 2).items()}
+
+
 def test_signed_sketches():
     import numpy as np
 
