@@ -50,7 +50,7 @@ def with_counters(segments: DataFrame, rides: DataFrame, events: DataFrame) -> D
 
 def new_segments(segments: DataFrame, rides: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges of rides that have no segment yet, as segments without counts."""
-    used = rides.select(F.explode(F.array_union("edge_ids", F.coalesce("path_edges", F.array().cast("array<int>")))).alias("edge_id")).distinct()
+    used = rides.select(F.explode(F.array_union("edge_ids", F.coalesce("path_edges", F.array().cast("array<bigint>")))).alias("edge_id")).distinct()
     fresh = used.join(segments.select(c("segment_id").alias("edge_id")), "edge_id", "left_anti")
     return fresh.join(edges, "edge_id").select(c("edge_id").cast("long").alias("segment_id"), "street_name", "line", "gradient_percent")
 

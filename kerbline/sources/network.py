@@ -47,4 +47,4 @@ def edges(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     line = F.array(F.struct(c("from_lon").alias("lon"), c("from_lat").alias("lat")), F.struct(c("to_lon").alias("lon"), c("to_lat").alias("lat")))
     made = placed.select("way", "i", "from_node", "to_node", haversine(c("from_lat"), c("from_lon"), c("to_lat"), c("to_lon")).alias("metres"), "street_name", "forward", "backward", line.alias("line"))
     # Numbers without gaps would need one task for all edges: a way's number and the place within it are enough.
-    return made.withColumn("edge_id", (c("way") * 4096 + c("i")).cast("int"))
+    return made.withColumn("edge_id", c("way").cast("long") * 4096 + c("i"))
