@@ -4,58 +4,19 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, M_PER_DEGREE
+from .components import components, ready_to_checkpoint  # noqa: F401
 
 #: Largest road graph that is sent to every worker, in directed edges.
 GRAPH_EDGES = 5_000_000
 
 
-def ready_to_checkpoint(spark: SparkSession) -> None:
-    """Keeps the cluster's shared folder. Where none is set, one process alone may use a folder of its own; a cluster may not."""
-    sc = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    if not re.match(r"local(\[|$)", sc.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
-    """node and root (the smallest node of its component) for each node of a link, by alternating large and small stars.
-
-    Every round turns each node's links to its larger neighbours towards its smallest neighbour and then
-    links all of a node's smaller neighbours to the smallest one, until nothing changes; the number of
-    rounds grows with the logarithm of the longest chain. Smallest neighbours are grouped minima, combined
-    before the shuffle, and joined back, so that a node with very many links can be split over tasks.
-    Nulls and links of a node with itself are ignored, repeated links count once; no links, no rows.
-    """
-    ready_to_checkpoint(links.sparkSession)
-
-    def least_of(pairs: DataFrame) -> DataFrame:
-        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
-
-    edges = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).distinct().checkpoint()
-    state = None
-    for _ in range(most_rounds):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = least_of(both).withColumn("m", F.least("u", "m")).where((F.col("v") > F.col("u")) & (F.col("m") < F.col("v"))).select(F.col("m").alias("v"), F.col("v").alias("u")).distinct().checkpoint()
-        small = least_of(large)
-        edges = small.select(F.col("m").alias("v"), "u").union(small.where(F.col("v") != F.col("m")).select(F.col("m").alias("v"), F.col("v").alias("u"))).distinct().checkpoint()
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = now
-    raise RuntimeError("the components did not settle")
-
-
 def directed(edges: DataFrame) -> DataFrame:
     """edge_id, source, target, metres: a row for each way in which an edge may be ridden."""
     there = edges.where("forward").select("edge_id", F.col("from_node").alias("source"), F.col("to_node").alias("target"), "metres")
