@@ -37,9 +37,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     state = None
     for _ in range(most_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = least_of(both).withColumn("m", F.least("u", "m")).where((F.col("v") > F.col("u")) & (F.col("m") < F.col("v"))).select(F.col("m").alias("v"), F.col("v").alias("u")).distinct().checkpoint()
-        small = least_of(large)
-        edges = small.select(F.col("m").alias("v"), "u").union(small.where(F.col("v") != F.col("m")).select(F.col("m").alias("v"), F.col("v").alias("u"))).distinct().checkpoint()
+        large = least_of(both).withColumn("m", F.least("u", "m")).where((F.col("v") > F.col("u")) & (F.col("m") < F.col("v"))).select(F.col("m").alias("v"), F.col("v").alias("u")).distinct()
+        links_to = F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.when(F.col("v") != F.col("m"), F.struct(F.col("m").alias("v"), F.col("v").alias("u"))))
+        edges = least_of(large).select(F.explode(F.array_compact(links_to)).alias("x")).select("x.v", "x.u").distinct().checkpoint()
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
