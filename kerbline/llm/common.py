@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..operators.components import ready_to_checkpoint as ensure_checkpoints  # noqa: F401
+
 #: Characters of text handled at once inside a Python worker.
 CHUNK_CHARS = 1_000_000
 
@@ -33,13 +34,6 @@ def in_fold(key: str | Column, folds: int, which: int) -> Column:
     return F.coalesce(fold(key, folds) == which, F.lit(False))
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Keeps the cluster's shared checkpoint folder; sets a local one only where none is set."""
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
-
-
 def few_of(df: DataFrame, order: Column, wanted: int, total: int) -> DataFrame:
     """Rows whose hash is among the smallest, about four times as many as wanted: a sort and limit over them sends few rows from each task.
 
@@ -49,12 +43,12 @@ def few_of(df: DataFrame, order: Column, wanted: int, total: int) -> DataFrame:
     return df if share >= 1 else df.where(order <= F.lit(int(-(2**63) + share * 2**64)))
 
 
-def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive runs of rows that hold about `limit` characters together."""
+def chunks(texts: list[str | None], limit: int = CHUNK_CHARS, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive runs of at most so many rows that hold about `limit` characters together."""
     start = size = 0
     for i, text in enumerate(texts):
         size += len(text or "")
-        if size >= limit:
+        if size >= limit or i + 1 - start >= rows:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):

@@ -1,37 +1,5 @@
-"""Connected components of a large graph by alternating star contraction.
+"""Connected components of a large graph: the core library's operator."""
 
-Every round turns each node's links to its larger neighbours towards its smallest neighbour and
-then links all of a node's smaller neighbours to the smallest one, until nothing changes; the
-number of rounds grows with the logarithm of the longest chain. Links stay in Spark; each round is
-checkpointed, so lineage stays short and a lost executor costs at most a round.
-"""
+from ..operators.components import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from .common import ensure_checkpoints
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
-    """node and root (the component's smallest node) for every node of a link between two nodes.
-
-    Nulls and links of a node with itself are ignored, repeated links count once; no links, no rows.
-    """
-    ensure_checkpoints(links.sparkSession)
-    u, v = F.least(a, b).alias("v"), F.greatest(a, b).alias("u")  # v < u
-    edges = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(v, u).distinct().checkpoint()
-    state = None
-    for _ in range(most_rounds):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", smallest).where((F.col("v") > F.col("u")) & (F.col("m") < F.col("v"))).select(F.col("m").alias("v"), F.col("v").alias("u")).distinct()
-        least = F.min("v").over(Window.partitionBy("u"))
-        small = large.withColumn("m", least)
-        edges = small.select(F.col("m").alias("v"), "u").union(small.where(F.col("v") != F.col("m")).select(F.col("m").alias("v"), F.col("v").alias("u"))).distinct().checkpoint()
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = now
-    raise RuntimeError("the components did not settle")
+__all__ = ["components"]

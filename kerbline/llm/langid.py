@@ -5,8 +5,9 @@ are hashed into BUCKETS; the square roots of their counts times the inverse docu
 normalised to length 1, are its vector. Every learned language has several centroids (spherical
 k-means from a bounded sample of its documents), and a text belongs to the language of the
 centroid with the largest cosine. Document frequencies count all documents that may be learned
-from. A text is rejected if its largest cosine is below what the language's own sample shows:
-SLACK times the sample's smallest cosine among texts of about the same length or shorter.
+from. A text is rejected if its largest cosine is below what its language shows at about its length:
+SLACK times the QUANTILE of the cosines of sampled documents that the centroids were not fitted on
+(every HOLD-th of the sample), from the nearest lengths that ENOUGH of them have.
 
 Null texts and texts without a letter are `und`, with score 0, and rejected. With nothing to learn
 from, everything is `und`. Equal cosines go to the language first in the alphabet. Repeated rows
@@ -27,10 +28,11 @@ from .common import chunks, in_fold, map_texts, table
 
 FOLDS, HELD_OUT = 3, 1
 BUCKETS, CENTROIDS = 1 << 13, 4
-#: The sample that centroids are fitted on: documents of each language, characters in each.
-SAMPLE, MAX_CHARS = 800, 20_000
-SLACK, LENGTH_BINS = 0.5, 24
-AT_ONCE = 1_000_000
+#: The sample that centroids are fitted on: documents of each language and of all, characters in each, and the most frequent languages that are learned.
+SAMPLE, SAMPLE_OF_ALL, MAX_CHARS, LANGUAGES = 800, 8_000, 20_000, 256
+SLACK, QUANTILE, HOLD, ENOUGH, LENGTH_BINS = 0.6, 0.01, 3, 20, 24
+#: Characters of a chunk, and rows of one whose vectors are dense.
+AT_ONCE, ROWS_AT_ONCE = 250_000, 128
 UND = "und"
 
 _LETTER: list[np.ndarray] = []
@@ -93,7 +95,7 @@ class LanguageModel:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         langs, scores, rejected = [], np.zeros(len(texts)), np.ones(len(texts), bool)
-        for lo, hi in chunks(texts, AT_ONCE // 4):
+        for lo, hi in chunks(texts, AT_ONCE, ROWS_AT_ONCE):
             v, n_letters = vectors(texts[lo:hi], self.idf)
             if not len(self.owner):
                 langs += [UND] * (hi - lo)
@@ -108,6 +110,20 @@ class LanguageModel:
         return langs, scores, rejected
 
 
+def floors(cosines: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """The least cosine accepted for each length bin, from the bins around it that hold ENOUGH texts together; 0 without any."""
+    out = np.zeros(LENGTH_BINS)
+    for b in range(LENGTH_BINS):
+        apart = np.abs(bins - b)
+        for reach in range(LENGTH_BINS):
+            near = cosines[apart <= reach]
+            if len(near) >= min(ENOUGH, len(cosines)):
+                break
+        if len(near):
+            out[b] = SLACK * np.quantile(near, QUANTILE)
+    return out
+
+
 def cluster(v: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     """Spherical k-means: up to k unit centroids of unit vectors."""
     at = v[rng.choice(len(v), min(k, len(v)), replace=False)]
@@ -143,36 +159,43 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 def fit_languages(docs: DataFrame, learn_from: Column, per_language: int = SAMPLE, max_chars: int = MAX_CHARS, k: int = CENTROIDS, seed: int = 11) -> LanguageModel:
-    """docs: doc_id, text, lang. Learns from rows that meet the condition and have id, text and lang."""
+    """docs: doc_id, text, lang. Learns from rows that meet the condition and have id, text and lang.
+
+    Of more than LANGUAGES values of lang the most frequent are learned; all languages together are
+    sampled by at most SAMPLE_OF_ALL documents, or one each.
+    """
     usable = docs.select("doc_id", "text", "lang").where(learn_from & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     df, n = document_frequencies(usable, "text")
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    first = Window.partitionBy("lang").orderBy(*order)
-    few = usable.where(F.length("text") <= max_chars).select("doc_id", "lang").withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= per_language)
-    picked = F.broadcast(few.select("doc_id", "lang").distinct())  # per_language ids of each language at most
-    rows = usable.where(F.length("text") <= max_chars).join(picked, ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).select("doc_id", "lang", "text").collect()
+    short = usable.where(F.length("text") <= max_chars)
+    sizes = short.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    per_language = min(per_language, max(1, SAMPLE_OF_ALL // max(1, len(sizes))))
+    # A hash bound leaves about four times as many rows as wanted before anything is sorted.
+    bound = [(lang, int(min(2**63 - 1, -(2**63) + 4 * max(per_language, 250) / m * 2**64))) for lang, m in sizes]
+    order = F.xxhash64("doc_id")
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bound, "lang string, __most long"))  # LANGUAGES rows at most
+    first = Window.partitionBy("lang").orderBy(order, "doc_id")
+    few = short.select("doc_id", "lang").join(bounds, "lang").where(order <= F.col("__most")).withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= per_language)
+    picked = F.broadcast(few.select("doc_id", "lang").distinct())  # SAMPLE_OF_ALL ids at most
+    rows = short.join(picked, ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).select("doc_id", "lang", "text").collect()
     by: dict[str, list] = {}
     for doc_id, lang, text in sorted(rows, key=lambda r: (r[1], r[0])):
         by.setdefault(lang, []).append(text)
     rng = np.random.default_rng(seed)
-    languages, centroids, owner, floors = sorted(by), [], [], []
+    languages, centroids, owner, least = sorted(by), [], [], []
     for i, lang in enumerate(languages):
-        made = [vectors(by[lang][lo:hi], idf) for lo, hi in chunks(by[lang], AT_ONCE)]
+        made = [vectors(by[lang][lo:hi], idf) for lo, hi in chunks(by[lang], AT_ONCE, ROWS_AT_ONCE)]
         v, n_letters = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
         v, n_letters = v[n_letters > 0], n_letters[n_letters > 0]
         floor = np.zeros(LENGTH_BINS)
         if len(v):
-            at = cluster(v, k, rng)
+            apart = np.arange(len(v)) % HOLD == HOLD - 1
+            at = cluster(v[~apart], k, rng)
             centroids.append(at)
             owner += [i] * len(at)
-            near, bins = (v @ at.T).max(axis=1), length_bin(n_letters)
-            lowest = 1.0
-            for b in range(LENGTH_BINS):
-                lowest = min([lowest, *near[bins >= b]]) if not b else lowest
-                floor[b] = SLACK * min([*near[bins <= b], *([] if (bins <= b).any() else [lowest])])
-        floors.append(floor)
-    return LanguageModel(languages, idf, np.concatenate(centroids) if centroids else np.zeros((0, BUCKETS), np.float32), np.array(owner, np.int64), np.array(floors).reshape(-1, LENGTH_BINS))
+            floor = floors((v[apart] @ at.T).max(axis=1), length_bin(n_letters[apart])) if apart.any() else floor
+        least.append(floor)
+    return LanguageModel(languages, idf, np.concatenate(centroids) if centroids else np.zeros((0, BUCKETS), np.float32), np.array(owner, np.int64), np.array(least).reshape(-1, LENGTH_BINS))
 
 
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

@@ -7,41 +7,47 @@ signature's values in an order of its own. Nodes are candidates if they share a
 four values in some order (a region):
 
 1. In the first FIRST trees, each node and its neighbours in the sorted order, those with the
-   longest common prefix, and each node and its region's centre, the node nearest to the majority of
-   the region's sketches. Confirmed links already join most groups, however large they are, and
-   there are a few candidates for each node.
-2. In all trees, the pairs of a region that aren't joined yet. A region of over LIMIT nodes
-   is cut at the next depth, up to eight values, and what is then still larger is compared within
-   a window of the sorted order. Those are shortcuts: the nodes of all such regions are also joined
-   by the rare shingles of their full sets, which finds all links between them wherever a region is cut.
-
-A pair goes on if the lengths allow the similarity and a sketch of two bits for each hash
-doesn't rule it out (at SPREAD standard deviations), and is then confirmed on the full sets: it is a
+   longest common prefix, and each node and the centre of its run of the region, the node nearest to
+   the majority of the run's sketches. Confirmed links already join most groups, however large they are,
+   and there are a few candidates for each node.
+2. In all trees, all pairs that aren't joined yet of regions of up to CROWD nodes.
+3. The nodes of larger regions that aren't one group yet are joined by the rare shingles of their full
+   sets (prefix, length and positional filters), all with all. That misses no link between
+   them, whatever region they met in, and needs no cut of a region.
+
+A pair of 1 and 2 goes on if the lengths allow the similarity and a sketch of two bits for each hash
+doesn't rule it out (at SPREAD standard deviations). All pairs are then confirmed on the full sets: a
 link if 100 * intersection >= percent * union. Components of the links are the groups.
 
 Null and empty texts have the empty set and link with nothing. Rows without a doc_id link with
-nothing either, and their component_id is null. Rows that repeat a doc_id and its text are one document and share
-all values. Only the columns named are read, so others may have any name.
+nothing either, and their component_id is null. Rows that repeat a doc_id and its text are one
+document and share all values; rows of one doc_id with different texts are different documents, each
+with its own text's group. With no rows there are none. Only the columns named are read, so others may have any name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ensure_checkpoints, map_texts, table
 from .components import components
 
-HASHES, TREES, FIRST, LIMIT, WINDOW = 128, 24, 6, 2048, 32
-CROWD = 16
+HASHES, TREES, FIRST = 128, 24, 6
+#: Nodes of a region compared in pairs; nodes that share a centre (a longer region has several, which meet).
+CROWD, RUN = 32, 2048
+#: Buckets in which the frequencies of crowds' shingles are kept; they only order the shingles.
+BUCKETS = 1 << 20
 #: How unlike two sketches may be, in standard deviations from the mean at the similarity asked for.
 SPREAD = 4.0
-#: Rows of sorted regions held at once in a worker, and words whose hashes it keeps.
+#: Rows of sorted regions read at once in a worker, and words whose hashes it keeps.
 ROWS_AT_ONCE, CACHE_ENTRIES = 50_000, 100_000
 #: Sets kept while a task confirms pairs.
 HELD_SETS = 256
@@ -155,172 +161,250 @@ def differing(cols: dict[str, np.ndarray], i, k) -> np.ndarray:
     return first + second
 
 
-def _near(cols: dict[str, np.ndarray], group: np.ndarray, reach: int, percent: int, unlike: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows up to `reach` places apart in one group that may be similar and have different roots."""
-    node, size, root = (cols[c] for c in ("node", "size", "root"))
-    at, a, b = np.arange(len(node)), [], []
-    for d in range(1, min(reach, len(node) - 1) + 1):
-        at = at[: np.searchsorted(at, len(node) - d)]
-        at = at[group[at] == group[at + d]]
+def _alike(cols: dict[str, np.ndarray], i, k, percent: int, unlike: int) -> np.ndarray:
+    """Whether rows i and k have different roots and may be similar."""
+    size, root = cols["size"], cols["root"]
+    small, large = np.minimum(size[i], size[k]), np.maximum(size[i], size[k])
+    return (root[i] != root[k]) & (small * 100 >= large * percent) & (differing(cols, i, k) <= unlike)
+
+
+def _regions(cols: dict[str, np.ndarray]) -> np.ndarray:
+    """Where regions begin, and the number of rows."""
+    new = np.ones(len(cols["node"]), bool)
+    new[1:] = (cols["tree"][1:] != cols["tree"][:-1]) | (cols["hi"][1:] != cols["hi"][:-1])
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def _pairs(cols: dict[str, np.ndarray], edges: np.ndarray, reach: int, percent: int, unlike: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows up to `reach` places apart in one region that may be similar and have different roots."""
+    node, n = cols["node"], int(edges[-1])
+    end, at = np.repeat(edges[1:], np.diff(edges)), np.arange(n)
+    for d in range(1, reach + 1):
+        at = at[at + d < end[at]]
         if not len(at):
-            break
-        to = at + d
-        likely = root[at] != root[to]
-        i, k = at[likely], to[likely]
-        small, large = np.minimum(size[i], size[k]), np.maximum(size[i], size[k])
-        fits = (small * 100 >= large * percent) & (differing(cols, i, k) <= unlike)
-        a.append(node[i[fits]])
-        b.append(node[k[fits]])
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
-
-
-def _groups(*columns: np.ndarray) -> np.ndarray:
-    new = np.zeros(len(columns[0]), bool)
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return np.cumsum(new)
-
-
-def _sketch_bits(cols: dict[str, np.ndarray]) -> np.ndarray:
-    return np.unpackbits(np.ascontiguousarray(np.stack([cols[s] for s in SKETCH], axis=1)).view(np.uint8), axis=1)
-
-
-def _spans(group: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Bounds of the groups of at least so many rows, long ones cut into runs of LIMIT."""
-    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    return [(at, min(at + LIMIT, hi)) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if hi - lo >= least for at in range(lo, hi, LIMIT)]
-
-
-def _to_centres(cols: dict[str, np.ndarray], region: np.ndarray, percent: int, unlike: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each node of a region of four and more with the region's centre; centres of a cut region's runs form a chain."""
-    node, size, a, b, last = cols["node"], cols["size"], [], [], (-1, -1)
-    for lo, hi in _spans(region, 4):
-        bits = _sketch_bits({c: cols[c][lo:hi] for c in SKETCH})
-        common = bits.mean(axis=0) >= 0.5
-        centre = lo + int((bits != common).sum(axis=1).argmin())
-        far = differing(cols, np.arange(lo, hi), np.full(hi - lo, centre))
-        small, large = np.minimum(size[lo:hi], size[centre]), np.maximum(size[lo:hi], size[centre])
-        ok = lo + np.flatnonzero((far <= unlike) & (small * 100 >= large * percent))
-        ok = ok[ok != centre]
-        a.append(node[ok])
-        b.append(np.full(len(ok), node[centre]))
-        if last[0] == region[lo]:
-            a.append(node[[last[1]]])
-            b.append(node[[centre]])
-        last = (region[lo], centre)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
-
-
-def _within(cols: dict[str, np.ndarray], region: np.ndarray, percent: int, unlike: int):
-    """All pairs of a region that may be similar and have different roots, block by block."""
-    for lo, hi in _spans(region, 2):
-        node, size, root = (cols[c][lo:hi] for c in ("node", "size", "root"))
-        if (root == root[0]).all():
+            return
+        fits = at[_alike(cols, at, at + d, percent, unlike)]
+        yield node[fits], node[fits + d]
+
+
+def _centre(cols: dict[str, np.ndarray], lo: int, hi: int) -> int:
+    bits = np.unpackbits(np.ascontiguousarray(np.stack([cols[c][lo:hi] for c in SKETCH], axis=1)).view(np.uint8), axis=1)
+    return lo + int((bits != (bits.mean(axis=0) >= 0.5)).sum(axis=1).argmin())
+
+
+def _to_centres(cols: dict[str, np.ndarray], edges: np.ndarray, percent: int, unlike: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each node of a region of four and more with the centre of its run, and each run's centre with the one before."""
+    node = cols["node"]
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if hi - lo < 4:
             continue
-        # Rows in blocks: the matrix of a whole region at LIMIT would take tens of MB.
-        for at in range(0, hi - lo, 128):
-            part, rest = slice(at, min(at + 128, hi - lo)), slice(at, None)
-            far = differing(cols, np.arange(lo, hi)[part, None], np.arange(lo, hi)[None, rest])
-            small, large = np.minimum(size[part, None], size[None, rest]), np.maximum(size[part, None], size[None, rest])
-            i, k = np.nonzero(np.triu((root[part, None] != root[None, rest]) & (far <= unlike) & (small * 100 >= large * percent)))
-            yield node[at + i], node[at + k]
+        last = None
+        for at in range(lo, hi, RUN):
+            to = min(at + RUN, hi)
+            centre = _centre(cols, at, to)
+            ok = at + np.flatnonzero(_alike(cols, np.arange(at, to), np.full(to - at, centre), percent, unlike))
+            yield node[ok], np.full(len(ok), node[centre])
+            if last is not None:
+                yield node[[last]], node[[centre]]
+            last = centre
 
 
-def _pairs(cols: dict[str, np.ndarray], neighbours: bool, percent: int):
-    unlike = most_unlike(percent, SPREAD)
-    region = _groups(cols["tree"], cols["hi"])
-    if neighbours:
-        yield _near(cols, region, 1, percent, unlike)
-        yield _to_centres(cols, region, percent, unlike)
-        return
-    mixed = np.zeros(region[-1] + 1, bool)  # regions with more than one root
-    differ = (region[1:] == region[:-1]) & (cols["root"][1:] != cols["root"][:-1])
-    mixed[region[1:][differ]] = True
-    count = np.bincount(region)[region]
-
-    def part(which):
-        return {c: v[which] for c, v in cols.items()}, region[which]
-
-    yield _near(*part(mixed[region] & (count <= CROWD)), CROWD, percent, unlike)
-    yield from _within(*part(mixed[region] & (count > CROWD) & (count <= LIMIT)), percent, unlike)
-    rest, whole = part(mixed[region] & (count > LIMIT))
-    if len(whole):
-        yield _near(rest, whole, WINDOW, percent, unlike)
-        depth = rest["lo"].view(np.uint64)
-        for shift in (48, 32, 16, 0):  # at the next values
-            cut = _groups(whole, depth >> np.uint64(shift))
-            fits = np.bincount(cut)[cut] <= LIMIT
-            yield from _within({c: v[fits] for c, v in rest.items()}, cut[fits], percent, unlike)
-            rest, depth, whole = {c: v[~fits] for c, v in rest.items()}, depth[~fits], cut[~fits]
-            if not len(whole):
-                return
-            yield _near(rest, whole, WINDOW, percent, unlike)
-        yield from _within(rest, whole, percent, unlike)
-
-
-def candidates(rows: DataFrame, neighbours: bool, percent: int) -> DataFrame:
-    """Distinct pairs of nodes (a < b) from the trees' sorted orders."""
+def _sorted_rows(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    return rows.repartition("tree", "hi").sortWithinPartitions("tree", "hi", "lo", "root", "node").mapInArrow(run, schema)
+
+
+def _read(batches) -> Iterator[dict[str, np.ndarray]]:
     names = [f.split()[0] for f in ROW.split(", ")]
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(lo, ROWS_AT_ONCE)
+            yield {c: part.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
+
+
+def _and(held: dict[str, np.ndarray] | None, new: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
+
+
+def _of(cols: dict[str, np.ndarray], which) -> dict[str, np.ndarray]:
+    return {c: v[which] for c, v in cols.items()}
+
+
+def _both(pairs) -> Iterator[pa.RecordBatch]:
+    for a, b in pairs:
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def neighbours_run(percent: int) -> Callable:
+    """Pairs of nodes (a < b) of sorted rows: next to each other, or a node and its run's centre.
+
+    A region is read as a stream; of a part that fills ROWS_AT_ONCE the last row and a centre go on to the next part.
+    """
+    unlike = most_unlike(percent, SPREAD)
 
-    def out(pairs):
-        for a, b in pairs:
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    def found(cols):
+        edges = _regions(cols)
+        yield from _both(_pairs(cols, edges, 1, percent, unlike))
+        yield from _both(_to_centres(cols, edges, percent, unlike))
 
     def run(batches):
-        held: dict[str, np.ndarray] | None = None
-        for batch in batches:
-            new = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
-            held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in names}
-            n = len(held["node"])
-            if n < ROWS_AT_ONCE:
+        held = None
+        for new in _read(batches):
+            held = _and(held, new)
+            if len(held["node"]) < ROWS_AT_ONCE:
                 continue
-            last = int(np.flatnonzero((held["tree"] == held["tree"][-1]) & (held["hi"] == held["hi"][-1]))[0])
-            if not last:  # one region fills all: go on from its last window
-                yield from out(_pairs(held, neighbours, percent))
-                last = n - WINDOW
+            edges = _regions(held)
+            if len(edges) > 2:
+                yield from found(_of(held, slice(None, edges[-2])))
+                held = _of(held, slice(edges[-2], None))
             else:
-                yield from out(_pairs({c: v[:last] for c, v in held.items()}, neighbours, percent))
-            held = {c: v[last:] for c, v in held.items()}
-        if held is not None and len(held["node"]):
-            yield from out(_pairs(held, neighbours, percent))
+                yield from found(held)
+                held = _of(held, [_centre(held, max(0, edges[-1] - RUN), edges[-1]), edges[-1] - 1])
+        if held is not None:
+            yield from found(held)
+
+    return run
+
+
+def neighbours(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of nodes (a < b) that are neighbours in a tree's order or a node and a centre."""
+    return _sorted_rows(rows, neighbours_run(percent), "a long, b long").distinct()
+
 
-    ordered = rows.repartition("tree", "hi").sortWithinPartitions("tree", "hi", "lo", "root", "node")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+def region_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """What the regions hold: pairs of nodes (a, b) from regions of up to CROWD nodes, with a null region, and of larger ones each node, as a, and its root, as b.
 
+    A large region is read as a stream; at most CROWD rows wait for the next part.
+    """
+    unlike = most_unlike(percent, SPREAD)
+
+    def members(cols):
+        yield pa.RecordBatch.from_arrays([pa.array(cols[c]) for c in ("node", "root", "hi")] + [pa.array(cols["tree"], pa.int32())], names=["a", "b", "hi", "tree"])
+
+    def whole(cols):
+        """Of regions that end here."""
+        edges = _regions(cols)
+        size, mixed = np.diff(edges), np.maximum.reduceat(cols["root"], edges[:-1]) != np.minimum.reduceat(cols["root"], edges[:-1])
+        small, large = np.repeat(mixed & (size <= CROWD), size), np.repeat(mixed & (size > CROWD), size)
+        if small.any():
+            part = _of(cols, small)
+            for a, b in _pairs(part, _regions(part), CROWD - 1, percent, unlike):
+                if len(a):
+                    n = len(a)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=["a", "b", "hi", "tree"])
+        if large.any():
+            yield from members(_of(cols, large))
+
+    def run(batches):
+        held, open_region = None, None  # open_region: its rows go out as they come
+        for new in _read(batches):
+            held = _and(held, new)
+            if open_region is not None:
+                more = int(((held["tree"] == open_region[0]) & (held["hi"] == open_region[1])).sum())
+                if more:
+                    yield from members(_of(held, slice(None, more)))
+                    held = _of(held, slice(more, None))
+                if not len(held["node"]):
+                    held = None
+                    continue
+                open_region = None
+            edges = _regions(held)
+            if edges[-2]:
+                yield from whole(_of(held, slice(None, edges[-2])))
+                held = _of(held, slice(edges[-2], None))
+            if len(held["node"]) > CROWD:
+                open_region = held["tree"][0], held["hi"][0]
+                yield from members(held)
+                held = None
+        if held is not None:
+            yield from whole(held)
+
+    return _sorted_rows(rows, run, "a long, b long, hi long, tree int")
+
+
+def crowded(found: DataFrame) -> DataFrame:
+    """The nodes of large regions that have several roots."""
+    members = found.where("tree IS NOT NULL")
+    mixed = members.groupBy("tree", "hi").agg(F.min("b").alias("low"), F.max("b").alias("top")).where("low != top").select("tree", "hi").checkpoint()
+    return members.join(mixed, ["tree", "hi"]).select(F.col("a").alias("node")).distinct()
+
+
+def frequencies(tokens: DataFrame) -> np.ndarray:
+    """For each bucket of shingles the count of its most frequent one that several roots hold, 0 where there is none. tokens: token, root.
+
+    At most BUCKETS rows reach the driver.
+    """
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("top")).where("low != top")
+    made = shared.groupBy(F.col("token").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).agg(F.max("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[made.column("bucket").to_numpy()] = made.column("n").to_numpy()
+    return out
 
-def large_regions(rows: DataFrame) -> DataFrame:
-    """tree and hi of the regions of over LIMIT nodes that aren't one group yet."""
-    return rows.groupBy("tree", "hi").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("top")).where((F.col("n") > LIMIT) & (F.col("low") != F.col("top"))).select("tree", "hi")
 
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """token, node, root, size, rest and first: the shingles of each set among which similar sets of other roots share one.
 
-def prefix_pairs(nodes: DataFrame, docs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
-    """Distinct pairs of nodes (a < b) with different roots, among them all that are similar enough. nodes: node, rep, size, root.
+    The order is that of the buckets' counts, then of the hashes. Shingles of a bucket that counts 0 are
+    only held by one root. rest: the set's other shingles from this one on, which bounds what a pair that first
+    meets here can share. first: it is early enough for the smaller set of a pair, else only for the larger one.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
 
-    Shingles of one root come first in each set, then rare ones. Similar sets share one so early that what follows it may suffice.
+    def run(batches):
+        counts = sent.value
+        for batch in batches:
+            out = []
+            for node, root, s in zip(*(batch.column(i).to_pylist() for i in (0, 1)), (np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()), strict=True):
+                n = counts[s & (BUCKETS - 1)]
+                known = n > 0
+                t, n = s[known], n[known]
+                rest = len(t) - np.arange(len(t))
+                keep = int((rest * 100 >= len(s) * percent).sum())
+                if keep:
+                    order = np.lexsort((t, n))[:keep]
+                    out.append((t[order], node, root, len(s), rest[:keep]))
+            if out:
+                k = [len(x[0]) for x in out]
+                size, rest = np.repeat([x[3] for x in out], k).astype(np.int32), np.concatenate([x[4] for x in out]).astype(np.int32)
+                first = rest.astype(np.int64) * (100 + percent) >= size.astype(np.int64) * (2 * percent)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.repeat(np.array([x[1] for x in out], np.int64), k)), pa.array(np.repeat(np.array([x[2] for x in out], np.int64), k)), pa.array(size), pa.array(rest), pa.array(first)], names=["token", "node", "root", "size", "rest", "first"])
+
+    return sets.select("node", "root", "tokens").mapInArrow(run, "token long, node long, root long, size int, rest int, first boolean")
+
+
+def crowd_pairs(nodes: DataFrame, docs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
+    """Distinct pairs of nodes (a < b) with different roots, among them all that are similar enough. nodes: node, rep, root.
+
+    A set x is as large as y or smaller. Of a pair, first y is held against what the sets x of another root with
+    the same shingle can reach together, so that the members of one group are never paired with each other,
+    and only where that suffices against each of them.
     """
 
     def make():
         def work(texts):
             sets = [shingles(t, width) for t in texts]
-            return [s.view(np.int64) for s in sets], [node_of(s) for s in sets]
+            return [s.tobytes() for s in sets], [node_of(s) if len(s) else None for s in sets]
 
         return work
 
-    texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("__t")).join(nodes.select("node", "rep", "size", "root"), "rep")
-    sets = map_texts(texts, "__t", T.StructType([T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("named", T.LongType())]), make, ["node", "size", "root"])
-    tokens = sets.where("named = node").dropDuplicates(["node"]).select("node", "size", "root", F.explode("tokens").alias("token")).checkpoint()
-    known = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("top")).where("low != top").select("token", "n")
-    own = Window.partitionBy("node")
-    shared = tokens.join(known, "token").withColumn("m", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("n", "token")))
-    left = shared.where(F.col("m") * 100 >= F.col("size") * percent).withColumn("rest", F.col("m") - F.col("place") + 1)  # shingles from this one on
-    kept = left.where(F.col("rest") * 100 >= F.col("size") * percent).select("node", "size", "root", "token", "rest").checkpoint()
-    x = kept.where(F.col("rest") * (100 + percent) >= F.col("size") * (2 * percent)).alias("x")  # the smaller set
-    y = kept.alias("y")
-    smaller = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
-    enough = F.least("x.rest", "y.rest") * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
-    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & smaller & (F.col("x.size") * 100 >= F.col("y.size") * percent) & enough)
-    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("__t")).join(nodes.select("node", "rep", "root"), "rep")
+    sets = map_texts(texts, "__t", T.StructType([T.StructField("tokens", T.BinaryType()), T.StructField("named", T.LongType())]), make, ["node", "root"]).where("named = node").select("node", "root", "tokens").checkpoint()
+
+    def apart(batches):
+        for batch in batches:
+            parts = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in parts]))], names=["token", "root"])
+
+    counts = frequencies(sets.select("root", "tokens").mapInArrow(apart, "token long, root long"))
+    kept = prefixes(sets, counts, percent).checkpoint()
+    p, q = percent, 100 + percent
+    x = kept.where("first").select("token", F.col("root").alias("xroot"), F.col("node").alias("xnode"), F.col("size").alias("xsize"), F.col("rest").alias("xrest"))
+    reach = x.groupBy("token", "xroot").agg(F.min("xsize").alias("least"), F.max("xsize").alias("most"), F.max(F.col("xrest") * q - F.col("xsize") * p).alias("spare")).checkpoint()
+    able = (F.col("root") != F.col("xroot")) & (F.col("least") <= F.col("size")) & (F.col("most") * 100 >= F.col("size") * p) & (F.col("spare") >= F.col("size") * p) & (F.col("rest") * q - F.col("size") * p >= F.col("least") * p)
+    y = kept.join(reach, "token").where(able).select("token", "xroot", "node", "size", "rest").checkpoint()
+    fits = (F.col("xsize") <= F.col("size")) & (F.col("xsize") * 100 >= F.col("size") * p) & (F.least("xrest", "rest") * q >= (F.col("xsize") + F.col("size")) * p)
+    return y.join(x, ["token", "xroot"]).where(fits).select(F.least("node", "xnode").alias("a"), F.greatest("node", "xnode").alias("b")).distinct()
 
 
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
@@ -365,35 +449,46 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, per
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_shingles, component_id (the smallest key reachable) and kept, a row for each row of docs."""
+def grouped(docs: DataFrame, width: int, percent: int, text: str, key: str, keep: list[str]) -> DataFrame:
+    """keep, n_shingles, node, component (the smallest key reachable) and keeper (the node that stays); the last three are null where the set is empty, the last two also without a key."""
     ensure_checkpoints(docs.sparkSession)
-    rows = described(docs, width, text, [key]).checkpoint()
+    rows = described(docs, width, text, list(dict.fromkeys([key, *keep]))).checkpoint()
     of = rows.where(F.col("node").isNotNull() & F.col(key).isNotNull())
     nodes = of.groupBy("node").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig")).checkpoint()
-    found = confirm(candidates(tree_rows(nodes.withColumn("root", F.col("node")), range(FIRST)), True, percent).checkpoint(), nodes, docs, width, percent, text, key).checkpoint()
+    texts = docs.select(key, text)
+    if not of.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        texts = texts.distinct()  # repeated rows would repeat in every join
+    found = confirm(neighbours(tree_rows(nodes.withColumn("root", F.col("node")), range(FIRST)), percent).checkpoint(), nodes, texts, width, percent, text, key).checkpoint()
     roots = components(found).checkpoint()
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    forest = tree_rows(joined, range(TREES))
-    pairs, large = candidates(forest, False, percent), large_regions(forest).checkpoint()
-    if not large.isEmpty():
-        crowded = joined.join(forest.join(large, ["tree", "hi"]).select("node").distinct(), "node")
-        pairs = pairs.union(prefix_pairs(crowded, docs, width, percent, text, key)).distinct()
-    more = confirm(pairs.checkpoint(), nodes, docs, width, percent, text, key)
+    met = region_pairs(tree_rows(joined, range(TREES)), percent).checkpoint()
+    pairs, crowds = met.where("tree IS NULL").select("a", "b"), crowded(met).checkpoint()
+    if not crowds.isEmpty():
+        pairs = pairs.union(crowd_pairs(joined.join(crowds, "node"), texts, width, percent, text, key))
+    more = confirm(pairs.distinct().checkpoint(), nodes, texts, width, percent, text, key)
     named = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     over = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    final = joined.select("node", "rep", "root").join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root"))
-    least = final.groupBy("top").agg(F.min("rep").alias("component"))
-    labels = final.join(least, "top").select("node", "component")
-    out = rows.select(key, "n_shingles", "node").join(labels, "node", "left")
-    out = out.withColumn("component_id", F.when(F.col(key).isNotNull(), F.coalesce("component", key)))
-    return out.select(key, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
+    final = joined.select("node", "rep", "root").join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", "rep", F.coalesce("top", "root").alias("top")).checkpoint()
+    least = final.groupBy("top").agg(F.min(F.struct("rep", "node")).alias("least")).checkpoint()
+    labels = final.join(least, "top").select("node", F.col("least.rep").alias("component"), F.col("least.node").alias("keeper"))
+    known = rows.where(F.col("node").isNotNull() & F.col(key).isNotNull()).join(labels, "node").select(*keep, "n_shingles", "node", "component", "keeper")
+    rest = rows.where(F.col("node").isNull() | F.col(key).isNull())
+    return known.unionByName(rest.select(*keep, "n_shingles", "node", F.col(key).alias("component"), F.lit(None).cast("long").alias("keeper")))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, n_shingles, component_id (the smallest key reachable) and kept (key = component_id), a row for each row of docs."""
+    out = grouped(docs, width, percent, text, key, [key])
+    return out.select(key, "n_shingles", F.col("component").alias("component_id"), F.col(key).eqNullSafe(F.col("component")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without all but the document of the smallest key in each group."""
-    gone = near_duplicates(docs.select(key, text), width, percent, text, key).where(~F.col("kept")).select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    """docs without all but one document of each group: the text of the smallest key stays, of several texts under that key one."""
+    named = docs.withColumns({"__hash": F.xxhash64(text), "__size": F.length(text)})
+    mine = ["__key", "__hash", "__size"]
+    sets = grouped(named.select(F.col(key).alias("__key"), F.col(text).alias("__text"), "__hash", "__size"), width, percent, "__text", "__key", mine)
+    gone = sets.where(F.col("keeper").isNotNull() & ((F.col("__key") != F.col("component")) | (F.col("node") != F.col("keeper")))).select(*mine).distinct()
+    return named.withColumn("__key", F.col(key)).join(gone, mine, "left_anti").select(*docs.columns)
 
 
 def op8_neardup(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from .subword import Model, Shape, labelled_sample, score_texts, train
 from .toxicity import verdicts
 
 FOLDS, HELD_OUT = 5, 0
-SAMPLE, MAX_CHARS = (2500, 2500), 20_000
+SAMPLE, MAX_CHARS = (1500, 1500), 20_000
 SHAPE = Shape(bits=18, dim=8, shortest=1, longest=4, fold_case=False, pairs=True)
 
 

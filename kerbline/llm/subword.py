@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from .common import few_of, map_texts
 
 STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—"
+#: Features of the training sample kept at once; at 4 bytes each that bounds its memory, whatever the texts' lengths.
+MOST_FEATURES = 24_000_000
 #: Distinct tokens whose scores a worker keeps before it starts anew.
 CACHE_ENTRIES = 150_000
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -107,6 +109,24 @@ def pieces(text: str, n: int, rng: np.random.Generator) -> list[str]:
     return out
 
 
+class Bag:
+    """Features of one document at 4 bytes each: gaps between sorted buckets, and weights in half precision times a scale."""
+
+    __slots__ = ("gaps", "weights", "scale")
+
+    def __init__(self, at: np.ndarray, w: np.ndarray):
+        gaps = np.diff(at, prepend=0)
+        self.gaps = gaps.astype(np.uint16 if gaps.max(initial=0) < 1 << 16 else np.int32)
+        self.scale = np.float32(w.max(initial=0))
+        self.weights = (w / self.scale if self.scale else w).astype(np.float16)
+
+    def __len__(self) -> int:
+        return len(self.gaps)
+
+    def open(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.cumsum(self.gaps, dtype=np.int64), self.weights.astype(np.float32) * self.scale
+
+
 @dataclass
 class Model:
     shape: Shape
@@ -122,14 +142,22 @@ def train(rows: list[tuple[str, int]], shape: Shape, prior: float, epochs: int =
     prior: label 1's share among all labelled rows; the sample's classes are weighted to it.
     fragments: so many short pieces of each document of label 0 join the sample as label 0; they keep
     the vectors of common words from adding up to a verdict on short texts.
-    Without rows of both labels the score is the prior.
+    Rows are taken as long as their features are at most MOST_FEATURES together. Without rows of both labels the score is the prior.
     """
     rng = np.random.default_rng(seed)
+    bags, taken, total = [], [], 0
+    for t, label in rows:
+        bag = Bag(*features(t, shape))
+        if total + len(bag) > MOST_FEATURES:
+            continue
+        total += len(bag)
+        bags.append(bag)
+        taken.append((t, label))
     if fragments:
-        rows = [*rows, *((piece, 0) for t, label in rows if not label for piece in pieces(t, fragments, rng))]
+        taken += [(piece, 0) for t, label in taken if not label for piece in pieces(t, fragments, rng)]
+        bags += [Bag(*features(t, shape)) for t, _ in taken[len(bags) :]]
         prior = prior / (1 + fragments * (1 - prior))
-    bags = [features(t, shape) for t, _ in rows]
-    y = np.array([label for _, label in rows], np.int64)
+    y = np.array([label for _, label in taken], np.int64)
     share = y.mean() if len(y) else 0.0
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     if not 0 < share < 1:
@@ -139,12 +167,12 @@ def train(rows: list[tuple[str, int]], shape: Shape, prior: float, epochs: int =
     out = (rng.random((shape.dim, 2), np.float32) - 0.5).astype(np.float32)
     bias = np.log(np.array([1 - prior, prior], np.float32))
     seen_v, seen_o, seen_b = np.full(1 << shape.bits, 1e-6, np.float32), np.full(out.shape, 1e-2, np.float32), np.full(2, 1e-1, np.float32)
-    steps, total = 0, epochs * len(rows)
+    steps, total = 0, epochs * len(bags)
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
+        for i in rng.permutation(len(bags)):
             now = rate * (1 - steps / total)
             steps += 1
-            at, w = bags[i]
+            at, w = bags[i].open()
             mean = gain * (w @ vectors[at]) if len(at) else np.zeros(shape.dim, np.float32)
             logits = mean @ out + bias
             e = np.exp(logits - logits.max())

@@ -14,7 +14,7 @@ from .common import in_fold, table
 from .subword import Model, Shape, labelled_sample, score_texts, train
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-SAMPLE, MAX_CHARS = (5000, 3000), 20_000
+SAMPLE, MAX_CHARS = (2400, 1600), 20_000
 SHAPE = Shape(bits=18, dim=8, shortest=3, longest=5, fold_case=True, damp=True)
 
 

@@ -105,57 +105,103 @@ def test_a_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(frame, 2).collect()} == want
 
 
-def test_crowded_regions():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    n = 3 * neardup.LIMIT
-    cols = {"tree": np.zeros(n, np.int64), "hi": np.zeros(n, np.int64), "lo": np.sort(rng.integers(0, 2**16, n) << 44), "node": np.arange(n), "size": np.full(n, 50), "root": np.arange(n) % 3, **{k: np.zeros(n, np.int64) for k in neardup.SKETCH}}
-    pairs = [np.stack(p, axis=1) for p in neardup._pairs(cols, False, 80)]
-    joined = np.concatenate(pairs)
-    assert len(set(joined.ravel().tolist())) == n and len(joined) < n * 100
-    centred = np.concatenate([np.stack(p, axis=1) for p in neardup._pairs(cols, True, 80)])
-    assert len(centred) < 3 * n
-
-
-def test_all_pairs_of_a_crowd():
-    import numpy as np
-
-    n, bits = 300, 30  # one node differs from all others in more hashes than most of a crowd's pairs do
-    cols = {"tree": np.zeros(n, np.int64), "hi": np.zeros(n, np.int64), "lo": np.arange(n), "node": np.arange(n), "size": np.full(n, 50), "root": np.arange(n), **{k: np.zeros(n, np.int64) for k in neardup.SKETCH}}
-    cols["s0"][7] = 2**bits - 1
-    pairs = {tuple(sorted(p)) for a, b in neardup._pairs(cols, False, 80) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    assert pairs == {(i, k) for i in range(n) for k in range(i + 1, n)}
-
-
-def test_large_regions_by_shingles(spark, monkeypatch):
+def _crowd(seed: int, n: int, edits: list[int], lengths: list[int], size: int = 100):
     import random
 
-    rng = random.Random(5)
+    rng = random.Random(seed)
     fresh = lambda: f"v{rng.randrange(10**9)}"
-    base, docs = [fresh() for _ in range(100)], []
-    for i in range(160):  # one template, edited to about the limit of similarity
+    base, docs = [fresh() for _ in range(size)], []
+    for i in range(n):
         words = list(base)
-        for at in rng.sample(range(100), rng.choice([2, 4, 5, 6, 8, 20])):
+        for at in rng.sample(range(size), rng.choice(edits)):
             words[at] = fresh()
-        docs.append((i, " ".join(words[: rng.choice([100, 96, 85])])))
+        docs.append((i, " ".join(words[: rng.choice(lengths)])))
+    return docs
+
+
+def test_crowds_by_shingles(spark, monkeypatch):
+    docs = _crowd(5, 160, [2, 4, 5, 6, 8, 20], [100, 96, 85])  # one template, edited to about the limit of similarity
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     rows = neardup.described(frame, 2, "text", ["doc_id"]).selectExpr("node", "doc_id AS rep", "n_shingles AS size", "doc_id % 5 AS root", "sig").cache()
     of = {r.rep: r.node for r in rows.collect()}
     sets = [(of[i], i % 5, shingles_of(t, 2)) for i, t in docs]
     want = {tuple(sorted((m, n))) for k, (m, r, s) in enumerate(sets) for n, q, t in sets[:k] if r != q and 100 * len(s & t) >= 80 * len(s | t)}
-    got = {tuple(r) for r in neardup.prefix_pairs(rows, frame, 2, 80, "text", "doc_id").collect()}
-    assert want and want <= got and all(a < b for a, b in got)
+    for buckets in (neardup.BUCKETS, 16):  # crowded buckets spoil the order, but lose nothing
+        monkeypatch.setattr(neardup, "BUCKETS", buckets)
+        got = {tuple(r) for r in neardup.crowd_pairs(rows, frame, 2, 80, "text", "doc_id").collect()}
+        assert want and want <= got and all(a < b for a, b in got)
     one = rows.selectExpr("node", "rep", "size", "0L AS root", "sig")
-    assert neardup.prefix_pairs(one, frame, 2, 80, "text", "doc_id").count() == 0
-    forest = neardup.tree_rows(rows, range(neardup.TREES))
-    assert neardup.large_regions(forest).count() == 0
-    monkeypatch.setattr(neardup, "LIMIT", 4)
-    assert neardup.large_regions(forest).count() > 0 and neardup.large_regions(neardup.tree_rows(one, range(neardup.TREES))).count() == 0
+    assert neardup.crowd_pairs(one, frame, 2, 80, "text", "doc_id").count() == 0
+
+
+@pytest.mark.parametrize("crowd, rows_at_once", [(4, 7), (4, 50_000), (32, 50_000)])
+def test_crowds_as_brute_force(spark, monkeypatch, crowd, rows_at_once):
+    """However small regions and parts are cut, every group is found."""
+    docs = _crowd(6, 260, [1, 3, 4, 5, 6, 7, 9, 14], [100, 97, 90])
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    monkeypatch.setattr(neardup, "ROWS_AT_ONCE", rows_at_once)
     found = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame, 2).collect()}
     assert found == {i: c for i, (c, _) in brute(docs, 2).items()}
 
 
+@pytest.mark.parametrize("n", [300, 1200])
+def test_boilerplate_makes_few_candidates(spark, n):
+    """Documents of one template that aren't near-duplicates (similarity 0.7) meet in all trees; candidates stay a few for each."""
+    docs = _crowd(7, n, [9], [100])
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = neardup.described(frame, 2, "text", ["doc_id"]).selectExpr("node", "doc_id AS rep", "n_shingles AS size", "node AS root", "sig").cache()
+    met = neardup.region_pairs(neardup.tree_rows(rows, range(neardup.TREES)), 80).cache()
+    crowds = neardup.crowded(met)
+    assert crowds.count() > 0.9 * n
+    by_shingles = neardup.crowd_pairs(rows.join(crowds, "node"), frame, 2, 80, "text", "doc_id").count()
+    assert met.where("tree IS NULL").select("a", "b").distinct().count() + by_shingles < 8 * n
+
+
+def test_regions_as_a_stream(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    for sizes, at_once in (([3, 40, 5, 1, 90, 2], 11), ([40], 7), ([1, 1, 33, 32], 1000), ([], 5)):
+        monkeypatch.setattr(neardup, "ROWS_AT_ONCE", at_once)
+        monkeypatch.setattr(neardup, "_sorted_rows", lambda rows, run, schema: run)
+        hi = np.repeat(np.arange(len(sizes)), sizes).astype(np.int64)
+        n = len(hi)
+        cols = [np.zeros(n, np.int32), hi, np.arange(n), np.arange(n) + 10, np.full(n, 50, np.int32), np.arange(n) + 10, *(np.zeros(n, np.int64) for _ in range(4))]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in neardup.ROW.split(", ")])
+        out = [r for b in neardup.region_pairs(None, 80)([batch]) for r in b.to_pylist()]
+        pairs = {(r["a"], r["b"]) for r in out if r["tree"] is None}
+        assert pairs == {(i + 10, k + 10) for i in range(n) for k in range(i + 1, n) if hi[i] == hi[k] and sizes[hi[i]] <= neardup.CROWD}
+        assert sorted(r["a"] for r in out if r["tree"] is not None) == [i + 10 for i in range(n) if sizes[hi[i]] > neardup.CROWD]
+        linked = [(r["a"], r["b"]) for b in neardup.neighbours_run(80)([batch]) for r in b.to_pylist()] if n else []
+        assert len(set(linked)) <= 3 * n
+        parent = {i + 10: i + 10 for i in range(n)}
+
+        def find(i, parent=parent):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in linked:
+            parent[find(a)] = find(b)
+        assert len({find(i) for i in parent}) == len(sizes)  # each region hangs together
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (6, b + " end"), (7, "x"), (7, "x")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs, 2).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (6, 5, False), (7, 7, True), (7, 7, True)]
+    assert sorted(tuple(r) for r in neardup.keep_one(docs, 2).collect()) == [(1, a), (5, b), (7, "x"), (7, "x")]
+    alike = spark.createDataFrame([(5, b), (5, b + " end"), (6, b)], "doc_id long, text string")
+    assert neardup.keep_one(alike, 2).count() == 1
+
+
 def test_signed_sketches():
     import numpy as np
 
