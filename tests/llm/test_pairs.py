@@ -210,10 +210,14 @@ def test_signed_sketches():
     assert neardup.differing(cols, np.array([0]), np.array([1])).tolist() == [66]
 
 
-def test_components(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (50, None)]
+@pytest.mark.parametrize("finish", [0, 10**6])
+def test_components(spark, monkeypatch, finish):
+    from kerbline.operators import components as core
+
+    monkeypatch.setattr(core, "FINISH", finish)
+    links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (50, None)] + [(200, 200 + i) for i in range(1, 300)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, **dict.fromkeys(range(200, 500), 200)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
