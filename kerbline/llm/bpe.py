@@ -50,19 +50,35 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(others)) for b in range(256)]
 
 
-def late_letters(path: str) -> str:
-    """Ranges of the code points that the regex library's newer Unicode data call letters or numbers and the tokenizers library's don't."""
-    late = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn" and regex.match(r"[\p{L}\p{N}]", chr(c))]
-    try:
-        import tokenizers
-    except ImportError:  # the standard library's data then decide
-        pass
-    else:
-        split = tokenizers.Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        late = [c for c in late if len(split(f"#{chr(c)}#")) == 1]  # no letter and no number: one piece with its neighbours
-    starts = [c for i, c in enumerate(late) if not i or late[i - 1] != c - 1]
-    ends = [c for i, c in enumerate(late) if i + 1 == len(late) or late[i + 1] != c + 1]
-    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in zip(starts, ends, strict=True))
+# Code points that newer Unicode data call letters or numbers and the tokenizers library's split doesn't.
+LATE_LETTERS = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB
+11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191
+191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4
+1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+# Capitals that the library lowers and Python's older data don't know, with the first one's lower case; of a range the others follow.
+LATE_CAPITALS = "1C89:1C8A A7CB:264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:19B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
+
+
+def _ranges(given: str) -> list[tuple[int, int]]:
+    """First and last code points of a list of hexadecimal ranges."""
+    ends = [r.split("-") for r in given.split()]
+    return [(int(r[0], 16), int(r[-1], 16)) for r in ends]
+
+
+def _lower_of() -> dict[int, str]:
+    out = {}
+    for pair in LATE_CAPITALS.split():
+        given, low = pair.split(":")
+        [(first, last)] = _ranges(given)
+        out |= {c: chr(int(low, 16) + c - first) for c in range(first, last + 1)}
+    return out
+
+
+LATE_LOWER = _lower_of()
+LATE_CLASS = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in _ranges(LATE_LETTERS))
+is_late_capital = regex.compile("[" + "".join(map(chr, LATE_LOWER)) + "]").search
 
 
 class Spec:
@@ -72,7 +88,6 @@ class Spec:
         with open(path, encoding="utf-8") as f:
             self.raw = f.read()
         self.key = hashlib.sha256(self.raw.encode()).hexdigest()
-        self.late = late_letters(path)
         Codec(self)  # raises here for files that aren't supported
 
 
@@ -119,9 +134,8 @@ class Codec:
         self.added = {t["content"]: t["id"] for t in j["added_tokens"]}
         self.is_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")")
         pattern = split["pattern"]["Regex"]
-        if spec.late:
-            pattern = pattern.replace(r"[^\s\p{L}\p{N}]", f"[[^\\s\\p{{L}}\\p{{N}}]||[{spec.late}]]")
-            pattern = pattern.replace(r"[\p{L}]", f"[\\p{{L}}--[{spec.late}]]").replace(r"[\p{N}]", f"[\\p{{N}}--[{spec.late}]]")
+        pattern = pattern.replace(r"[^\s\p{L}\p{N}]", f"[[^\\s\\p{{L}}\\p{{N}}]||[{LATE_CLASS}]]")
+        pattern = pattern.replace(r"[\p{L}]", f"[\\p{{L}}--[{LATE_CLASS}]]").replace(r"[\p{N}]", f"[\\p{{N}}--[{LATE_CLASS}]]")
         self.pieces = regex.compile(pattern, regex.V1).findall
         self.spaces = regex.compile(r"\s+")
         self.letters = byte_alphabet()
@@ -306,6 +320,8 @@ class Codec:
         """The words of a run, normalised: NFC, then lower case character by character, without a special rule for a final sigma."""
         if not run.isascii():
             run = unicodedata.normalize("NFC", run).replace("Σ", "σ")
+            if is_late_capital(run):
+                run = run.translate(LATE_LOWER)
         run = run.lower()
         return [run] if run.isalpha() else self.pieces(run)
 
