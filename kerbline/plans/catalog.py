@@ -304,7 +304,7 @@ def _(r):
 
 _MEASURE = """SELECT CASE s WHEN 0 THEN 'NEW_DETECTOR' WHEN 1 THEN 'OLD_DETECTOR' ELSE 'OLD_MQ' END AS source_type, concat(CASE s WHEN 0 THEN 'TE' WHEN 1 THEN 'D' ELSE 'MQ' END, CAST(k AS STRING)) AS key, day, hour,
  CAST((k * 37 + hour * 50) % 1000 - 20 AS INT) AS volume_kfz, ((k * 13 + hour * 7) % 170) * 1e0 AS speed_kfz, CASE WHEN s = 0 THEN NULL ELSE (k % 5) * 0.25e0 END AS quality, CASE WHEN s = 0 THEN (k * hour % 101) * 1e0 END AS completeness
-FROM (SELECT DISTINCT s_suppkey AS k, CAST(l_shipdate AS DATE) AS day, CAST(l_orderkey % 24 AS BIGINT) AS hour, CAST(s_suppkey % 3 AS BIGINT) AS s FROM @lineitem JOIN @supplier ON l_linenumber > 0 AND s_suppkey % 50 = l_orderkey % 50 WHERE l_linenumber <= 2)"""
+FROM (SELECT DISTINCT s_suppkey AS k, CAST(l_shipdate AS DATE) AS day, CAST(l_orderkey % 24 AS BIGINT) AS hour, CAST(s_suppkey % 3 AS BIGINT) AS s FROM @lineitem JOIN @supplier ON s_suppkey % 50 = l_orderkey % 50)"""
 
 
 def _measurements(r: Ride) -> DataFrame:
@@ -339,7 +339,7 @@ def _(r):
 
 
 _HOURS = """SELECT lat2, lon2, hour_ms, CAST((hour_ms / 3600000) % 30 AS DOUBLE) AS temperature_2m, CAST((hour_ms / 3600000) % 5 AS DOUBLE) AS precipitation, CAST((hour_ms / 3600000) % 45 AS DOUBLE) AS wind_speed_10m, CAST((hour_ms / 3600000) % 360 AS DOUBLE) AS wind_direction_10m, CAST((hour_ms / 3600000) % 4 AS BIGINT) AS weather_code
-FROM (SELECT DISTINCT a.x / 100e0 AS lat2, b.x / 100e0 AS lon2, o.h AS hour_ms FROM (SELECT DISTINCT @ms(l_shipdate) + (l_orderkey % 24) * 3600000 AS h FROM @lineitem WHERE l_linenumber = 1) o, (SELECT DISTINCT 5245 + s_nationkey % 3 AS x FROM @supplier) a, (SELECT DISTINCT 1330 + s_nationkey % 5 AS x FROM @supplier) b)"""
+FROM (SELECT DISTINCT a.x / 100e0 AS lat2, b.x / 100e0 AS lon2, o.h AS hour_ms FROM (SELECT DISTINCT @ms(l_shipdate) + (l_orderkey % 24) * 3600000 AS h FROM @lineitem) o, (SELECT DISTINCT 5245 + s_nationkey % 3 AS x FROM @supplier) a, (SELECT DISTINCT 1330 + s_nationkey % 5 AS x FROM @supplier) b)"""
 
 
 def _weather(r: Ride) -> DataFrame:
@@ -350,19 +350,20 @@ _PLACE = "pl AS (SELECT segment_id, round(lat1, 2) AS lat2, round((lon1 + lon2)
 _HOURS_SQL = _HOURS.replace("@ms(l_shipdate)", "(epoch_us(l_shipdate) // 1000)").replace("@", "")
 
 
+# The bearing of a segment along its parallel is not quite 90 degrees; on the class boundaries of the wind that decides.
+_BEARING = "degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat1)), cos(radians(lat1)) * sin(radians(lat1)) - sin(radians(lat1)) * cos(radians(lat1)) * cos(radians(lon2 - lon1))))"
+
+
 @query(
     "jn9_weather",
-    f""", {_PLACE}, wh AS ({_HOURS_SQL})
-SELECT event_id, w.temperature_2m, w.precipitation, w.wind_speed_10m, w.wind_direction_10m, w.weather_code,
- CASE WHEN abs(((90e0 - w.wind_direction_10m + 540e0) % 360e0) - 180e0) <= 45 THEN 'HEADWIND' WHEN abs(((90e0 - w.wind_direction_10m + 540e0) % 360e0) - 180e0) >= 135 THEN 'TAILWIND' WHEN w.wind_direction_10m IS NOT NULL THEN 'CROSSWIND' END AS wind_exposure, true AS weather_enriched
-FROM segment_events e LEFT JOIN pl USING (segment_id) LEFT JOIN wh w ON w.lat2 = pl.lat2 AND w.lon2 = pl.lon2 AND w.hour_ms = e.event_ts - e.event_ts % 3600000
-WHERE w.wind_direction_10m IS NULL OR w.wind_direction_10m NOT IN (45, 135, 225, 315)""",
+    f""", pl AS (SELECT segment_id, round(lat1, 2) AS lat2, round((lon1 + lon2) / 2, 2) AS lon2, {_BEARING} AS bearing FROM segments WHERE lon1 IS NOT NULL), wh AS ({_HOURS_SQL}),
+j AS (SELECT event_id, w.*, abs((bearing - w.wind_direction_10m + 540e0) % 360e0 - 180e0) AS angle FROM segment_events e LEFT JOIN pl USING (segment_id) LEFT JOIN wh w ON w.lat2 = pl.lat2 AND w.lon2 = pl.lon2 AND w.hour_ms = e.event_ts - e.event_ts % 3600000)
+SELECT event_id, temperature_2m, precipitation, wind_speed_10m, wind_direction_10m, weather_code,
+ CASE WHEN angle <= 45 THEN 'HEADWIND' WHEN angle >= 135 THEN 'TAILWIND' WHEN angle IS NOT NULL THEN 'CROSSWIND' END AS wind_exposure, true AS weather_enriched FROM j""",
     ("segments", "segment_events"),
 )
 def _(r):
-    # On the class boundaries the segments' bearing of not quite 90 degrees decides; they are tested by hand.
-    edge = c("wind_direction_10m").isin(45.0, 135.0, 225.0, 315.0)
-    return E.enrich_weather(r.view("segment_events"), r.segments(), _weather(r)).where(~F.coalesce(edge, F.lit(False)))
+    return E.enrich_weather(r.view("segment_events"), r.segments(), _weather(r))
 
 
 @query(
@@ -454,10 +455,19 @@ def _(r):
     return X.map_features(r.segments())
 
 
+def _traces(r: Ride) -> DataFrame:
+    """ride_id, the line through the starts of its segments in riding order and the straight line between its ends; null below two places."""
+    ridden = r.table("lineitem").select(c("l_orderkey").alias("ride_id"), "l_linenumber", c("l_partkey").alias("segment_id"))
+    placed = ridden.join(r.segments().where(c("line").isNotNull()).select("segment_id", c("line")[0].alias("at")), "segment_id")
+    line = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "segment_id", "at"))), lambda x: x["at"])
+    made = placed.groupBy("ride_id").agg(line.alias("line")).where(F.size("line") >= 2)  # a ride's few segments
+    return made.select("ride_id", G.line_text(c("line")).alias("actual_wkt"), G.line_text(F.array(c("line")[0], F.element_at("line", -1))).alias("shortest_wkt"))
+
+
 @query("snk3_calibration_rows")
 def _(r):
     sample = A.calibration_sample(r.rides(), r.ride_points())
-    return X.calibration_rows(sample, F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return X.calibration_rows(sample.join(_traces(r), "ride_id", "left"), c("actual_wkt"), c("shortest_wkt"))
 
 
 @query(
