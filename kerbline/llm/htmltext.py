@@ -9,13 +9,14 @@ children are text or clutter), frame (no text of its own; its children may be an
 clutter (all below it is clutter too), so an element inside clutter is never kept.
 
 Character references are decoded; white space inside a block becomes one space; blocks are
-joined by one space in page order. Scripts, styles, comments and other parts that aren't text
+joined by one space in page order. States of equal likelihood go to text, then to clutter. Scripts, styles, comments and other parts that aren't text
 never count. Null and empty pages, and pages without main text, give the empty text; repeated
 rows repeat; pages are never cut.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 from html import unescape
@@ -37,7 +38,7 @@ SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 # Elements and attribute tokens that features name.
 TAGS = "html body div p section article main header footer nav aside form ul ol li h1 h2 h3 h4 table td tr blockquote pre figure figcaption dl dd address fieldset a span".split()
-TOKENS = "nav menu head foot side ad ads advert promo sponsor cookie consent notice alert banner comment reply discuss share social form search login subscribe newsletter related recommend widget breadcrumb article content main post entry story body text title author meta".split()
+TOKENS = "nav menu head foot side ad ads advert promo sponsor cookie consent notice alert banner comment reply discuss share social form search login subscribe newsletter related recommend widget breadcrumb thread respond response feedback article content main post entry story body text title author meta".split()
 TAG_AT = {t: i for i, t in enumerate(TAGS)}
 TOKEN_AT = {t: i for i, t in enumerate(TOKENS)}
 
@@ -45,6 +46,8 @@ PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^
 HTML, BODY = re.compile(r"<html\b", re.I), re.compile(r"<body\b", re.I)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
+#: Tokens that tell what an element hasn't or what stands elsewhere on the page.
+NEGATED = re.compile(r"(?<![a-z])(?:no|non|not|without|hide|has|have|with|is)[-_]+[a-z]+")
 SPACE = re.compile(r"\s+")
 
 
@@ -114,7 +117,7 @@ class Page:
                 tags.append(tag)
                 self.parents.append(stack[-1])
                 links.append(0)
-                self.tokens.append(tuple(p for v in NAMED.findall(attributes) for p in PARTS.findall((v[0] or v[1] or v[2]).lower())) if "=" in attributes else ())
+                self.tokens.append(tuple(p for v in NAMED.findall(attributes) for p in PARTS.findall(NEGATED.sub("", (v[0] or v[1] or v[2]).lower()))) if "=" in attributes else ())
             if attributes.endswith("/") and tag not in INLINE:
                 order.append((own, ""))
                 continue
@@ -352,7 +355,31 @@ def _links(rng, tag: str, attributes: str) -> str:
     return f"<{tag}{attributes}>{body}</{tag}>"
 
 
+MARK, CLUTTER = "data-main", "data-clutter"
+
+
 def _clutter(rng) -> str:
+    """A part of a page that isn't main text; its element bears CLUTTER."""
+    made = _clutter_part(rng)
+    return made if made.startswith("<script") else re.sub(r"^<(\w+)", rf"<\1 {CLUTTER}", made, count=1)
+
+
+def _name(rng) -> str:
+    return "".join(rng.choice(list("bcdfgklmnprstvxz"), 3)) + _pick(rng, "", "ix", "o", "-box")
+
+
+def _comments(rng) -> str:
+    """Reader comments, of systems with telling names and of others."""
+    by = _pick(rng, ' class="author"', ' class="by"', ' class="user"', f' class="{_name(rng)}"', "")
+    item = _pick(rng, "comment", "comment", "reply", "response", "msg", _name(rng))
+    t = _pick(rng, "div", "li", "article")
+    one = lambda: f'<{t} class="{item}"><{(q := _pick(rng, "p", "span", "b"))}{by}>{_words(rng, 1, 2)}</{q}>{_pick(rng, "", "<time>2 h</time>")}<p>{_sentence(rng, 4, 30)}</p></{t}>'
+    names = ("comments", "comment-list", "discussion comments", "replies", "disqus_thread", f"{_name(rng)}_thread", f"{_name(rng)}-comments", "respond", "reader-feedback", _name(rng))
+    box = _pick(rng, "section", "div", "aside")
+    return f'<{box} {_pick(rng, "id", "class")}="{_pick(rng, *names)}">{_pick(rng, "", f"<h2>{_words(rng, 1, 2)}</h2>")}{"".join(one() for _ in range(int(rng.integers(1, 6))))}</{box}>'
+
+
+def _clutter_part(rng) -> str:
     say = lambda least=3, most=14: _sentence(rng, least, most)
     kind = int(rng.integers(11))
     if kind == 0:
@@ -370,20 +397,20 @@ def _clutter(rng) -> str:
     if kind == 6:
         return f'<form action="/s" class="{_pick(rng, "search", "login", "newsletter", "subscribe")}"><label>{_words(rng, 1, 3)}</label><input name="q"><p>{say(3, 12)}</p></form>'
     if kind in (7, 8):
-        one = lambda: f'<{_pick(rng, "div", "li", "article")} class="comment"><p class="author">{_words(rng, 1, 2)}</p><p>{say(4, 30)}</p></div>'
-        t = _pick(rng, "section", "div", "aside")
-        return f'<{t} {_pick(rng, "id", "class")}="{_pick(rng, "comments", "comment-list", "discussion comments", "replies")}"><h2>{_words(rng, 1, 2)}</h2>{"".join(one() for _ in range(int(rng.integers(1, 5))))}</{t}>'
+        return _comments(rng)
     if kind == 9:
         return _links(rng, "div", f' class="{_pick(rng, "share", "social", "related", "recommended")}"')
     return f"<script>var a = '<p>{_words(rng, 2, 5)}</p>';</script><style>p {{margin: 0}}</style><!-- {_words(rng, 1, 4)} -->"
 
 
-MARK = "data-main"
+def _article(rng) -> str:
+    t = _pick(rng, "article", "article", "article", "main", 'div class="content"', 'div id="content"', 'div class="post"', 'div class="entry-content"', 'section class="story"', 'div class="article-body"', 'article class="post no-comments"', 'div class="post has-sidebar"', "div")
+    content = _content(rng) if rng.random() < 0.8 else f"<h1>{(h := _words(rng, 1, 5))}.</h1><p>{_pick(rng, '', '<b>')}{_pick(rng, h, _words(rng, 1, 8))}.{_pick(rng, '</p>', '<br>')}"
+    return f"<{t} {MARK}>{content}</{t.split()[0]}>"
 
 
-def _article(rng) -> str:
-    t = _pick(rng, "article", "article", "article", "main", 'div class="content"', 'div id="content"', 'div class="post"', 'div class="entry-content"', 'section class="story"', 'div class="article-body"', "div")
-    out = [f"<{t} {MARK}>"]
+def _content(rng) -> str:
+    out = []
     if rng.random() < 0.8:
         out.append(f"<h1>{_words(rng, 1, 12)}</h1>")
     many = rng.random()
@@ -406,49 +433,49 @@ def _article(rng) -> str:
             out.append(f"<figure><img src=x><figcaption>{_sentence(rng)}</figcaption></figure>")
         else:
             out.append(_clutter(rng))
-    return "".join(out) + f"</{t.split()[0]}>"
+    return "".join(out)
 
 
 def sample_page(rng) -> str:
-    """A page; elements of the main text stand inside one that carries MARK, clutter as _clutter makes it."""
-    bare = rng.random() < 0.06
-    body = [_clutter(rng) for _ in range(0 if bare else int(rng.integers(0, 5)))]
-    main = _article(rng)
-    after = [_clutter(rng) for _ in range(0 if bare else int(rng.integers(0, 5)))]
+    """A page; the element of the main text bears MARK, parts of clutter bear CLUTTER."""
+    head = f"<!DOCTYPE html><html><head><title>{_words(rng, 2, 8)}</title></head>"
+    many = lambda: [_clutter(rng) for _ in range(0 if bare else int(rng.integers(0, 5)))]
+    bare = rng.random() < 0.1
+    if rng.random() < 0.08:  # no element around the main text but the body
+        return f"{head}<body {MARK}>{''.join(many()[:2])}{_content(rng)}{''.join(many()[:2])}" + _pick(rng, "</body></html>", "")
+    before, main, after = many(), _article(rng), many()
     if rng.random() < 0.3:
-        main = f'<div class="{_pick(rng, "wrapper", "page", "container", "row")}">{"".join(after[:1])}{main}{_clutter(rng) if rng.random() < 0.5 else ""}</div>'
-    return f"<!DOCTYPE html><html><head><title>{_words(rng, 2, 8)}</title></head><body>{''.join(body)}{main}{''.join(after)}" + _pick(rng, "</body></html>", "")
-
-
-CLUTTER_TAGS = set("nav header footer aside form".split())
-CLUTTER_TOKENS = set("menu nav breadcrumb header footer sidebar side widget related ad ads advert promo sponsored banner cookie notice alert consent search login newsletter subscribe comments comment discussion replies share social recommended author".split())
+        main = f'<div class="{_pick(rng, "wrapper", "page", "container", "row", "page no-sidebar")}">{"".join(after[:1])}{main}{_clutter(rng) if rng.random() < 0.5 else ""}</div>'
+    return f"{head}<body>{''.join(before)}{main}{''.join(after)}" + _pick(rng, "</body></html>", "")
 
 
-def truth(page: Page, marked: set[int]) -> np.ndarray:
+def truth(page: Page, marked: set[int], clutter: set[int]) -> np.ndarray:
     """Which elements of a sample page are main text: those at or below a marked one and not at or below clutter."""
     n = len(page.tags)
-    inside, clutter = np.zeros(n, bool), np.zeros(n, bool)
+    inside, out = np.zeros(n, bool), np.zeros(n, bool)
     for i in range(1, n):
         p = page.parents[i]
         inside[i] = inside[p] or i in marked
-        clutter[i] = clutter[p] or page.tags[i] in CLUTTER_TAGS or bool(CLUTTER_TOKENS & set(page.tokens[i]))
-    return inside & ~clutter
+        out[i] = out[p] or i in clutter
+    return inside & ~out
 
 
-def _marked(html: str) -> tuple[Page, set[int]]:
-    """The page without its marks, and which elements bore one: they differ in one more token when read with it."""
-    plain, shown = Page(html.replace(f" {MARK}", "")), Page(re.sub(rf' {MARK}(?=>)', ' role="zzmark"', html))
-    return plain, {i for i, t in enumerate(shown.tokens) if "zzmark" in t}
+def _marked(html: str) -> tuple[Page, set[int], set[int]]:
+    """The page without its marks, and which elements bore either: read with them, those have one token more."""
+    plain = Page(html.replace(f" {MARK}", "").replace(f" {CLUTTER}", ""))
+    shown = Page(html.replace(f" {MARK}", ' role="zzmark"').replace(f" {CLUTTER}", ' role="zzclutter"'))
+    return plain, *({i for i, t in enumerate(shown.tokens) if token in t} for token in ("zzmark", "zzclutter"))
 
 
+@functools.cache
 def fit_pages(pages: int = 800, seed: int = 5) -> Trees:
-    """pages: how many sample pages the trees are trained on."""
+    """pages: how many sample pages the trees are trained on, once in a process. Of equal splits the first feature's lowest limit is taken."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     for _ in range(pages):
-        page, marked = _marked(sample_page(rng))
+        page, marked, clutter = _marked(sample_page(rng))
         xs.append(features(page))
-        ys.append(truth(page, marked))
+        ys.append(truth(page, marked, clutter))
     return boost(np.concatenate(xs), np.concatenate(ys).astype(float))
 
 

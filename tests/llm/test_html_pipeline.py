@@ -34,12 +34,34 @@ def test_held_out_sample_pages(trees):
     rng = np.random.default_rng(12345)
     exact = 0
     for _ in range(150):
-        page, marked = htmltext._marked(htmltext.sample_page(rng))
-        want = page.main(htmltext.truth(page, marked))
+        page, marked, clutter = htmltext._marked(htmltext.sample_page(rng))
+        want = page.main(htmltext.truth(page, marked, clutter))
         exact += page.main(decode(page.parents, trees.chance(htmltext.features(page)))) == want
     assert exact >= 120
 
 
+A = "The council met on Tuesday to discuss the new bridge over the river, which has been planned for ten years."
+B = "Work is to begin in spring and to last until the end of next year, if the weather allows it."
+C = "Cyclists will have a lane of their own on either side, two metres wide and apart from the cars."
+NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li><li><a href="/sport">Sport</a></li></ul></nav>'
+FOOT = "<footer><p>&copy; 2024 The Daily Paper. All rights reserved.</p></footer>"
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<html><body><h1>A new bridge</h1><p>{A}</p><p>{B}</p></body></html>", f"A new bridge {A} {B}"),
+        (f"<h1>A new bridge</h1><p>{A}</p><p>{B}</p><p>{C}</p>", f"A new bridge {A} {B} {C}"),
+        (f'<html><body>{NAV}<article class="post no-comments"><h1>A new bridge</h1><p>{A}</p><p>{B}</p></article>{FOOT}</body></html>', f"A new bridge {A} {B}"),
+        (f'<html><body>{NAV}<article><h1>A new bridge</h1><p>{A}</p><p>{B}</p></article><div id="disqus_thread"><div class="post-message"><span class="author">Ann</span><p>I do not like it at all.</p></div><div class="post-message"><span class="author">Bob</span><p>Well, I do, it is about time.</p></div></div>{FOOT}</body></html>', f"A new bridge {A} {B}"),
+        (f'<html><body><div class="menu"><a href="/a">One</a> | <a href="/b">Two</a></div><div id="content"><h2>A new bridge</h2><p>{A}</p><ul><li>{B}</li><li>{C}</li></ul></div><div class="sidebar"><h3>Related</h3><a href="/x">Old bridges</a></div></body></html>', f"A new bridge {A} {B} {C}"),
+        (f'<html><body>{NAV}<main><article><h1>A new bridge</h1><p>{A}</p><div class="ad">Buy now, pay later!</div><p>{B}</p></article></main>{FOOT}</body></html>', f"A new bridge {A} {B}"),
+    ],
+)
+def test_pages_written_by_hand(trees, html, want):
+    assert extract([html], trees) == [want]
+
+
 def test_reading():
     keep_all = lambda h: Page(h).main(np.ones(len(Page(h).tags), bool))
     assert keep_all("<p>a &amp; b<p>c<b>d</b>e<br>f") == "a & b cde f"
