@@ -9,11 +9,12 @@ Plain MinHash fails here: a document hundreds of times as long hides an item's m
 are partitioned by size, and every shingle has one hash. An item's signature is its n - need + 1
 smallest hashes (bottom-k MinHash with k set by the partition); a document that contains the
 item lacks at most n - need of its shingles, so it has one of the signature's. That finds every
-containment, however long the document. Each partition's largest signature value bounds which of a document's
-hashes are looked up, so most never leave the scan. Candidates are then verified on the exact
-shingles, as strings.
+containment, however long the document. A document's hash is looked up in those partitions whose
+largest signature value it doesn't pass: the larger the items of a partition, the fewer of a document's hashes
+reach it, and most never leave the scan. Candidates are then verified on the exact shingles, as strings.
 
-Results: null and empty texts and items have no set and match nothing; repeated rows of an item
+An item of fewer than WIDTH words is one shingle of its own width, and only a document that equals it
+holds that. Null and empty texts and items have no set and match nothing; repeated rows of an item
 count once per item_id, repeated documents repeat; rows without a doc_id are searched by the
 decontaminating stage too, as it works by text. Ties don't arise.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import ensure_checkpoints, table
 
 WIDTH, PERCENT = 5, 80
-#: Largest table of item signatures that is broadcast, in rows; a larger one is joined by a shuffle.
+#: Largest table that is broadcast, in signature values, shingles or candidates; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Item sizes from which the next partition begins, in shingles.
 PARTITIONS = (1, 2, 6, 16, 46, 136, 406, 1216)
@@ -88,15 +89,20 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int
     index = item_index(items, width, percent).checkpoint()
     sig = index.select("part", "item_id", F.explode("sig").alias("h"))
     bounds = {r[0]: (r[1], r[2]) for r in sig.groupBy("part").agg(F.max("h"), F.count("*")).collect()}  # a row for each partition
-    most, n_sig = max((m for m, _ in bounds.values()), default=-(2**63)), sum(n for _, n in bounds.values())
+    n_sig = sum(n for _, n in bounds.values())
     texts = docs.where(F.col(text).isNotNull())
-    low = F.filter(shingle_hashes(F.col("__w"), width), lambda h: h <= F.lit(most))
-    probes = texts.select(*text_key(text), words(F.col(text)).alias("__w")).select("__k", "__n", F.explode(low).alias("h"))
-    pairs = probes.join(small_enough(sig.select("h", "item_id"), n_sig), "h").select("__k", "__n", "item_id").distinct().checkpoint()
+    most = F.lit(max((m for m, _ in bounds.values()), default=-(2**63)))
+    low = F.filter(shingle_hashes(F.col("__w"), width), lambda h: h <= most)
+    hashes = texts.select(*text_key(text), words(F.col(text)).alias("__w")).select("__k", "__n", F.explode(low).alias("h"))
+    # A hash is looked up in the partitions whose bound it doesn't pass, and only there.
+    asked = F.array_compact(F.array(F.lit(None).cast("int"), *(F.when(F.col("h") <= m, F.lit(part)) for part, (m, _) in sorted(bounds.items()))))
+    probes = hashes.select("__k", "__n", "h", F.explode(asked).alias("part"))
+    pairs = probes.join(small_enough(sig, n_sig), ["part", "h"]).select("__k", "__n", "item_id").distinct().checkpoint()
     found = texts.select(*keep, *text_key(text), F.col(text).alias("__text")).join(small_enough(pairs, pairs.count()), ["__k", "__n"])
     facts = index.select("item_id", "shingles", "need", F.col("n").alias("n_item"))
+    n_facts = index.agg(F.sum("n")).first()[0] or 0  # shingles of all items
     split = found.withColumn("__w", words(F.col("__text"))).drop("__text")  # a column, as an expression inside a lambda is worked out for each shingle
-    rows = split.join(small_enough(facts, n_sig), "item_id").withColumn("n_shared", F.size(F.array_intersect("shingles", shingle_texts(F.col("__w"), width))))
+    rows = split.join(small_enough(facts, n_facts), "item_id").withColumn("n_shared", F.size(F.array_intersect("shingles", shingle_texts(F.col("__w"), width))))
     return rows.where(F.col("n_shared") >= F.col("need")).select(*keep, "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"), "__k", "__n")
 
 

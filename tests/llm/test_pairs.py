@@ -233,3 +233,14 @@ def test_containment_by_brute_force(spark, odd, empty):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5]
     assert decontam.matches(docs, items.limit(0)).count() == 0 and decontam.matches(empty, items).count() == 0
     assert decontam.without_items(odd, items.limit(0)).count() == 10
+
+
+def test_each_partition_has_its_bound(spark):
+    """The lookup joins on partition and hash, and large items' partition is asked for a part of the hashes only."""
+    item = lambda k, n: " ".join(f"i{k}x{j}" for j in range(n))
+    items = spark.createDataFrame([(k, item(k, n)) for k, n in enumerate([5, 5, 8, 60, 60, 400])], "item_id long, text string")
+    index = decontam.item_index(items).collect()
+    most = {r.part: max(max(q.sig) for q in index if q.part == r.part) for r in index}
+    assert len(most) == 4 and most[max(most)] < 0 < most[min(most)]
+    docs = spark.createDataFrame([(k, f"{item(90, 50)} {item(k, n)} {item(91, 50)}") for k, n in enumerate([5, 5, 8, 60, 60, 400])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.matches(docs, items).collect()) == [(k, k) for k in range(6)]
