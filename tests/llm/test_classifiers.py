@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -89,29 +90,59 @@ def test_grams_by_hand():
     assert sorted(one.tolist()) == sorted(two.tolist())
 
 
-def test_lm(spark, odd, empty):
-    vocabulary, network = lmscore.fit_lm(spark.read.parquet(f"{BIG}/documents.parquet").limit(200))
-    rows = lmscore.score_documents(odd, vocabulary, network, keep=["doc_id"]).collect()
-    classes = lmscore.Classes(vocabulary.own)
-    for r, t in zip(rows, [x.text or "" for x in odd.collect()], strict=True):
-        seq = classes(t)
-        assert r.n_tokens == len(seq)
-        if not len(seq):
-            assert r.score == 0 and r.per_token is None
-        elif len(seq) < 50:  # a plain forward pass
-            want = 0.0
-            for i, c in enumerate(seq):
-                around = [*(seq[i - d] if i >= d else lmscore.CLASSES - 1 for d in (1, 2)), *(seq[i + d] if i + d < len(seq) else lmscore.CLASSES - 1 for d in (1, 2))]
-                e = network.embed[around].reshape(-1)
-                z = np.maximum(e @ network.hidden + network.hidden_bias, 0) @ network.out + network.out_bias
-                want += z[c] - z.max() - np.log(np.exp(z - z.max()).sum()) + vocabulary.inside[c]
-            assert abs(r.score - want) < 1e-2
-    assert lmscore.score_documents(empty, vocabulary, network).count() == 0
-    assert lmscore.fit_lm(empty)[1].embed.shape[0] == lmscore.CLASSES
+def plain_score(text, model, counts):
+    """A text's score by a forward pass for each place, and words' shares from plain counts."""
+    words = text.lower().encode().split()
+    own = sorted(counts, key=lambda w: (-counts[w], w.decode()))[: lmscore.OWN]
+    number = {w: i for i, w in enumerate(own)}
+    kind = lambda w: number.get(w, lmscore.shared_class(w.decode()))
+    size = Counter()
+    for w, n in counts.items():
+        size[kind(w)] += n + 1
+    seq, net, want = [kind(w) for w in words], model.network, 0.0
+    end = lmscore.CLASSES - 1
+    for i, c in enumerate(seq):
+        around = [*(seq[i - d] if i >= d else end for d in (1, 2)), *(seq[i + d] if i + d < len(seq) else end for d in (1, 2))]
+        z = np.maximum(net.embed[around].reshape(-1) @ net.hidden + net.hidden_bias, 0) @ net.out + net.out_bias
+        want += z[c] - z.max() - np.log(np.exp(z - z.max()).sum())
+        if c >= lmscore.OWN:
+            want += np.log((counts[words[i]] + 1) / (size[c] + 1))
+    return len(seq), want
+
+
+@pytest.mark.parametrize("frequent", [lmscore.FREQUENT, 3_000])  # the second joins most words with the table of counts
+def test_lm_by_hand(spark, odd, empty, monkeypatch, frequent):
+    monkeypatch.setattr(lmscore, "FREQUENT", frequent)
+    corpus = spark.read.parquet(f"{BIG}/documents.parquet").limit(200)
+    model = lmscore.fit_lm(corpus)
+    counts = Counter(w for r in corpus.collect() for w in (r.text or "").lower().encode().split())
+    assert len(model.vocabulary.frequent) == sum(n * frequent >= sum(counts.values()) for n in counts.values()) <= frequent
+    assert model.counts.count() == len(counts) - len(model.vocabulary.frequent)
+    known = [w.decode() for w in sorted(counts)][:500]
+    long = " ".join(known[i * 7 % 500] + ("x" if i % 11 == 0 else "") for i in range(lmscore.BLOCK + 3_000))  # more than one block, with unknown words
+    rows = spark.createDataFrame([(None, long), (7, None), (7, "The end of THE"), (7, "The end of THE")], "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
+    texts = [r.text or "" for r in rows.collect()]
+    got = lmscore.score_documents(rows, model, keep=["doc_id"]).collect()
+    want = [plain_score(t, model, counts) for t in texts]
+    assert len(got) == len(want)
+    for r, (n, s) in zip(sorted(got, key=lambda r: (r.n_tokens, r.score)), sorted(want), strict=True):
+        assert r.n_tokens == n and abs(r.score - s) < 1e-2 + 1e-5 * n
+        assert r.per_token == r.score / n if n else r.score == 0 and r.per_token is None
+    assert lmscore.score_documents(empty, model).count() == 0
+    nothing = lmscore.fit_lm(empty)
+    assert nothing.network.embed.shape[0] == lmscore.CLASSES and lmscore.score_documents(rows, nothing, keep=[]).count() == len(texts)
+
+
+def test_lm_tells_rare_words_by_their_counts(spark):
+    docs = spark.createDataFrame([(i, f"filler{i % 250} common{i % 250} " + ("seldom" if i % 300 == 0 else "oftenm")) for i in range(3_000)], "doc_id long, text string")
+    model = lmscore.fit_lm(docs)
+    ask = spark.createDataFrame([(1, "filler7 seldom"), (2, "filler7 neverm")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lmscore.score_documents(ask, model).collect()}
+    assert got[1] > got[2]
 
 
 def test_lm_prefers_the_corpus_order(spark):
     docs = spark.createDataFrame([(i, "the small dog ran to the old house and the small cat ran to the old barn") for i in range(200)], "doc_id long, text string")
-    vocabulary, network = lmscore.fit_lm(docs)
-    score = lambda t: float(network.log_chances(lmscore.Classes(vocabulary.own)(t)).sum())
+    model = lmscore.fit_lm(docs)
+    score = lambda t: float(model.network.log_chances(model.vocabulary.classes[model.vocabulary.coder()(t)[0]]).sum())
     assert score("the small dog ran to the old house") > score("house the to old dog small ran the")
