@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.geo import haversine, line_line_metres, overlap_ratio
+from ..functions.geo import bearing, compass, haversine, legs, line_line_metres, overlap_ratio, stitch
 from .filters import valid_position
-from .graph import ready_to_checkpoint
+from .graph import match_rides, ready_to_checkpoint
+from .spatial import box_cells
 
 c = F.col
 LEAST_METRES, REACH_METRES = 500.0, 20.0
+# Half the side of the square in which a name is sought, and the name where none is.
+NAME_DEGREES, NAMELESS = 0.0003, "Unknown"
 
 
 def usable_points(points: DataFrame) -> DataFrame:
@@ -48,11 +51,38 @@ def with_counters(segments: DataFrame, rides: DataFrame, events: DataFrame) -> D
     return counts.withColumns({"avoidance_ratio": R.avoidance_ratio(c("usage_count"), c("avoidance_count")), "preference_ratio": R.preference_ratio(c("usage_count"), c("preference_count"))})
 
 
+def middle_vertex(line):
+    return F.element_at(line, F.floor(F.size(line) / 2).cast("int") + 1)
+
+
+def named_edges(wanted: DataFrame, edges: DataFrame) -> DataFrame:
+    """wanted (edge_id, street_name, line, others) with blank names replaced by that of the nearest named edge of `edges`, else "Unknown".
+
+    Edges count that have a leg whose box meets the square of NAME_DEGREES around the blank edge's middle vertex. The
+    nearest one's first vertex is the nearest to it, to the micrometre; ties go to the smallest edge_id. The search
+    is a join on grid cells of both sides.
+    """
+    named = lambda name: F.coalesce(name.rlike(r"\S"), F.lit(False))
+    r, cell = NAME_DEGREES, 4 * NAME_DEGREES
+    blank = wanted.where(~named(c("street_name")) & (F.size("line") > 0)).select("edge_id", middle_vertex(c("line")).alias("m")).dropDuplicates(["edge_id"])
+    asked = blank.select("edge_id", "m", F.explode(box_cells(c("m.lon") - r, c("m.lon") + r, c("m.lat") - r, c("m.lat") + r, cell, cell)).alias("cell"))
+    each = edges.where(named(c("street_name"))).select(c("edge_id").alias("other"), c("street_name").alias("name"), F.element_at("line", 1).alias("start"), F.explode(legs(c("line"))).alias("leg"))
+    ends = {f"{pick.__name__}_{k}": pick(c(f"leg.p.{k}"), c(f"leg.q.{k}")) for pick in (F.least, F.greatest) for k in ("lon", "lat")}
+    boxes = each.select("other", "name", "start", *(v.alias(k) for k, v in ends.items()))
+    there = boxes.withColumn("cell", F.explode(box_cells(c("least_lon"), c("greatest_lon"), c("least_lat"), c("greatest_lat"), cell, cell)))
+    meet = [c(f"least_{k}") <= c(f"m.{k}") + r for k in ("lon", "lat")] + [c(f"greatest_{k}") >= c(f"m.{k}") - r for k in ("lon", "lat")]
+    near = asked.join(there, "cell").where((c("edge_id") != c("other")) & meet[0] & meet[1] & meet[2] & meet[3])
+    metres = F.round(haversine(c("m.lat"), c("m.lon"), c("start.lat"), c("start.lon")), 6)
+    found = near.groupBy("edge_id").agg(F.min_by("name", F.struct(metres.alias("d"), c("other"))).alias("near_name"))
+    name = F.when(named(c("street_name")), c("street_name")).otherwise(F.coalesce("near_name", F.lit(NAMELESS)))
+    return wanted.join(found, "edge_id", "left").withColumn("street_name", name).drop("near_name")
+
+
 def new_segments(segments: DataFrame, rides: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges of rides that have no segment yet, as segments without counts."""
+    """Edges of rides that have no segment yet, as segments without counts; blank names come from the nearest named edge."""
     used = rides.select(F.explode(F.array_union("edge_ids", F.coalesce("path_edges", F.array().cast("array<bigint>")))).alias("edge_id")).distinct()
     fresh = used.join(segments.select(c("segment_id").alias("edge_id")), "edge_id", "left_anti")
-    return fresh.join(edges, "edge_id").select(c("edge_id").cast("long").alias("segment_id"), "street_name", "line", "gradient_percent")
+    return named_edges(fresh.join(edges, "edge_id"), edges).select(c("edge_id").cast("long").alias("segment_id"), "street_name", "line", "gradient_percent")
 
 
 def upsert_segments(segments: DataFrame, new: DataFrame) -> DataFrame:
@@ -64,11 +94,48 @@ def upsert_segments(segments: DataFrame, new: DataFrame) -> DataFrame:
 def edge_moments(rides: DataFrame, points: DataFrame, edges: DataFrame) -> DataFrame:
     """ride_id, edge_id, ts: the time of the point nearest to the middle vertex of each edge at its first ride; ties keep the earlier point."""
     first = rides.select("ride_id", F.explode(F.array_distinct("edge_ids")).alias("edge_id")).join(edges.select("edge_id", "line"), "edge_id")
-    middle = F.element_at("line", F.floor(F.size("line") / 2).cast("int") + 1)
-    pairs = first.select("ride_id", "edge_id", middle.alias("m")).join(usable_points(points), "ride_id")
+    return _nearest_times(first.select("ride_id", "edge_id", middle_vertex(c("line")).alias("m")), points)
+
+
+def _nearest_times(placed: DataFrame, points: DataFrame) -> DataFrame:
+    pairs = placed.join(usable_points(points), "ride_id")
     return pairs.groupBy("ride_id", "edge_id").agg(F.min_by("ts", F.struct(haversine(c("m.lat"), c("m.lon"), c("lat"), c("lon")).alias("d"), c("seq"))).alias("ts"))
 
 
+def match_pending(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rides matched to the road network: ride_id, status, actual_distance, edge_ids, trajectory and traversals.
+
+    points: ride_id, seq, lat, lon, ts. edges: as match_rides takes them. Rides with fewer than two usable points
+    and those that match no edge aren't returned, as they stay as they are. Rides with ends nearer than LEAST_METRES
+    are SKIPPED without being matched, all others PENDING. Lines run as ridden: an edge is turned if its start and not
+    its end is also an end of the next edge, the last one if its end and not its start is one of the edge before.
+    traversals: edge_id, bearing (first to last vertex, null without length) and ts of the point nearest to the
+    middle vertex, for each edge at its first ride, in order.
+    """
+    ready_to_checkpoint(points.sparkSession)
+    located = usable_points(points)
+    skip = ride_ends(located).where("located >= 2").select("ride_id", (haversine(c("first.lat"), c("first.lon"), c("last.lat"), c("last.lon")) < LEAST_METRES).alias("skip"))
+    kept = located.join(skip.where(~c("skip")), "ride_id", "left_semi")
+    # Matched once: what follows reads the result several times.
+    matched = match_rides(kept, edges).where(F.size("edge_ids") > 0).checkpoint()
+    ridden = matched.select("ride_id", F.posexplode("edge_ids").alias("at", "edge_id")).join(edges.select("edge_id", "metres", "line", F.array("from_node", "to_node").alias("ends")), "edge_id")
+    order = Window.partitionBy("ride_id").orderBy("at")
+    beside = ridden.withColumns({"after": F.lead("ends").over(order), "before": F.lag("ends").over(order)})
+    holds = lambda ends, node: F.exists(ends, lambda e: e == node)
+    start, end = c("ends")[0], c("ends")[1]
+    turned = F.when(c("after").isNotNull(), holds("after", start) & ~holds("after", end)).otherwise(F.coalesce(holds("before", end) & ~holds("before", start), F.lit(False)))
+    steps = beside.select("ride_id", "at", "edge_id", "metres", F.when(turned, F.reverse("line")).otherwise(c("line")).alias("line"))
+    whole = steps.groupBy("ride_id").agg(F.sum("metres").alias("actual_distance"), F.array_sort(F.collect_list(F.struct("at", "edge_id", "line"))).alias("parts"))
+    p, q = F.element_at("line", 1), F.element_at("line", -1)
+    way = F.when((p["lat"] != q["lat"]) | (p["lon"] != q["lon"]), compass(bearing(p["lat"], p["lon"], q["lat"], q["lon"])))
+    first = steps.groupBy("ride_id", "edge_id").agg(F.min("at").alias("at"), F.min_by("line", "at").alias("line"))
+    timed = first.join(_nearest_times(first.select("ride_id", "edge_id", middle_vertex(c("line")).alias("m")), points), ["ride_id", "edge_id"], "left")
+    traversals = timed.groupBy("ride_id").agg(F.array_sort(F.collect_list(F.struct("at", "edge_id", way.alias("bearing"), "ts"))).alias("traversals"))
+    placed = whole.select("ride_id", F.lit("PENDING").alias("status"), "actual_distance", F.transform("parts", lambda x: x["edge_id"]).alias("edge_ids"), stitch(F.transform("parts", lambda x: x["line"])).alias("trajectory"))
+    done = placed.join(traversals, "ride_id").withColumn("traversals", F.transform("traversals", lambda x: F.struct(x["edge_id"], x["bearing"], x["ts"])))
+    return done.unionByName(skip.where("skip").select("ride_id", F.lit("SKIPPED").alias("status")), allowMissingColumns=True)
+
+
 def apart_edges(rides: DataFrame, edges: DataFrame, source: str, reference: str, way: str) -> DataFrame:
     """ride_id, edge_id: edges of `source` that aren't in `reference` and don't come near the line `way`.
 

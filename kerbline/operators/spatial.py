@@ -17,7 +17,8 @@ def _range(low: Column, high: Column) -> Column:
     return F.sequence(F.floor(low).cast("long"), F.floor(high).cast("long"))
 
 
-def _cells(x0: Column, x1: Column, y0: Column, y1: Column, dx: float, dy: float) -> Column:
+def box_cells(x0: Column, x1: Column, y0: Column, y1: Column, dx: float, dy: float) -> Column:
+    """The cells that a box meets."""
     return F.flatten(F.transform(_range(x0 / dx, x1 / dx), lambda i: F.transform(_range(y0 / dy, y1 / dy), lambda k: F.struct(i.alias("x"), k.alias("y")))))
 
 
@@ -36,7 +37,7 @@ def point_cells(lon: Column, lat: Column, dx: float, dy: float) -> Column:
 def line_cells(line: Column, dx: float, dy: float) -> Column:
     """The cells that a line's legs may come near to: their boxes grown by one cell."""
     ends = lambda s, c, pick: pick(s["p"][c], s["q"][c])
-    each = F.transform(legs(line), lambda s: _cells(ends(s, "lon", F.least) - dx, ends(s, "lon", F.greatest) + dx, ends(s, "lat", F.least) - dy, ends(s, "lat", F.greatest) + dy, dx, dy))
+    each = F.transform(legs(line), lambda s: box_cells(ends(s, "lon", F.least) - dx, ends(s, "lon", F.greatest) + dx, ends(s, "lat", F.least) - dy, ends(s, "lat", F.greatest) + dy, dx, dy))
     return F.array_distinct(F.flatten(each))
 
 

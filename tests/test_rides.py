@@ -145,3 +145,36 @@ def test_features(spark, tmp_path):
     X.write_features(X.tile_features(segments, events, [2019, 2020]), str(tmp_path / "t"))
     p = json.loads(spark.read.text(str(tmp_path / "t")).first()[0])["properties"]
     assert p["eventCount_2020"] == 1 and p["bucket_2020"] == "AVOIDANCE_LIGHT" and "eventCount_2019" not in p and "streetName" not in p and p["trafficMeasuredEventCount"] == 1
+
+
+def test_names_of_unnamed_edges(spark):
+    rows = [
+        (1, None, line((13.400, 52.5), (13.401, 52.5), (13.402, 52.5))),  # its middle vertex is the second
+        (2, "Far", line((13.4012, 52.5), (13.402, 52.5))), (3, "Near", line((13.4011, 52.5), (13.402, 52.5))), (4, "Near too", line((13.4011, 52.5), (13.402, 52.6))),
+        (5, " ", line((13.5, 52.5), (13.51, 52.5))), (6, "Long", line((13.3, 52.5101), (13.6, 52.5101))), (7, "", line((13.45, 52.51), (13.451, 52.51))), (8, "Own", line((13.401, 52.5))), (9, None, None),
+    ]
+    edges = spark.createDataFrame(rows, f"edge_id long, street_name string, line {LINE}").withColumn("d", F.lit(1))
+    got = RD.named_edges(edges, edges)
+    assert got.columns == ["edge_id", "street_name", "line", "d"]
+    assert {r.edge_id: r.street_name for r in got.collect()} == {1: "Near", 2: "Far", 3: "Near", 4: "Near too", 5: "Unknown", 6: "Long", 7: "Long", 8: "Own", 9: "Unknown"}
+    assert RD.named_edges(edges.limit(0), edges).count() == 0
+
+
+def test_match_pending(spark):
+    at = lambda i: 13.4 + i * 0.00148
+    # edge 2 is drawn against the way of riding
+    rows = [(i, *((i + 1, i) if i == 2 else (i, i + 1)), 100.0, True, True, line((at(i + 1), 52.5), (at(i), 52.5)) if i == 2 else line((at(i), 52.5), (at(i + 1), 52.5))) for i in range(6)]
+    edges = spark.createDataFrame(rows, f"edge_id long, from_node long, to_node long, metres double, forward boolean, backward boolean, line {LINE}")
+    ridden = [("r", k, 52.5 + (0.00003 if k % 2 else -0.00003), 13.4003 + k * 0.0007, 1000 * k) for k in range(12)]
+    others = [("short", 0, 52.5, 13.4, 1), ("short", 1, 52.5, 13.401, 2), ("one", 0, 52.5, 13.4, 1), ("one", 1, 0.0, 13.5, 2), ("far", 0, 50.0, 10.0, 1), ("far", 1, 50.1, 10.0, 2), ("none", 0, None, 13.4, 1)]
+    points = spark.createDataFrame(ridden + others, "ride_id string, seq int, lat double, lon double, ts long")
+    got = {r.ride_id: r for r in RD.match_pending(points, edges).collect()}
+    assert set(got) == {"r", "short"} and got["short"].status == "SKIPPED" and got["short"].edge_ids is None
+    r = got["r"]
+    assert r.status == "PENDING" and r.edge_ids == [0, 1, 2, 3, 4, 5] and r.actual_distance == 600.0
+    assert [round(v.lon, 5) for v in r.trajectory] == [round(at(i), 5) for i in range(7)]
+    assert [t.edge_id for t in r.traversals] == r.edge_ids and all(abs(t.bearing - 90) < 0.1 for t in r.traversals)
+    # the middle vertex of two is the second as ridden
+    want = [min(ridden, key=lambda p: abs(p[3] - at(i + 1)))[4] for i in range(6)]
+    assert [t.ts for t in r.traversals] == want
+    assert RD.match_pending(points.limit(0), edges).count() == 0
