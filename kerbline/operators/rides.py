@@ -55,15 +55,15 @@ def middle_vertex(line):
     return F.element_at(line, F.floor(F.size(line) / 2).cast("int") + 1)
 
 
-def named_edges(wanted: DataFrame, edges: DataFrame) -> DataFrame:
+def named_edges(wanted: DataFrame, edges: DataFrame, degrees: float = NAME_DEGREES) -> DataFrame:
     """wanted (edge_id, street_name, line, others) with blank names replaced by that of the nearest named edge of `edges`, else "Unknown".
 
-    Edges count that have a leg whose box meets the square of NAME_DEGREES around the blank edge's middle vertex. The
+    Edges count that have a leg whose box meets the square of `degrees` to each side around the blank edge's middle vertex. The
     nearest one's first vertex is the nearest to it, to the micrometre; ties go to the smallest edge_id. The search
     is a join on grid cells of both sides.
     """
     named = lambda name: F.coalesce(name.rlike(r"\S"), F.lit(False))
-    r, cell = NAME_DEGREES, 4 * NAME_DEGREES
+    r, cell = degrees, 4 * degrees
     blank = wanted.where(~named(c("street_name")) & (F.size("line") > 0)).select("edge_id", middle_vertex(c("line")).alias("m")).dropDuplicates(["edge_id"])
     asked = blank.select("edge_id", "m", F.explode(box_cells(c("m.lon") - r, c("m.lon") + r, c("m.lat") - r, c("m.lat") + r, cell, cell)).alias("cell"))
     each = edges.where(named(c("street_name"))).select(c("edge_id").alias("other"), c("street_name").alias("name"), F.element_at("line", 1).alias("start"), F.explode(legs(c("line"))).alias("leg"))

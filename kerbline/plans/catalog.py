@@ -663,14 +663,16 @@ def _(r):
 # --- GE-20: names of unnamed edges ----------------------------------------------------------------
 
 # Every fifth segment stands for an edge without a name; a segment's middle vertex is its eastern end.
+# The tables' segments lie wide apart, so the square is larger than that of the import.
+_NAME_DEGREES = 0.001
 _UNNAMED = "segment_id % 5 = 0 OR coalesce(trim(street_name), '') = ''"
 
 
 @query("ge20_street_names", f""", b AS (SELECT segment_id, lon2 AS lon, lat1 AS lat FROM segments WHERE lon1 IS NOT NULL AND ({_UNNAMED})),
 n AS (SELECT segment_id, street_name, lon1, lon2, lat1 FROM segments WHERE lon1 IS NOT NULL AND NOT ({_UNNAMED})),
 k AS (SELECT b.segment_id, n.street_name, row_number() OVER (PARTITION BY b.segment_id ORDER BY round(2 * 6371000e0 * asin(sqrt(power(sin(radians(n.lat1 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(n.lat1)) * power(sin(radians(n.lon1 - lon) / 2), 2))), 6), n.segment_id) AS place
- FROM b JOIN n ON n.lat1 BETWEEN lat - 0.0003e0 AND lat + 0.0003e0 AND n.lon1 <= lon + 0.0003e0 AND n.lon2 >= lon - 0.0003e0)
+ FROM b JOIN n ON n.lat1 BETWEEN lat - {_NAME_DEGREES}e0 AND lat + {_NAME_DEGREES}e0 AND n.lon1 <= lon + {_NAME_DEGREES}e0 AND n.lon2 >= lon - {_NAME_DEGREES}e0)
 SELECT s.segment_id, CASE WHEN {_UNNAMED.replace("segment_id", "s.segment_id").replace("street_name", "s.street_name")} THEN coalesce(k.street_name, 'Unknown') ELSE s.street_name END AS street_name FROM segments s LEFT JOIN k ON k.segment_id = s.segment_id AND place = 1""", ("segments",))
 def _(r):
     bare = r.segments().select(c("segment_id").alias("edge_id"), F.when(~F.expr(_UNNAMED), c("street_name")).alias("street_name"), "line")
-    return RD.named_edges(bare, bare).select(c("edge_id").alias("segment_id"), "street_name")
+    return RD.named_edges(bare, bare, _NAME_DEGREES).select(c("edge_id").alias("segment_id"), "street_name")
