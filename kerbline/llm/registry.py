@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("licenses", "toxicity", "lmscore", "langid", "quality", "decontam", "bpe", "neardup", "htmltext", "media")
+MODULES = ("licenses", "toxicity", "lmscore", "langid", "quality", "decontam", "bpe", "neardup", "htmltext", "media", "tokenfile")
 
 
 def queries() -> dict:
