@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("licenses", "toxicity", "lmscore", "langid", "quality", "decontam", "bpe", "neardup", "htmltext", "media", "conversations", "tokenfile")
+MODULES = ("licenses", "toxicity", "lmscore", "langid", "quality", "decontam", "bpe", "neardup", "htmltext", "media", "whitening", "conversations", "tokenfile")
 
 
 def queries() -> dict:
