@@ -89,6 +89,28 @@ def point_line_metres(lon: Column, lat: Column, line: Column) -> Column:
     return point_line_degrees(F.lit(0.0), F.lit(0.0), flat)
 
 
+def line_position(lon: Column, lat: Column, line: Column) -> Column:
+    """Where a line is nearest to a point: a struct of metres and share (of the line's length before that place, 0 to 1), in a flat projection at the point.
+
+    The first of equally near places counts; null with under two vertices.
+    """
+    kx = F.cos(F.radians(lat)) * M_PER_DEGREE
+    flat = lambda v: ((v["lon"] - lon) * kx, (v["lat"] - lat) * M_PER_DEGREE)
+
+    def add(acc, leg):
+        (ax, ay), (bx, by) = flat(leg["p"]), flat(leg["q"])
+        dx, dy = bx - ax, by - ay
+        size = dx * dx + dy * dy
+        t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / size))).otherwise(0.0)
+        away, long = F.hypot(ax + t * dx, ay + t * dy), F.sqrt(size)
+        nearer = acc["metres"].isNull() | (away < acc["metres"])
+        return F.struct((acc["done"] + long).alias("done"), F.when(nearer, away).otherwise(acc["metres"]).alias("metres"), F.when(nearer, acc["done"] + t * long).otherwise(acc["at"]).alias("at"))
+
+    zero = F.struct(F.lit(0.0).alias("done"), F.lit(None).cast("double").alias("metres"), F.lit(0.0).alias("at"))
+    place = lambda acc: F.struct(acc["metres"].alias("metres"), F.when(acc["done"] > 0, acc["at"] / acc["done"]).otherwise(0.0).alias("share"))
+    return F.when(F.size(line) >= 2, F.aggregate(legs(line), zero, add, place))
+
+
 def _crosses(p: Column, q: Column, r: Column, s: Column) -> Column:
     """Whether two legs meet."""
 

@@ -1,4 +1,4 @@
-"""Graph operators: connected components, shortest paths and map matching."""
+"""Graph operators: connected components and shortest paths."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_M, M_PER_DEGREE
 from .components import components, ready_to_checkpoint  # noqa: F401
+from .matching import match_rides  # noqa: F401
 
 #: Largest road graph that is sent to every worker, in directed edges.
 GRAPH_EDGES = 5_000_000
@@ -89,80 +89,3 @@ def shortest_paths(trips: DataFrame, edges: DataFrame, keep: str = "ride_id") ->
     # With a given number, few narrow rows aren't put together into one task: the work is in the search.
     dealt = trips.select(keep, "source", "target").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source").sortWithinPartitions("source")
     return dealt.mapInPandas(run, f"{keep} {kind}, shortest_distance double, path_edges array<long>")
-
-
-def _metres(lat1, lon1, lat2, lon2) -> float:
-    a, b = math.radians(lat1), math.radians(lat2)
-    h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
-    return 2 * EARTH_M * math.asin(min(1.0, math.sqrt(h)))
-
-
-def _project(lat, lon, leg) -> tuple[float, float]:
-    """Distance from a point to a leg and the share of the leg before the foot."""
-    (lon0, lat0), (lon1, lat1) = leg
-    k = math.cos(math.radians(lat)) * M_PER_DEGREE
-    ax, ay, bx, by = (lon0 - lon) * k, (lat0 - lat) * M_PER_DEGREE, (lon1 - lon) * k, (lat1 - lat) * M_PER_DEGREE
-    dx, dy = bx - ax, by - ay
-    size = dx * dx + dy * dy
-    t = max(0.0, min(1.0, -(ax * dx + ay * dy) / size)) if size else 0.0
-    return math.hypot(ax + t * dx, ay + t * dy), t
-
-
-def viterbi(points, ways, graph, sigma: float = 10.0, beta: float = 30.0, reach: float = 60.0) -> list[int]:
-    """The likeliest sequence of edges for points (lat, lon): Gaussian distances, exponential detours.
-
-    ways: (edge, source, target, metres, leg) in the direction of riding. Points with no way in reach are left out.
-    """
-    states: list[tuple[float, tuple, list[int]]] = []
-    last = None
-    for lat, lon in points:
-        near = [(w, *_project(lat, lon, w[4])) for w in ways]
-        near = [x for x in near if x[1] <= reach]
-        if not near:
-            continue
-        if not states:
-            states = [(-((d / sigma) ** 2) / 2, (w, t), [w[0]]) for w, d, t in near]
-        else:
-            crow, new = _metres(*last, lat, lon), []
-            for w, d, t in near:
-                best = None
-                for score, (v, s), path in states:
-                    if v[0] == w[0] and v[1] == w[1] and t >= s:
-                        way, via = (t - s) * w[3], []
-                    else:
-                        found = dijkstra(graph, v[2], w[1])
-                        if found is None:
-                            continue
-                        way, via = (1 - s) * v[3] + found[0] + t * w[3], found[1]
-                    total = score - abs(way - crow) / beta
-                    if best is None or total > best[0]:
-                        best = (total, path + via + ([w[0]] if via or path[-1] != w[0] else []))
-                if best:
-                    new.append((best[0] - (d / sigma) ** 2 / 2, (w, t), best[1]))
-            states = new or states
-        last = (lat, lon)
-    if not states:
-        return []
-    path = max(states, key=lambda x: x[0])[2]
-    return [e for i, e in enumerate(path) if not i or path[i - 1] != e]
-
-
-def match_rides(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """ride_id and edge_ids (ordered) for rides of GPS points (lat, lon, ts), by a hidden Markov model over the network.
-
-    edges: edge_id, from_node, to_node, metres, forward, backward, line. A ride is one group, bounded by its length.
-    """
-    graph = adjacency(edges)
-    shapes = {r.edge_id: [(v.lon, v.lat) for v in r.line] for r in edges.select("edge_id", "line").collect()}
-    ways = [(e, u, v, w, (shapes[e][0], shapes[e][-1])) for u, out in graph.items() for v, w, e in out]
-    ends = {r.edge_id: r.from_node for r in edges.select("edge_id", "from_node").collect()}
-    ways = [(e, u, v, w, leg if ends[e] == u else leg[::-1]) for e, u, v, w, leg in ways]
-    sent = points.sparkSession.sparkContext.broadcast((graph, ways))
-    kind = points.schema["ride_id"].dataType.simpleString()
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        graph, ways = sent.value
-        part = part.sort_values("ts", kind="stable")
-        return pd.DataFrame({"ride_id": [part["ride_id"].iloc[0]], "edge_ids": [viterbi(list(zip(part["lat"], part["lon"], strict=True)), ways, graph)]})
-
-    return points.select("ride_id", "lat", "lon", "ts").groupBy("ride_id").applyInPandas(run, f"ride_id {kind}, edge_ids array<long>")
