@@ -6,7 +6,7 @@ edges of the cell and its neighbours; and the Viterbi recursion reads a ride's p
 number for each candidate of a piece. Nothing is collected, and no task holds more of the network than nine cells.
 
 The model: a candidate's log-chance is -(metres / SIGMA)^2 / 2, a step's -|way - crow| / BETA, where the way runs along the network and the crow flies
-between the points. Ways are added up in whole micrometres, scores rounded to SCORE_DIGITS digits. Of equal ways the one with the
+between the points. Ways are added up in whole micrometres, shares of edges and scores rounded to SHARE_DIGITS and SCORE_DIGITS digits. Of equal ways the one with the
 smaller edge ids counts (compared from the start), of equal scores the candidate with the smaller edge id, forward first.
 """
 
@@ -27,7 +27,7 @@ from .components import ready_to_checkpoint
 from .spatial import points_near_lines, steps
 
 c = F.col
-SIGMA, BETA, REACH, WAY_METRES, SCORE_DIGITS = 10.0, 30.0, 60.0, 500.0, 6
+SIGMA, BETA, REACH, WAY_METRES, SCORE_DIGITS, SHARE_DIGITS = 10.0, 30.0, 60.0, 500.0, 6, 9
 MICRO = 1_000_000
 
 
@@ -52,9 +52,9 @@ def candidates(points: DataFrame, edges: DataFrame, reach: float = REACH) -> Dat
     points: ride_id, n (the point's place in its ride), lat, lon. A point meets the edges of its own cell, whose size is the reach; share is that of the edge ridden before the point.
     """
     lines = edges.where(F.size("line") >= 2).select("edge_id", "line", "from_node", "to_node", micrometres(c("metres")).alias("length"), "forward", "backward")
-    near = points_near_lines(points, lines, reach).withColumn("place", line_position(c("lon"), c("lat"), c("line")))
+    near = points_near_lines(points, lines, reach).withColumn("share", F.round(line_position(c("lon"), c("lat"), c("line"))["share"], SHARE_DIGITS))
     way = lambda ahead, a, b, share: F.struct(F.lit(ahead).alias("ahead"), c(a).alias("source"), c(b).alias("target"), share.alias("share"))
-    ways = F.array_compact(F.array(F.when(c("forward"), way(True, "from_node", "to_node", c("place.share"))), F.when(c("backward"), way(False, "to_node", "from_node", 1 - c("place.share")))))
+    ways = F.array_compact(F.array(F.when(c("forward"), way(True, "from_node", "to_node", c("share"))), F.when(c("backward"), way(False, "to_node", "from_node", F.round(1 - c("share"), SHARE_DIGITS)))))
     return near.select("ride_id", "n", "lat", "lon", "edge_id", "length", "metres", F.explode(ways).alias("w")).select("ride_id", "n", "lat", "lon", "edge_id", "w.ahead", "w.source", "w.target", "length", "metres", "w.share")
 
 

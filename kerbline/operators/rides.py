@@ -9,7 +9,7 @@ from ..functions import rules as R
 from ..functions.geo import bearing, compass, haversine, legs, line_line_metres, overlap_ratio, stitch
 from .filters import valid_position
 from .graph import match_rides, ready_to_checkpoint
-from .spatial import box_cells
+from .spatial import box_cells, nearest_in_group
 
 c = F.col
 LEAST_METRES, REACH_METRES = 500.0, 20.0
@@ -92,14 +92,13 @@ def upsert_segments(segments: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def edge_moments(rides: DataFrame, points: DataFrame, edges: DataFrame) -> DataFrame:
-    """ride_id, edge_id, ts: the time of the point nearest to the middle vertex of each edge at its first ride; ties keep the earlier point."""
+    """ride_id, edge_id, ts: the time of the point nearest to the middle vertex of each edge at its first ride; ties (to the micrometre) keep the point of the smaller seq."""
     first = rides.select("ride_id", F.explode(F.array_distinct("edge_ids")).alias("edge_id")).join(edges.select("edge_id", "line"), "edge_id")
     return _nearest_times(first.select("ride_id", "edge_id", middle_vertex(c("line")).alias("m")), points)
 
 
 def _nearest_times(placed: DataFrame, points: DataFrame) -> DataFrame:
-    pairs = placed.join(usable_points(points), "ride_id")
-    return pairs.groupBy("ride_id", "edge_id").agg(F.min_by("ts", F.struct(haversine(c("m.lat"), c("m.lon"), c("lat"), c("lon")).alias("d"), c("seq"))).alias("ts"))
+    return nearest_in_group(placed.select("ride_id", "edge_id", "m.lon", "m.lat"), usable_points(points), "ride_id", "edge_id", "ts", "seq")
 
 
 def match_pending(points: DataFrame, edges: DataFrame) -> DataFrame:

@@ -64,6 +64,24 @@ FROM orders""",
 FROM lineitem""",
     ),
     "ride_points": ("lineitem", "SELECT l_orderkey AS ride_id, (l_linenumber * 100000 + l_partkey) * 10000 + l_suppkey AS seq, CASE WHEN l_linenumber = 4 THEN NULL ELSE l_quantity END AS gps_accuracy, 52.5e0 + (l_partkey % 100) * 0.001e0 AS lat, 13.4e0 + (l_suppkey % 100) * 0.001e0 AS lon, @ms(l_shipdate) + l_linenumber * 1000 AS ts FROM lineitem"),
+    "street_edges": (
+        "part",
+        """SELECT p_partkey * 2 AS edge_id, p_partkey AS from_node, p_partkey + 1 AS to_node, 102e0 AS metres,
+ 13.30e0 + (p_partkey % 50) * 0.0015e0 AS lon1, 52.45e0 + floor(p_partkey / 50e0) * 0.001e0 AS lat1, 13.30e0 + (p_partkey % 50 + 1) * 0.0015e0 AS lon2, 52.45e0 + floor(p_partkey / 50e0) * 0.001e0 AS lat2, p_partkey * 2 % 5 <> 0 AS backward
+FROM part WHERE p_partkey % 50 <> 49
+UNION ALL SELECT p_partkey * 2 + 1, p_partkey, p_partkey + 50, 112e0,
+ 13.30e0 + (p_partkey % 50) * 0.0015e0, 52.45e0 + floor(p_partkey / 50e0) * 0.001e0, 13.30e0 + (p_partkey % 50) * 0.0015e0, 52.45e0 + (floor(p_partkey / 50e0) + 1) * 0.001e0, (p_partkey * 2 + 1) % 5 <> 0
+FROM part""",
+    ),
+    # A ride goes up a stair of streets or straight on, some against the order of their lines, its points in the middle of the edges with an error of up to 6 m.
+    "ride_traces": (
+        "lineitem",
+        """SELECT l_orderkey AS ride_id, (l_linenumber * 100000 + l_partkey) * 10000 + l_suppkey AS seq,
+ 52.45e0 + 0.001e0 * ((l_orderkey * 7) % 37 + CASE WHEN l_orderkey % 3 = 0 THEN 0e0 ELSE floor((l_linenumber - 1) / 2e0) + CASE l_linenumber % 2 WHEN 0 THEN 0.5e0 ELSE 0e0 END END) + (l_suppkey % 17 - 8) * 0.000006e0 AS lat,
+ 13.30e0 + 0.0015e0 * (l_orderkey % 40 + CASE WHEN l_orderkey % 3 = 0 THEN l_linenumber - 0.5e0 ELSE floor((l_linenumber - 1) / 2e0) + CASE l_linenumber % 2 WHEN 0 THEN 1e0 ELSE 0.5e0 END END) + (l_partkey % 21 - 10) * 0.000004e0 AS lon,
+ 1700000000000 + CASE l_orderkey % 4 WHEN 1 THEN -l_linenumber ELSE l_linenumber END * 20000 AS ts
+FROM lineitem""",
+    ),
     "incidents": (
         "events",
         """SELECT event_id AS incident_id, event_id * 3 AS ride_id, event_type = 'error' AS scary,
@@ -129,6 +147,11 @@ class Ride:
         c = F.col
         return made.withColumns({"avoidance_ratio": R.avoidance_ratio(c("usage_count"), c("avoidance_count")), "preference_ratio": R.preference_ratio(c("usage_count"), c("preference_count"))})
 
+    def street_edges(self) -> DataFrame:
+        """A grid of streets, some of them one-way, as a network of edges."""
+        end = lambda i: F.struct(F.col(f"lon{i}").alias("lon"), F.col(f"lat{i}").alias("lat"))
+        return self.view("street_edges").select("edge_id", "from_node", "to_node", "metres", F.lit(True).alias("forward"), "backward", F.array(end(1), end(2)).alias("line"))
+
     def events(self) -> DataFrame:
         made = self.view("segment_events")
         return made.withColumns({"day_of_week": R.day_of_week(F.col("event_ts")), "hour_of_day": R.hour_of_day(F.col("event_ts"))})

@@ -660,6 +660,64 @@ def _(r):
     return graph.shortest_paths(placed, _network(r)).withColumn("path_edges", F.array_join(c("path_edges").cast("array<string>"), ","))
 
 
+# --- GR-2, PL-1: map matching ---------------------------------------------------------------------
+
+# Candidates by the grid's arithmetic, ways by enumerating all paths of up to 500 m, and one step of the recursion for each point.
+_METRES = "(2 * 6371000e0 * asin(sqrt(least(1, power(sin(radians({1}.lat - {0}.lat) / 2), 2) + cos(radians({0}.lat)) * cos(radians({1}.lat)) * power(sin(radians({1}.lon - {0}.lon) / 2), 2)))))"
+_MATCHED = f"""
+pts AS (SELECT *, row_number() OVER (PARTITION BY ride_id ORDER BY ts, lat, lon) AS n, cos(radians(lat)) * 111320e0 AS kx, CAST(floor((lon - 13.30e0) / 0.0015e0) AS BIGINT) AS gx, CAST(floor((lat - 52.45e0) / 0.001e0) AS BIGINT) AS gy FROM ride_traces),
+around AS (SELECT p.*, t.i AS fx, u.k AS fy FROM pts p, (SELECT unnest([-1, 0, 1]) AS i) t, (SELECT unnest([-1, 0, 1]) AS k) u),
+flat AS (SELECT a.ride_id, a.n, a.lat, a.lon, e.edge_id, e.from_node, e.to_node, e.metres AS size, e.backward, (e.lon1 - a.lon) * a.kx AS ax, (e.lat1 - a.lat) * 111320e0 AS ay, (e.lon2 - e.lon1) * a.kx AS dx, (e.lat2 - e.lat1) * 111320e0 AS dy
+ FROM around a JOIN street_edges e ON e.from_node = a.gx + a.fx + 50 * (a.gy + a.fy)),
+foot AS (SELECT *, greatest(0e0, least(1e0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS t FROM flat),
+near AS (SELECT *, sqrt(power(ax + t * dx, 2) + power(ay + t * dy, 2)) AS away FROM foot),
+cand AS (SELECT ride_id, n, lat, lon, edge_id, false AS turned, from_node AS source, to_node AS target, size, away, round(t, 9) AS share FROM near WHERE away <= 60
+ UNION ALL SELECT ride_id, n, lat, lon, edge_id, true, to_node, from_node, size, away, round(1 - round(t, 9), 9) FROM near WHERE away <= 60 AND backward),
+st AS (SELECT *, dense_rank() OVER (PARTITION BY ride_id ORDER BY n) AS m, row_number() OVER (PARTITION BY ride_id, n ORDER BY edge_id, turned) AS i, -(away / 10) * (away / 10) / 2 AS chance FROM cand),
+arcs AS (SELECT edge_id, from_node AS a, to_node AS b, CAST(round(metres * 1000000) AS BIGINT) AS w FROM street_edges UNION ALL SELECT edge_id, to_node, from_node, CAST(round(metres * 1000000) AS BIGINT) FROM street_edges WHERE backward),
+paths(a, b, w, path) AS (SELECT DISTINCT a, a, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM arcs UNION ALL SELECT p.a, x.b, p.w + x.w, list_append(p.path, x.edge_id) FROM paths p JOIN arcs x ON x.a = p.b WHERE p.w + x.w <= 500000000),
+ways AS (SELECT a, b, w, path FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY w, path) AS k FROM paths) z WHERE k = 1),
+mv AS (SELECT x.ride_id, y.m, x.i, y.i AS j, straight, w.path, -abs(CASE WHEN straight THEN (y.share - x.share) * y.size ELSE (1 - x.share) * x.size + w.w / 1000000e0 + y.share * y.size END - {_METRES.format("x", "y")}) / 30 AS score
+ FROM (SELECT x.*, y.m AS m2, y.i AS i2, x.edge_id = y.edge_id AND x.turned = y.turned AND y.share >= x.share AS straight FROM st x JOIN st y ON y.ride_id = x.ride_id AND y.m = x.m + 1) x
+ JOIN st y ON y.ride_id = x.ride_id AND y.m = x.m2 AND y.i = x.i2 LEFT JOIN ways w ON NOT straight AND w.a = x.target AND w.b = y.source WHERE straight OR w.w IS NOT NULL),
+v(ride_id, m, i, score, path) AS (SELECT ride_id, m, i, round(chance, 6), [edge_id] FROM st WHERE m = 1
+ UNION ALL SELECT ride_id, m, j, score, path FROM (
+  SELECT *, row_number() OVER (PARTITION BY ride_id, j ORDER BY rank_score DESC, i) AS k FROM (
+   SELECT v.ride_id, s.m, v.i, s.i AS j, mv.score IS NOT NULL AS led, bool_or(mv.score IS NOT NULL) OVER (PARTITION BY v.ride_id) AS any_led,
+    CASE WHEN mv.score IS NULL THEN v.score ELSE round(v.score + mv.score + s.chance, 6) END AS rank_score, CASE WHEN mv.score IS NULL THEN round(s.chance, 6) ELSE round(v.score + mv.score + s.chance, 6) END AS score,
+    CASE WHEN mv.score IS NULL THEN list_append(v.path, s.edge_id) WHEN mv.straight THEN v.path ELSE list_append(list_concat(v.path, mv.path), s.edge_id) END AS path
+   FROM v JOIN st s ON s.ride_id = v.ride_id AND s.m = v.m + 1 LEFT JOIN mv ON mv.ride_id = v.ride_id AND mv.m = s.m AND mv.i = v.i AND mv.j = s.i) q WHERE led OR NOT any_led) z WHERE k = 1),
+best AS (SELECT ride_id, path FROM (SELECT *, row_number() OVER (PARTITION BY ride_id ORDER BY m DESC, score DESC, i) AS k FROM v) z WHERE k = 1),
+matched AS (SELECT r.ride_id, [path[x] FOR x IN range(1, len(path) + 1) IF x = 1 OR path[x] <> path[x - 1]] AS edge_ids FROM (SELECT DISTINCT ride_id FROM ride_traces) r LEFT JOIN best USING (ride_id))"""
+
+
+@query("gr2_match_rides", f", {_MATCHED} SELECT ride_id, coalesce(array_to_string(edge_ids, ','), '') AS edge_ids FROM matched", ("street_edges", "ride_traces"))
+def _(r):
+    return graph.match_rides(r.view("ride_traces"), r.street_edges()).select("ride_id", F.array_join(c("edge_ids").cast("array<string>"), ",").alias("edge_ids"))
+
+
+@query(
+    "pl1_match_pending",
+    f""", {_MATCHED}, ends AS (SELECT ride_id, arg_min(struct_pack(lat := lat, lon := lon), (ts, seq)) AS f, arg_max(struct_pack(lat := lat, lon := lon), (ts, -seq)) AS l, count(*) AS n FROM ride_traces GROUP BY 1),
+far AS (SELECT ride_id, f, l, {_METRES.format("f", "l")} < 500 AS skip FROM ends WHERE n >= 2),
+steps AS (SELECT m.ride_id, e.edge_id, e.metres, e.from_node AS a, e.to_node AS b, e.lon1, e.lat1, e.lon2, e.lat2, p.k FROM matched m JOIN far USING (ride_id), unnest(range(1, len(m.edge_ids) + 1)) p(k) JOIN street_edges e ON e.edge_id = m.edge_ids[p.k] WHERE NOT skip),
+beside AS (SELECT *, lead(a) OVER w AS a2, lead(b) OVER w AS b2, lag(a) OVER w AS a0, lag(b) OVER w AS b0 FROM steps WINDOW w AS (PARTITION BY ride_id ORDER BY k)),
+turned AS (SELECT *, CASE WHEN a2 IS NOT NULL THEN a IN (a2, b2) AND b NOT IN (a2, b2) ELSE coalesce(b IN (a0, b0) AND a NOT IN (a0, b0), false) END AS back FROM beside),
+ridden AS (SELECT ride_id, edge_id, metres, k, CASE WHEN back THEN lon1 ELSE lon2 END AS lon, CASE WHEN back THEN lat1 ELSE lat2 END AS lat FROM turned),
+once AS (SELECT ride_id, edge_id, min(k) AS k, arg_min(lon, k) AS lon, arg_min(lat, k) AS lat FROM ridden GROUP BY 1, 2),
+timed AS (SELECT o.ride_id, o.edge_id, o.k, arg_min(t.ts, (round({_METRES.format("o", "t")}, 6), t.seq)) AS ts FROM once o JOIN ride_traces t USING (ride_id) GROUP BY 1, 2, 3),
+sums AS (SELECT ride_id, sum(metres) AS actual_distance, CAST(count(*) + 1 AS BIGINT) AS vertices FROM ridden GROUP BY 1)
+SELECT far.ride_id, CASE WHEN skip THEN 'SKIPPED' ELSE 'PENDING' END AS status, s.actual_distance, s.vertices, CASE WHEN NOT skip THEN array_to_string(m.edge_ids, ',') END AS edge_ids, t.traversals
+FROM far JOIN matched m USING (ride_id) LEFT JOIN sums s USING (ride_id) LEFT JOIN (SELECT ride_id, string_agg(concat(edge_id, ':', ts), ',' ORDER BY k) AS traversals FROM timed GROUP BY 1) t USING (ride_id) WHERE skip OR len(m.edge_ids) > 0""",
+    ("street_edges", "ride_traces"),
+)
+def _(r):
+    done = RD.match_pending(r.view("ride_traces"), r.street_edges())
+    times = F.transform("traversals", lambda t: F.concat_ws(":", t["edge_id"].cast("string"), t["ts"].cast("string")))
+    joined = F.when(c("edge_ids").isNotNull(), F.array_join(c("edge_ids").cast("array<string>"), ","))
+    return done.select("ride_id", "status", "actual_distance", F.when(c("trajectory").isNotNull(), F.size("trajectory")).cast("long").alias("vertices"), joined.alias("edge_ids"), F.array_join(times, ",").alias("traversals"))
+
+
 # --- GE-20: names of unnamed edges ----------------------------------------------------------------
 
 # Every fifth segment stands for an edge without a name; a segment's middle vertex is its eastern end.

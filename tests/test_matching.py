@@ -153,3 +153,25 @@ def test_breaks_and_odd_points(spark):
     # a: no way leads to the second edge, so a new piece begins. c: against the only direction, so both points are pieces of one edge.
     assert got == {"a": [1, 2], "b": [], "c": [1], "d": [1], "e": []}
     assert M.match_rides(spark.createDataFrame([], POINTS), edges).count() == 0
+
+
+def test_nearest_in_group(spark):
+    from kerbline.operators.spatial import nearest_in_group
+
+    rnd = random.Random(4)
+    places, points = [], []
+    for g in range(6):
+        spread = 10.0 ** -rnd.randint(0, 4)
+        points += [(g, k, 52.5 + rnd.uniform(-1, 1) * spread, 13.4 + rnd.uniform(-1, 1) * spread, k * 7) for k in range(rnd.randint(0, 40) if g else 0)]
+        places += [(g, k, 52.5 + rnd.uniform(-1, 1) * spread * 3, 13.4 + rnd.uniform(-1, 1) * spread * 3) for k in range(20)]
+    points += [(3, 100 + k, 52.6, 13.5, k) for k in range(5)]
+    places += [(3, 50, 52.6, 13.5), (4, 51, 48.0, 2.0)]
+    a = spark.createDataFrame(places, "g int, k int, lat double, lon double")
+    b = spark.createDataFrame(points, "g int, seq int, lat double, lon double, ts int")
+    got = {(r.g, r.k): r.ts for r in nearest_in_group(a, b, "g", "k", "ts", "seq").collect()}
+    want = {}
+    for g, k, lat, lon in places:
+        own = [(round(metres((lon, lat), (q[3], q[2])), 6), q[1], q[4]) for q in points if q[0] == g]
+        if own:
+            want[g, k] = min(own)[2]
+    assert got == want
