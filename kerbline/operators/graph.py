@@ -1,91 +1,5 @@
-"""Graph operators: connected components and shortest paths."""
-
-from __future__ import annotations
-
-import heapq
-import math
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+"""Graph operators by name: connected components, shortest paths and map matching."""
 
 from .components import components, ready_to_checkpoint  # noqa: F401
 from .matching import match_rides  # noqa: F401
-
-#: Largest road graph that is sent to every worker, in directed edges.
-GRAPH_EDGES = 5_000_000
-
-
-def directed(edges: DataFrame) -> DataFrame:
-    """edge_id, source, target, metres: a row for each way in which an edge may be ridden."""
-    there = edges.where("forward").select("edge_id", F.col("from_node").alias("source"), F.col("to_node").alias("target"), "metres")
-    back = edges.where("backward").select("edge_id", F.col("to_node").alias("source"), F.col("from_node").alias("target"), "metres")
-    return there.unionByName(back)
-
-
-def adjacency(edges: DataFrame) -> dict[int, list[tuple[int, float, int]]]:
-    """The graph as lists by node, for the driver and the workers; its size is checked."""
-    ways = directed(edges)
-    n = ways.count()
-    if n > GRAPH_EDGES:
-        raise ValueError(f"{n} directed edges are more than {GRAPH_EDGES}: split the network by region and run each")
-    out: dict[int, list[tuple[int, float, int]]] = {}
-    for r in ways.orderBy("edge_id", "source").collect():
-        out.setdefault(r.source, []).append((r.target, r.metres, r.edge_id))
-    return out
-
-
-def dijkstra_many(graph: dict[int, list[tuple[int, float, int]]], start: int, goals: set[int]) -> dict[int, tuple[float, list[int]]]:
-    """The shortest way's length and edges to each goal that can be reached; ties go to the way found first in the order of edge ids."""
-    best, came, done, out = {start: 0.0}, {}, set(), {}
-    queue, left = [(0.0, start)], set(goals)
-    while queue and left:
-        d, u = heapq.heappop(queue)
-        if u in done:
-            continue
-        done.add(u)
-        if u in left:
-            left.remove(u)
-            path, v = [], u
-            while v != start:
-                v, e = came[v]
-                path.append(e)
-            out[u] = d, path[::-1]
-        for v, w, e in graph.get(u, ()):
-            if d + w < best.get(v, math.inf):
-                best[v] = d + w
-                came[v] = (u, e)
-                heapq.heappush(queue, (d + w, v))
-    return out
-
-
-def dijkstra(graph: dict[int, list[tuple[int, float, int]]], start: int, goal: int) -> tuple[float, list[int]] | None:
-    """The same to one goal; None without a way."""
-    return dijkstra_many(graph, start, {goal}).get(goal)
-
-
-def shortest_paths(trips: DataFrame, edges: DataFrame, keep: str = "ride_id") -> DataFrame:
-    """keep, shortest_distance and path_edges for each trip (source, target); both null without a way.
-
-    Trips of one source are dealt to one task, which searches once for all of a batch.
-    """
-    spark = trips.sparkSession
-    sent = spark.sparkContext.broadcast(adjacency(edges))
-    kind = trips.schema[keep].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            goals: dict = {}
-            for a, b in zip(part["source"], part["target"], strict=True):
-                goals.setdefault(a, set()).add(b)
-            found, last, ways = [], None, {}
-            for a, b in zip(part["source"], part["target"], strict=True):
-                if a != last:
-                    last, ways = a, dijkstra_many(sent.value, a, goals[a])
-                found.append(ways.get(b))
-            yield pd.DataFrame({keep: part[keep], "shortest_distance": [f[0] if f else None for f in found], "path_edges": [f[1] if f else None for f in found]})
-
-    # With a given number, few narrow rows aren't put together into one task: the work is in the search.
-    dealt = trips.select(keep, "source", "target").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source").sortWithinPartitions("source")
-    return dealt.mapInPandas(run, f"{keep} {kind}, shortest_distance double, path_edges array<long>")
+from .routing import directed, shortest_paths  # noqa: F401
