@@ -660,6 +660,37 @@ def _(r):
     return graph.shortest_paths(placed, _network(r)).withColumn("path_edges", F.array_join(c("path_edges").cast("array<string>"), ","))
 
 
+# Each ride's way between the nodes at its first and last point; the SQL relaxes all arcs round by round.
+_NODE = "CAST(50 * floor(({0}.lat - 52.45e0) / 0.001e0 + 0.25e0) + floor(({0}.lon - 13.30e0) / 0.0015e0 + 0.25e0) AS BIGINT)"
+_ARCS = "arcs AS (SELECT edge_id, from_node AS a, to_node AS b, metres FROM street_edges UNION ALL SELECT edge_id, to_node, from_node, metres FROM street_edges WHERE backward)"
+
+
+@query(
+    "gr1_ride_routes",
+    f""", ends AS (SELECT ride_id, arg_min(struct_pack(lat := lat, lon := lon), (ts, seq)) AS f, arg_max(struct_pack(lat := lat, lon := lon), (ts, -seq)) AS l FROM ride_traces GROUP BY 1),
+trips AS (SELECT ride_id, {_NODE.format("f")} AS a, {_NODE.format("l")} AS b FROM ends), {_ARCS},
+far(k, s, n, w) AS (SELECT 0, a, a, 0e0 FROM (SELECT DISTINCT a FROM trips) t UNION ALL
+ SELECT k + 1, s, n, min(w) FROM (SELECT k, s, n, w FROM far UNION ALL SELECT f.k, f.s, x.b, f.w + x.metres FROM far f JOIN arcs x ON x.a = f.n WHERE f.w + x.metres <= 3000) z WHERE k < 32 GROUP BY k, s, n)
+SELECT ride_id, a AS source, b AS target, w AS shortest_distance, w AS path_metres, w IS NOT NULL AS connected FROM trips LEFT JOIN far ON k = 32 AND s = a AND n = b""",
+    ("street_edges", "ride_traces"),
+)
+def _(r):
+    ends = RD.ride_ends(r.view("ride_traces"))
+    node = lambda p: F.expr(_NODE.format(p)).cast("long")
+    trips = ends.select("ride_id", node("first").alias("source"), node("last").alias("target"))
+    routed = trips.join(graph.shortest_paths(trips, r.street_edges()), "ride_id")
+    # The path is ridden again edge by edge: each one must start where the one before ended.
+    arcs = graph.directed(r.street_edges())
+    at = F.posexplode("path_edges").alias("k", "edge_id")
+    ridden = routed.select("ride_id", "source", "target", at).join(arcs.select("edge_id", c("source").alias("u"), c("target").alias("v"), "metres"), "edge_id")
+    both = ridden.groupBy("ride_id", "k").agg(F.any_value("source").alias("source"), F.any_value("target").alias("target"), F.max("metres").alias("metres"), F.collect_list(F.struct("u", "v")).alias("ways"))
+    chain = both.groupBy("ride_id").agg(F.any_value("source").alias("a"), F.any_value("target").alias("b"), F.sum("metres").alias("path_metres"), F.transform(F.array_sort(F.collect_list(F.struct("k", "ways"))), lambda x: x["ways"]).alias("ways"))
+    end = F.aggregate("ways", c("a"), lambda node, ways: F.element_at(F.concat(F.transform(F.filter(ways, lambda w: w["u"] == node), lambda w: w["v"]), F.array(F.lit(-1).cast("long"))), 1))
+    checked = chain.select("ride_id", "path_metres", (end == c("b")).alias("arrives"))
+    none = c("shortest_distance") == 0
+    return routed.join(checked, "ride_id", "left").select("ride_id", "source", "target", "shortest_distance", F.coalesce("path_metres", F.when(none, 0.0)).alias("path_metres"), F.coalesce("arrives", none, F.lit(False)).alias("connected"))
+
+
 # --- GR-2, PL-1: map matching ---------------------------------------------------------------------
 
 # Candidates by the grid's arithmetic, ways by enumerating all paths of up to 500 m, and one step of the recursion for each point.
