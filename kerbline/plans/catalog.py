@@ -17,6 +17,7 @@ from ..operators import filters as FL
 from ..operators import graph, spatial
 from ..operators import rides as RD
 from ..operators.filters import EventFilter
+from ..sources import elevation
 from .adapters import Ride, ctes
 
 c = F.col
@@ -749,6 +750,39 @@ def _(r):
     return done.select("ride_id", "status", "actual_distance", F.when(c("trajectory").isNotNull(), F.size("trajectory")).cast("long").alias("vertices"), joined.alias("edge_ids"), F.array_join(times, ",").alias("traversals"))
 
 
+# --- SRC-18, GE-17: gradients from height tiles ----------------------------------------------------
+
+# A tile of the parts' sizes as heights, row by row; every 31st sample has no data.
+_HEIGHT = "CASE WHEN p_partkey % 31 = 0 THEN -32768 ELSE p_size * 7 - 60 END"
+
+
+def _tile(r: Ride) -> DataFrame:
+    n = int(r.table("part").count() ** 0.5)
+    bytes_ = F.format_string("%04X", F.pmod(c("h"), F.lit(65536)))
+    made = r.table("part").where(c("p_partkey") < n * n).select("p_partkey", F.expr(_HEIGHT).cast("int").alias("h"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", bytes_.alias("b")))), lambda x: x["b"]), "")
+    return made.agg(text.alias("t")).select(F.lit(52).alias("south"), F.lit(13).alias("west"), F.lit(n).alias("n"), F.unhex("t").alias("content"))
+
+
+_CORNER = "(SELECT p_partkey AS k, {0} AS h FROM part) h{1}{2} ON h{1}{2}.k = (i + {1}) * n + j + {2}"
+_CORNERS = [(a, b, f"(CASE WHEN {a} = 1 THEN y - i ELSE 1 - y + i END) * (CASE WHEN {b} = 1 THEN x - j ELSE 1 - x + j END)", f"nullif(h{a}{b}.h, -32768)") for a in (0, 1) for b in (0, 1)]
+
+
+@query(
+    "ge17_tile_gradients",
+    f""", side AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS n FROM part),
+ends AS (SELECT DISTINCT lon1 AS lon, lat1 AS lat FROM street_edges UNION SELECT DISTINCT lon2, lat2 FROM street_edges),
+xy AS (SELECT lon, lat, n, (53 - lat) * (n - 1) AS y, (lon - 13) * (n - 1) AS x FROM ends, side WHERE floor(lat) = 52 AND floor(lon) = 13),
+ij AS (SELECT *, CAST(least(floor(y), n - 2) AS BIGINT) AS i, CAST(least(floor(x), n - 2) AS BIGINT) AS j FROM xy),
+hs AS (SELECT lon, lat, {" + ".join(f"coalesce(({w}) * {h}, 0)" for _, _, w, h in _CORNERS)} AS total, {" + ".join(f"CASE WHEN {h} IS NULL THEN 0 ELSE {w} END" for _, _, w, h in _CORNERS)} AS weight FROM ij {" ".join("LEFT JOIN " + _CORNER.format(_HEIGHT, a, b) for a, b, _, _ in _CORNERS)}),
+el AS (SELECT lon, lat, total / weight AS e FROM hs WHERE weight > 0)
+SELECT edge_id, round(CASE WHEN metres < 1 THEN 0 ELSE (b.e - a.e) / metres * 100 END, 6) AS gradient_percent FROM street_edges s LEFT JOIN el a ON a.lon = s.lon1 AND a.lat = s.lat1 LEFT JOIN el b ON b.lon = s.lon2 AND b.lat = s.lat2""",
+    ("street_edges",),
+)
+def _(r):
+    return elevation.with_gradients(r.street_edges(), elevation.blocks(_tile(r))).select("edge_id", F.round("gradient_percent", 6).alias("gradient_percent"))
+
+
 # --- GE-20: names of unnamed edges ----------------------------------------------------------------
 
 # Every fifth segment stands for an edge without a name; a segment's middle vertex is its eastern end.
