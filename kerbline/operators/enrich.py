@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.geo import centroid, line_bearing, point_line_degrees, turn
+from ..functions.geo import centroid, line_bearing, point_line_degrees, point_line_metres, turn
 from .filters import detector_active, overlaps
 from .spatial import line_cells, nearest_points, point_cells, points_near_lines
 
@@ -105,17 +105,44 @@ def closures_at(events: DataFrame, segments: DataFrame, closures: DataFrame, exi
     return made if existing is None else made.join(existing.select("segment_id", "factor_type", "valid_from"), ["segment_id", "factor_type", "valid_from"], "left_anti")
 
 
+def last_before(sorted_starts: Column, instant: Column) -> Column:
+    """How many of the sorted numbers are at most the instant, by halving."""
+
+    def halve(acc, _):
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        open_ = acc["low"] < acc["high"]
+        there = F.try_element_at(sorted_starts, middle + 1) <= instant
+        return F.struct(F.when(open_ & there, middle + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~there, middle).otherwise(acc["high"]).alias("high"))
+
+    size = F.size(sorted_starts)
+    zero = F.struct(F.lit(0).alias("low"), size.alias("high"))
+    return F.when(instant.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(size + 1.0)).cast("int")), zero, halve, lambda acc: acc["low"]))
+
+
+def way_histories(ways: DataFrame) -> DataFrame:
+    """way_id, starts (sorted) and versions (valid_to, line, tags) in the same order, a row for each way."""
+    versions = F.array_sort(F.collect_list(F.struct("valid_from", F.coalesce("valid_to", F.lit(2**62)).alias("valid_to"), "line", F.map_entries("tags").alias("tags"))))
+    made = ways.where(c("valid_from").isNotNull()).groupBy("way_id").agg(versions.alias("v"))
+    return made.select("way_id", F.transform("v", lambda x: x["valid_from"]).alias("starts"), F.transform("v", lambda x: F.struct(x["valid_to"], x["line"], x["tags"])).alias("versions"))
+
+
 def enrich_tags(events: DataFrame, segments: DataFrame, ways: DataFrame) -> DataFrame:
     """event_id and tag columns as of the event's instant, from the way near the segment's centre: one of its name, else the first.
 
-    ways: way_id, valid_from, valid_to (null: open), line, tags. Without a way all are null, and ohsome_enriched is true all the same.
+    ways: way_id, valid_from, valid_to (exclusive, null: open), line, tags; versions of one way don't overlap. A segment is joined with the ways that were
+    ever near it, each with its whole history; an event finds the version of its instant by halving and counts it if
+    that version's line is near. So an event meets ways and not versions. Without a way all are null, and ohsome_enriched is true all the same.
     """
     middle = centroid(c("line"))
     centres = segments.where(F.size("line") >= 2).select("segment_id", "street_name", middle["lon"].alias("lon"), middle["lat"].alias("lat"))
-    near = points_near_lines(centres, ways, TAG_METRES)
-    at = events.select("event_id", "segment_id", "event_ts").join(near, "segment_id").where((c("valid_from") <= c("event_ts")) & (c("valid_to").isNull() | (c("event_ts") < c("valid_to"))))
+    near = points_near_lines(centres, ways.select("way_id", "line").distinct(), TAG_METRES).select("segment_id", "street_name", "lon", "lat", "way_id").distinct()
+    known = near.join(way_histories(ways), "way_id")
+    close = F.transform("versions", lambda v: F.struct(v["valid_to"].alias("valid_to"), (point_line_metres(c("lon"), c("lat"), v["line"]) <= TAG_METRES).alias("near"), v["tags"].alias("tags")))
+    held = known.select("segment_id", "street_name", "way_id", "starts", close.alias("versions"))
+    at = events.select("event_id", "segment_id", "event_ts").join(held, "segment_id").withColumn("v", F.get("versions", last_before(c("starts"), c("event_ts")) - 1))
+    valid = at.where((c("event_ts") < c("v.valid_to")) & c("v.near")).select("event_id", "street_name", "way_id", F.map_from_entries("v.tags").alias("tags"))
     same = F.coalesce(F.try_element_at("tags", F.lit("name")) == c("street_name"), F.lit(False))
-    best = at.groupBy("event_id").agg(F.min_by("tags", F.struct((~same).alias("other"), "way_id")).alias("tags"))
+    best = valid.groupBy("event_id").agg(F.min_by("tags", F.struct((~same).alias("other"), "way_id")).alias("tags"))
     out = events.select("event_id").join(best, "event_id", "left")
     return out.select("event_id", *(v.alias(k) for k, v in R.tag_columns(c("tags")).items()), F.lit(True).alias("ohsome_enriched"))
 

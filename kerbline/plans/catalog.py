@@ -391,6 +391,32 @@ def _(r):
     return E.closures_at(r.view("segment_events"), r.segments(), r.closures(), r.factors()).select("segment_id", "factor_type", "source", "valid_from", "feed_id")
 
 
+# Two ways beside each segment, with a version for each of about seven orders; some versions end before the next one starts, some lie elsewhere.
+_VERSIONS = """SELECT way_id, segment_id, valid_from, CASE WHEN k % 5 = 0 THEN next_from - 2592000000 ELSE next_from END AS valid_to, CASE WHEN k % 7 = 0 THEN 0.0004e0 WHEN way_id % 2 = 0 THEN 0.00005e0 ELSE -0.00008e0 END AS shift, k % 3 <> 0 AS named
+FROM (SELECT *, lead(valid_from) OVER (PARTITION BY way_id ORDER BY valid_from) AS next_from FROM (SELECT segment_id * 2 + o_orderkey % 2 AS way_id, segment_id, valid_from, min(o_orderkey) AS k
+ FROM (SELECT o_orderkey, (o_orderkey - o_orderkey % 2) * 3 % (SELECT count(*) FROM @part) AS segment_id, @ms(o_orderdate) AS valid_from FROM @orders) o GROUP BY segment_id, o_orderkey % 2, valid_from) g) v"""
+
+
+def _versions(r: Ride) -> DataFrame:
+    text = _VERSIONS.replace("@ms(", "unix_millis(").replace("@orders", "{o}").replace("@part", "{p}")
+    made = r.spark.sql(text, o=r.table("orders"), p=r.table("part")).join(r.segments().select("segment_id", "street_name", "line"), "segment_id").where("line is not null")
+    line = F.transform("line", lambda v: F.struct(v["lon"].alias("lon"), (v["lat"] + c("shift")).alias("lat")))
+    tags = F.map_from_arrays(F.array(*map(F.lit, ("name", "smoothness", "lit"))), F.array(F.when(c("named"), c("street_name")), c("way_id").cast("string"), c("valid_from").cast("string")))
+    return made.select("way_id", "valid_from", "valid_to", line.alias("line"), F.map_filter(tags, lambda k, v: v.isNotNull()).alias("tags"))
+
+
+@query(
+    "jn8_tags_as_of",
+    f""", wv AS ({_VERSIONS.replace("@ms(o_orderdate)", "(epoch_us(o_orderdate) // 1000)").replace("@", "")}),
+latest AS (SELECT e.event_id, e.event_ts, s.street_name, w.*, row_number() OVER (PARTITION BY e.event_id, w.way_id ORDER BY w.valid_from DESC) AS n FROM segment_events e JOIN segments s USING (segment_id) JOIN wv w ON w.segment_id = s.segment_id AND w.valid_from <= e.event_ts WHERE s.lon1 IS NOT NULL),
+ok AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY coalesce(named AND street_name IS NOT NULL, false) DESC, way_id) AS place FROM latest WHERE n = 1 AND (valid_to IS NULL OR event_ts < valid_to) AND shift < 0.0004)
+SELECT e.event_id, CAST(way_id AS VARCHAR) AS way_id, CAST(valid_from AS VARCHAR) AS valid_from FROM segment_events e LEFT JOIN ok ON ok.event_id = e.event_id AND place = 1""",
+    ("segment_events", "segments"),
+)
+def _(r):
+    return E.enrich_tags(r.view("segment_events"), r.segments(), _versions(r)).select("event_id", c("smoothness").alias("way_id"), c("lit").alias("valid_from"))
+
+
 # --- WN-1, AG-14..16, JN-4, JN-15, SNK, DF-6/7: exports -------------------------------------------
 
 
