@@ -88,17 +88,22 @@ def enrich_traffic(events: DataFrame, segments: DataFrame, detectors: DataFrame,
     )
 
 
+def closure_pairs(segments: DataFrame, closures: DataFrame) -> DataFrame:
+    """Closures with the segments that are near them in degrees and on a street of that name."""
+    near = closures.where(c("valid_from").isNotNull() & c("lon").isNotNull())
+    size = CLOSURE_DEGREES
+    left = near.withColumn("__cell", F.explode(point_cells(c("lon"), c("lat"), size, size)))
+    right = segments.where(F.size("line") >= 2).select("segment_id", "street_name", "line").withColumn("__cell", F.explode(line_cells(c("line"), size, size)))
+    return left.join(right, "__cell").drop("__cell").where((point_line_degrees(c("lon"), c("lat"), c("line")) <= size) & R.closure_streets_match(c("street_name"), c("closure_street")))
+
+
 def closures_at(events: DataFrame, segments: DataFrame, closures: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """The closure factors that events meet: near in degrees, valid in the event's hour, on a street of that name.
 
     A row for each (segment, factor type, source, valid_from) that isn't among `existing`
     (segment, factor type, valid_from); of equal ones the smallest feed id stays.
     """
-    near = closures.where(c("valid_from").isNotNull() & c("lon").isNotNull())
-    size = CLOSURE_DEGREES
-    left = near.withColumn("__cell", F.explode(point_cells(c("lon"), c("lat"), size, size)))
-    right = segments.where(F.size("line") >= 2).select("segment_id", "street_name", "line").withColumn("__cell", F.explode(line_cells(c("line"), size, size)))
-    pairs = left.join(right, "__cell").drop("__cell").where((point_line_degrees(c("lon"), c("lat"), c("line")) <= size) & R.closure_streets_match(c("street_name"), c("closure_street")))
+    pairs = closure_pairs(segments, closures)
     hours = events.select("segment_id", R.hour_floor(c("event_ts")).alias("hour_ms")).distinct()
     hit = pairs.join(hours, "segment_id").where(overlaps(c("valid_from"), c("valid_to"), c("hour_ms"), c("hour_ms") + R.HOUR_MS))
     made = hit.groupBy("segment_id", "factor_type", "source", "valid_from").agg(F.min_by(F.struct("feed_id", "valid_to"), "feed_id").alias("f")).select("segment_id", "factor_type", "source", "valid_from", c("f.valid_to").alias("valid_to"), c("f.feed_id").alias("feed_id"))
