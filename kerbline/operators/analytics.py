@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,8 +38,30 @@ def preferred() -> Column:
     return c("event_type") == "PREFERENCE"
 
 
+#: Dimensions that were registered beside the fixed ones: the column that each name stands for.
+_REGISTERED: dict[str, Callable[[], Column]] = {}
+
+
+def register_dimension(name: str, value: Callable[[], Column]) -> None:
+    """Adds a dimension of events and their segments' columns to distribution(); a name can't be given twice."""
+    if name in DIMENSIONS or name in _REGISTERED:
+        raise ValueError(f"there is a dimension {name}")
+    _REGISTERED[name] = value
+
+
+def unregister_dimension(name: str) -> None:
+    _REGISTERED.pop(name, None)
+
+
+def dimensions() -> tuple[str, ...]:
+    """All names that distribution() takes."""
+    return (*DIMENSIONS, *_REGISTERED)
+
+
 def dimension_value(dimension: str) -> Column:
     """The raw value of a dimension."""
+    if dimension in _REGISTERED:
+        return _REGISTERED[dimension]()
     if dimension == "PRECIPITATION_BUCKET":
         return F.when(c("precipitation") == 0, "0 mm").otherwise(ladder(c("precipitation"), [(1, "< 1 mm"), (5, "1-5 mm")], ">= 5 mm"))
     if dimension in BUCKETS:
@@ -83,7 +105,7 @@ def distribution(events: DataFrame, segments: DataFrame, dimension: str, criteri
     Groups form on the raw value and are labelled afterwards, so a missing value and one that is
     called UNKNOWN stay two rows.
     """
-    if dimension not in DIMENSIONS:
+    if dimension not in dimensions():
         raise ValueError(f"no dimension {dimension}")
     joined = criteria.apply(events).join(segments.select("segment_id", "gradient_percent", "avoidance_ratio", "preference_ratio"), "segment_id")
     groups = joined.groupBy(dimension_value(dimension).alias("raw")).agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -152,6 +153,31 @@ def enrich_tags(events: DataFrame, segments: DataFrame, ways: DataFrame) -> Data
     return out.select("event_id", *(v.alias(k) for k, v in R.tag_columns(c("tags")).items()), F.lit(True).alias("ohsome_enriched"))
 
 
+#: Providers by name: (events, segments) to a frame of event_id and the columns that they add.
+_PROVIDERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
+
+
+def register_provider(name: str, provide: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Adds a source of event columns; a name can't be given twice."""
+    if name in _PROVIDERS:
+        raise ValueError(f"there is a provider {name}")
+    _PROVIDERS[name] = provide
+
+
+def unregister_provider(name: str) -> None:
+    _PROVIDERS.pop(name, None)
+
+
+def provided(events: DataFrame, segments: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """events with the columns of the providers of those names, in that order (all by default); a later one's replace an earlier one's."""
+    unknown = [n for n in names or () if n not in _PROVIDERS]
+    if unknown:
+        raise ValueError(f"no provider {unknown[0]}")
+    for n in _PROVIDERS if names is None else names:
+        events = marked(events, _PROVIDERS[n](events, segments))
+    return events
+
+
 def marked(events: DataFrame, result: DataFrame) -> DataFrame:
     """events with the result's columns instead of their own, by event_id."""
     new = [k for k in result.columns if k != "event_id"]

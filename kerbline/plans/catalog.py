@@ -825,3 +825,6 @@ SELECT s.segment_id, CASE WHEN {_UNNAMED.replace("segment_id", "s.segment_id").r
 def _(r):
     bare = r.segments().select(c("segment_id").alias("edge_id"), F.when(~F.expr(_UNNAMED), c("street_name")).alias("street_name"), "line")
     return RD.named_edges(bare, bare, _NAME_DEGREES).select(c("edge_id").alias("segment_id"), "street_name")
+
+
+from . import imports  # noqa: E402, F401  its queries join these

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import ridefiles
+from .metrics import ImportMetrics, observed
 
 
 def ride_stream(spark: SparkSession, root: str, files_per_batch: int = 500) -> DataFrame:
@@ -25,13 +27,25 @@ def run_available(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame,
     return query
 
 
-def import_rides(spark: SparkSession, root: str, out: str, checkpoint: str, files_per_batch: int = 500) -> StreamingQuery:
-    """Writes rides, points and incidents of new files as Parquet, a folder for each batch, so a repeated batch replaces itself."""
+def import_rides(spark: SparkSession, root: str, out: str, checkpoint: str, files_per_batch: int = 500, metrics: ImportMetrics | None = None) -> StreamingQuery:
+    """Writes rides, points and incidents of new files as Parquet, a folder for each batch, so a repeated batch replaces itself.
+
+    metrics gets what the batches counted while they were written.
+    """
+    size = F.coalesce(F.size("trajectory"), F.lit(0))
 
     def work(batch: DataFrame, number: int) -> None:
-        parts = ridefiles.sections(batch)
-        for name, make in (("rides", ridefiles.ride_facts), ("points", ridefiles.points), ("incidents", ridefiles.incidents)):
-            make(parts).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        started = time.perf_counter()
+        counted, files = observed(batch, files=F.count("*"))
+        rides, rows = observed(ridefiles.ride_facts(ridefiles.sections(counted)), known=F.count("*"), without_points=F.count_if(F.col("start_ms").isNull() & F.col("end_ms").isNull() & (size == 0)), most_points=F.max(size))
+        points, located = observed(ridefiles.points(ridefiles.sections(batch)), points=F.count("*"))
+        incidents, reported = observed(ridefiles.incidents(ridefiles.sections(batch)), incidents=F.count("*"))
+        for name, df in (("rides", rides), ("points", points), ("incidents", incidents)):
+            df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        if metrics is not None:
+            # A frame that is read several times in one plan counts its rows each time.
+            n, known = batch.count() if files.get["files"] is None else files.get["files"], rows.get
+            metrics.add(time.perf_counter() - started, files=n, empty=n - known["known"], without_points=known["without_points"], most_points=known["most_points"], points=located.get["points"], incidents=reported.get["incidents"])
 
     return run_available(ride_stream(spark, root, files_per_batch), checkpoint, work)
 

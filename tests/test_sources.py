@@ -172,3 +172,56 @@ def test_map_matching(spark):
     points = [("r", 52.5 + (0.00003 if k % 2 else -0.00003), 13.4003 + k * 0.0007, k) for k in range(9)] + [("far", 50.0, 10.0, 1)]
     got = {r.ride_id: r.edge_ids for r in graph.match_rides(spark.createDataFrame(points, "ride_id string, lat double, lon double, ts long"), edges).collect()}
     assert got == {"r": [0, 1, 2, 3], "far": []}
+
+
+def test_import_metrics(spark, rides, tmp_path):
+    from kerbline.streaming.metrics import ImportMetrics, Progress
+
+    listener, metrics = Progress(), ImportMetrics()
+    spark.streams.addListener(listener)
+    try:
+        query = ingest.import_rides(spark, rides, str(tmp_path / "out"), str(tmp_path / "state"), 1, metrics)
+    finally:
+        spark.streams.removeListener(listener)
+    got = metrics.summary()
+    points = spark.read.parquet(str(tmp_path / "out" / "points")).count()
+    incidents = spark.read.parquet(str(tmp_path / "out" / "incidents")).count()
+    assert got["batches"] >= 3 and (got["files"], got["empty"], got["without_points"], got["points"], got["most_points"], got["incidents"]) == (3, 1, 1, points, 2, incidents)
+    assert got["points_a_file"] == points / 2 and 0 < got["slowest"] <= got["seconds"] and got["seconds_a_batch"] > 0 and got["files_a_second"] > 0
+    assert ImportMetrics().summary()["files_a_second"] is None
+    seen = listener.queries.get(str(query.id))
+    assert seen is None or seen["rows"] <= 3  # events come late, if at all before the listener goes
+
+
+def test_match_metrics(spark):
+    from kerbline.streaming import metrics as M
+
+    rows = [("a", "PENDING", [1, 2, 3]), ("b", "SKIPPED", None), ("c", "PENDING", [1])]
+    df, seen = M.observed_matches(spark.createDataFrame(rows, "ride_id string, status string, edge_ids array<int>"))
+    assert df.count() == 3
+    assert seen.get == {"matched": 2, "too_short": 1, "edges": 4, "most_edges": 3} and M.match_rate(5, seen) == 50.0 and M.match_rate(1, seen) is None
+
+
+def test_registered_dimension_and_provider(spark):
+    from pyspark.sql import functions as F
+
+    from kerbline.operators import analytics as A
+    from kerbline.operators import enrich as E
+
+    rows = [(1, 7, "AVOIDANCE", 3), (2, 7, "PREFERENCE", 4), (3, 8, "PREFERENCE", 4)]
+    events = spark.createDataFrame(rows, "event_id long, segment_id long, event_type string, month int").select("*", *(F.lit(1.0).alias(a) for a in A.AVERAGES[:5]))
+    segments = spark.createDataFrame([(7, 1.0, 0.1, 0.2), (8, 1.0, 0.1, 0.2)], "segment_id long, gradient_percent double, avoidance_ratio double, preference_ratio double")
+    E.register_provider("noise", lambda ev, seg: ev.select("event_id", (F.col("month") * 10).alias("noise")))
+    A.register_dimension("NOISE", lambda: F.col("noise"))
+    try:
+        louder = E.provided(events, segments, ["noise"])
+        assert {(r.value, r.total) for r in A.distribution(louder, segments, "NOISE").collect()} == {("30", 1), ("40", 2)}
+        assert "NOISE" in A.dimensions() and E.provided(events, segments).columns[-1] == "noise"
+        for wrong in (lambda: A.register_dimension("NOISE", lambda: F.lit(1)), lambda: A.register_dimension("LIT", lambda: F.lit(1)), lambda: E.register_provider("noise", None), lambda: E.provided(events, segments, ["none"])):
+            with pytest.raises(ValueError):
+                wrong()
+    finally:
+        E.unregister_provider("noise")
+        A.unregister_dimension("NOISE")
+    with pytest.raises(ValueError):
+        A.distribution(events, segments, "NOISE")
