@@ -69,7 +69,9 @@ def table_rows(parts: DataFrame, section: str, marker: str, names: list[str]) ->
     padded = F.concat("row", F.repeat(F.lit(","), F.greatest(F.size("heads") - 1 - commas(c("row")), F.lit(0))))
     wide = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(48)])
     read = rows.select("file", "seq", "heads", F.from_csv(padded, wide.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"mode": "PERMISSIVE"}).alias("v"))
-    values = read.select("file", "seq", F.transform("heads", lambda h: F.trim(h)).alias("heads"), F.array(*(c(f"v.f{i}") for i in range(48))).alias("v"))
+    # Filters on the fields would be pushed below the parsing and repeat it for each field; they stay above a generator.
+    parsed = F.struct(F.transform("heads", lambda h: F.trim(h)).alias("heads"), F.array(*(c(f"v.f{i}") for i in range(48))).alias("v"))
+    values = read.select("file", "seq", F.explode(F.array(parsed)).alias("x")).select("file", "seq", "x.heads", "x.v")
 
     def field(name: str) -> Column:
         place = F.array_position("heads", name).cast("int")
