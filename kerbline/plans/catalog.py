@@ -616,7 +616,22 @@ def _(r):
     return longs(points.select("ride_id", "seq", F.round(G.haversine(c("lat"), c("lon"), c("lat2"), c("lon2")), 4).alias("metres")))
 
 
-@query("ge9_utm")
+# The transverse Mercator series in the third flattening, term by term.
+_N = G.UTM_FLATTENING / (2 - G.UTM_FLATTENING)
+_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_ATANH = "(0.5e0 * ln((1 + ({0})) / (1 - ({0}))))"
+_SCALE = G.UTM_SCALE * G.UTM_AXIS / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+
+
+@query(
+    "ge9_utm",
+    f""", p AS (SELECT segment_id, sin(radians(lat1)) AS s, radians(lon1 - {G.UTM_MERIDIAN}e0) AS lam, {2 * _N**0.5 / (1 + _N)!r}e0 AS e FROM segments WHERE lon1 IS NOT NULL),
+q AS (SELECT segment_id, lam, {_ATANH.format("s")} - e * {_ATANH.format("e * s")} AS x FROM p), t AS (SELECT segment_id, lam, (exp(x) - exp(-x)) / 2 AS t FROM q),
+u AS (SELECT segment_id, atan2(t, cos(lam)) AS xi, {_ATANH.format("sin(lam) / sqrt(1 + t * t)")} AS eta FROM t)
+SELECT segment_id, round({G.UTM_EAST}e0 + {_SCALE!r}e0 * (eta + {" + ".join(f"{a!r} * cos({2 * j} * xi) * (exp({2 * j} * eta) - exp(-{2 * j} * eta)) / 2" for j, a in enumerate(_ALPHA, 1))}), 3) AS east,
+ round({_SCALE!r}e0 * (xi + {" + ".join(f"{a!r} * sin({2 * j} * xi) * (exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2" for j, a in enumerate(_ALPHA, 1))}), 3) AS north FROM u""",
+    ("segments",),
+)
 def _(r):
     east, north = G.utm33(c("lon1"), c("lat1"))
     return r.segments().where("lon1 IS NOT NULL").select("segment_id", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import domains as D
+from ..functions import geo as G
+from ..functions import rules as R
 from ..operators import spatial
-from ..sources import closures, ridefiles, weather
+from ..sources import closures, ridefiles, traffic, weather
 from ..streaming import overlap
 from .adapters import Ride
 from .catalog import c, longs, query
@@ -140,3 +142,101 @@ SELECT segment_id, factor_type, source, valid_from, min(feed_id) AS feed_id FROM
 )
 def _(r):
     return overlap.closures_on_stream(r.view("segment_events"), overlap.closure_buckets(r.segments(), r.closures())).select("segment_id", "factor_type", "source", "valid_from", "feed_id")
+
+
+# --- SRC-10..12: traffic archives --------------------------------------------------------------------
+
+# Lineitems as rows of each layout; the last row of a key, day and hour counts, and old speeds of -1 are missing.
+_HOUR = "SELECT l_suppkey % 40 AS k, l_shipdate, CAST(l_linenumber AS BIGINT) AS hour, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS row_no, CAST(l_quantity AS BIGINT) AS volume, CASE WHEN l_partkey % 6 = 0 THEN -1e0 ELSE l_discount * 100 END AS speed, l_tax AS quality FROM lineitem WHERE l_partkey % 17 <> 0"
+
+
+def _traffic(r: Ride, source: str, names: dict[str, str]) -> DataFrame:
+    rows = r.spark.sql(_HOUR.replace("FROM lineitem", "FROM {l}"), l=r.table("lineitem"))
+    # Of rows with equal numbers the one with the larger values counts, as in the SQL.
+    last = rows.groupBy("k", F.to_date("l_shipdate").alias("day"), "hour", "row_no").agg(F.max(F.struct("volume", "speed", "quality")).alias("v")).select("k", "day", "hour", "row_no", "v.*")
+    text = {"key": F.concat(F.lit(" D"), c("k").cast("string")), "day": F.date_format("day", "dd.MM.yyyy"), "hour": c("hour").cast("string"), "volume": c("volume").cast("string"), "speed": c("speed").cast("string"), "quality": c("quality").cast("string")}
+    made = last.select(*(text[k].alias(n) for k, n in names.items()), text["key"].alias("file_key"), F.lit("f").alias("__file"), c("row_no").alias("__row"))
+    return longs(traffic.measurements(made, source, F.lower("file_key")))
+
+
+def _traffic_sql(source: str, key: str, speed: str, quality: str, completeness: str) -> str:
+    return f"""SELECT '{source}' AS source_type, {key} AS key, day, hour, volume AS volume_kfz, {speed} AS speed_kfz, {quality} AS quality, {completeness} AS completeness FROM
+ (SELECT *, CAST(l_shipdate AS DATE) AS day, row_number() OVER (PARTITION BY k, CAST(l_shipdate AS DATE), hour ORDER BY row_no DESC, volume DESC, speed DESC, quality DESC) AS n FROM ({_HOUR}) z) y WHERE n = 1"""
+
+
+_TRAFFIC = ("source_type", "key", "day", "hour", "volume_kfz", "speed_kfz", "quality", "completeness")
+
+
+@query("src10_old_detectors", _traffic_sql("OLD_DETECTOR", "concat('D', k)", "nullif(speed, -1e0)", "quality", "CAST(NULL AS DOUBLE)"))
+def _(r):
+    return _traffic(r, "OLD_DETECTOR", {"key": "detid_15", "day": "tag", "hour": "stunde", "volume": "q_kfz_det_hr", "speed": "v_kfz_det_hr", "quality": "qualitaet"}).select(*_TRAFFIC)
+
+
+@query("src11_cross_sections", _traffic_sql("OLD_MQ", "concat('D', k)", "nullif(speed, -1e0)", "quality", "CAST(NULL AS DOUBLE)"))
+def _(r):
+    return _traffic(r, "OLD_MQ", {"key": "mq_name", "day": "tag", "hour": "stunde", "volume": "q_kfz_mq_hr", "speed": "v_kfz_mq_hr", "quality": "qualitaet"}).select(*_TRAFFIC)
+
+
+@query("src12_new_detectors", _traffic_sql("NEW_DETECTOR", "concat('d', k)", "speed", "CAST(NULL AS DOUBLE)", "quality"))
+def _(r):
+    return _traffic(r, "NEW_DETECTOR", {"day": "datum (ortszeit)", "hour": "stunde des tages (ortszeit)", "volume": "qkfz", "speed": "vkfz", "quality": "datapoints_rel"}).select(*_TRAFFIC)
+
+
+# --- SRC-15: detector master data ---------------------------------------------------------------------
+
+
+@query(
+    "src15_detectors",
+    """SELECT concat('TE', s_suppkey) AS detector_key, CASE WHEN s_suppkey % 4 <> 0 THEN concat('10', s_suppkey) END AS det_id15, CASE WHEN s_suppkey % 6 <> 0 THEN s_suppkey / 100e0 END AS lon, 52.5e0 AS lat,
+ CASE s_suppkey % 3 WHEN 0 THEN DATE '2020-02-01' WHEN 1 THEN DATE '2021-03-04' END AS active_from, s_suppkey % 5 = 0 AS removed FROM supplier WHERE s_suppkey % 10 <> 9""",
+)
+def _(r):
+    k = c("s_suppkey")
+    cells = {"DET_NAME_ALT ": F.when(k % 10 == 9, " ").otherwise(F.concat(F.lit("TE"), k.cast("string"))), "DET_ID15": F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("10"), k.cast("string"), F.lit(".0"))), "LAENGE (WGS84)": F.when(k % 6 == 0, "nan").otherwise((k / 100).cast("string")), "BREITE (WGS84)": F.lit(" 52.5"), "Inbetriebnahme": F.when(k % 3 == 0, "01.02.2020").when(k % 3 == 1, "2021-03-04").otherwise("bald"), "DEINSTALLIERT": F.when(k % 5 == 0, "Ja").otherwise("nein")}
+    found = traffic.detectors(r.table("supplier").select(*(v.alias(n) for n, v in cells.items())))
+    return found.select("detector_key", "det_id15", "lon", "lat", "active_from", "removed")
+
+
+# --- DF-10: tags of a way -------------------------------------------------------------------------------
+
+_KIND = "CASE p_partkey % 6 WHEN 0 THEN 'track' WHEN 1 THEN 'no' WHEN 2 THEN 'lane' WHEN 3 THEN 'odd' WHEN 4 THEN 'opposite_lane' ELSE 'opposite' END"
+
+
+@query(
+    "df10_tag_columns",
+    f"""SELECT p_partkey AS way_id, CASE WHEN side = 'NONE' THEN NULL ELSE {_case("kind", D.CYCLEWAY_TYPE, "UNKNOWN")} END AS cycleway_type, side AS cycleway_location,
+ CASE WHEN side <> 'NONE' AND {_case("kind", D.CYCLEWAY_TYPE, "UNKNOWN")} <> 'NO' THEN coalesce(CASE WHEN p_size % 3 = 0 THEN 'paved' END, CASE WHEN p_size % 2 = 0 THEN 'asphalt' END) END AS cycleway_surface,
+ CASE WHEN side <> 'NONE' AND {_case("kind", D.CYCLEWAY_TYPE, "UNKNOWN")} <> 'NO' AND p_size % 5 <> 0 THEN p_size / 10e0 END AS cycleway_width,
+ CASE p_size % 7 WHEN 0 THEN true WHEN 1 THEN false ELSE CASE WHEN side = 'UNKNOWN' AND kind LIKE 'opposite%' THEN false END END AS bicycle_oneway
+FROM (SELECT *, {_KIND} AS kind, CASE p_size % 5 WHEN 0 THEN 'BOTH' WHEN 1 THEN 'RIGHT' WHEN 2 THEN 'LEFT' WHEN 3 THEN 'UNKNOWN' ELSE 'NONE' END AS side FROM part) z""",
+)
+def _(r):
+    kind = F.expr(_KIND)
+    key = F.element_at(F.array(*map(F.lit, ("cycleway:both", "cycleway:right", "cycleway:left", "cycleway"))), (c("p_size") % 5 + 1).cast("int"))
+    has = c("p_size") % 5 < 4
+    pairs = F.array(
+        F.when(has, F.struct(F.when(has, key).alias("k"), kind.alias("v"))),
+        F.when(has & (c("p_size") % 3 == 0), F.struct(F.concat(F.when(has, key), F.lit(":surface")).alias("k"), F.lit("paved").alias("v"))),
+        F.when(has, F.struct(F.concat(F.when(has, key), F.lit(":width")).alias("k"), F.when(c("p_size") % 5 == 0, "wide").otherwise((c("p_size") / 10).cast("string")).alias("v"))),
+        F.when(c("p_size") % 2 == 0, F.struct(F.lit("surface").alias("k"), F.lit("asphalt").alias("v"))),
+        F.when(c("p_size") % 7 < 2, F.struct(F.lit("oneway:bicycle").alias("k"), F.when(c("p_size") % 7 == 0, "yes").otherwise("no").alias("v"))),
+    )
+    tagged = r.table("part").select(c("p_partkey").alias("way_id"), F.map_from_entries(F.array_compact(pairs)).alias("tags"))
+    return tagged.select("way_id", *(v.alias(n) for n, v in R.tag_columns(c("tags")).items() if n not in ("highway", "surface", "smoothness", "lit")))
+
+
+# --- GE-2..6, GE-12: bearings, turns and lengths of edges -------------------------------------------------
+
+_BEAR = "degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1))))"
+
+
+@query(
+    "ge3_edge_bearings",
+    f"""SELECT edge_id, round({_BEAR}, 6) AS bearing, round(({_BEAR} + 360e0) % 360e0, 6) AS compass, round(abs(({_BEAR} - (edge_id % 360) + 540e0) % 360e0 - 180e0), 6) AS turn,
+ round(sqrt(power((lat2 - lat1) * 111320e0, 2) + power((lon2 - lon1) * 111320e0 * cos(radians((lat1 + lat2) / 2)), 2)), 6) AS flat_metres FROM street_edges""",
+    ("street_edges",),
+)
+def _(r):
+    ends = [c("lat1"), c("lon1"), c("lat2"), c("lon2")]
+    way = G.bearing(*ends)
+    return r.view("street_edges").select("edge_id", F.round(way, 6).alias("bearing"), F.round(G.compass(way), 6).alias("compass"), F.round(G.turn(way, (c("edge_id") % 360).cast("double")), 6).alias("turn"), F.round(G.flat_metres(*ends), 6).alias("flat_metres"))
