@@ -96,7 +96,7 @@ def clusters(segments: DataFrame, metres: float, name: str, key: str, line: str
     """key and cluster (its smallest key): segments of one name joined by gaps of at most so many metres.
 
     Pairs come from the cell join within a name, so a name's segments are never all compared;
-    their components are found by contracting stars, so no group goes to one task.
+    their components are found by operators.components, which contracts links of a bounded number in one task and more of them in stars over all tasks.
     """
     from .graph import components
 
