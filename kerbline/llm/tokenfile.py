@@ -49,7 +49,7 @@ END, SHARD = 2, 250_000
 #: Runs kept between chunks in a worker are of up to so many bytes, and between one and two times so many.
 KEPT_BYTES, KEPT_RUNS = 48, 600_000
 #: Bytes of text encoded at once.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 LETTER, MARK, FEED, CONTROL, SPACE, LEAD, INNER, OTHER = range(8)
 #: What a byte of UTF-8 is: an ASCII letter, other visible ASCII, a line feed, other control, a space, the first of a two-byte letter, a later one, any other.
 KINDS = np.array([FEED if b == 10 else SPACE if b == 32 else CONTROL if b < 32 or b == 127 else LETTER if chr(b).isalpha() and b < 128 else MARK if b < 128 else INNER if b < 0xC0 else LEAD if 0xC3 <= b <= 0xDF else OTHER for b in range(256)], np.uint8)
