@@ -24,7 +24,7 @@ def _case(value: str, table: dict, default: str) -> str:
 
 # A file for each order: its lineitems as incidents, a dummy one for every eleventh supplier, and as points, some without a place.
 _CODE = "CASE WHEN l_suppkey % 11 = 0 THEN -5 ELSE l_suppkey % 9 END"
-_ORDER = "l_linenumber, l_partkey, l_suppkey"
+_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_returnflag"
 
 
 def _ride_files(r: Ride) -> DataFrame:
@@ -34,7 +34,7 @@ def _ride_files(r: Ride) -> DataFrame:
     incident = F.concat_ws(",", text(c("l_linenumber")), text(c("l_quantity")), F.lit("13.4"), text(c("l_partkey") * 1000), F.when(c("l_linenumber") > 1, text(c("l_orderkey") % 9)).otherwise(""), text((c("l_orderkey") % 2)), F.lit("0"), text(c("l_orderkey") % 8), text(c("code")), *bits[:9], F.when(c("l_returnflag") == "R", "1").otherwise("0"), F.lit('"a, b"'), bits[9])
     located = c("l_linenumber") % 4 != 0
     point = F.concat_ws(",", F.when(located, text(c("l_discount") + 52)).otherwise(""), F.when(located, text(c("l_tax") + 13)).otherwise(""), F.lit("0.1,0.2,0.3"), text(c("l_suppkey") * 1000), text(c("l_quantity")))
-    parts = rows.groupBy(F.concat(F.lit("VM2_"), c("l_orderkey")).alias("file")).agg(*(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", x.alias("x")))), lambda y: y["x"]).alias(k) for k, x in (("incidents", incident), ("points", point))))
+    parts = rows.groupBy(F.concat(F.lit("VM2_"), c("l_orderkey")).alias("file")).agg(*(F.transform(F.array_sort(F.collect_list(F.struct(*_ORDER.split(", "), x.alias("x")))), lambda y: y["x"]).alias(k) for k, x in (("incidents", incident), ("points", point))))
     lines = F.concat(F.array(F.lit("app#1"), F.lit(",".join(ridefiles.INCIDENT_COLUMNS))), "incidents", F.array(F.lit(""), F.lit("=" * 25), F.lit("app#1"), F.lit("lat,lon,X,Y,Z,timeStamp,acc")), "points")
     return parts.select("file", F.array_join(lines, "\r\n").alias("content"))
 

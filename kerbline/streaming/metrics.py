@@ -59,7 +59,7 @@ class ImportMetrics:
 
 
 class Progress(StreamingQueryListener):
-    """Batches, rows and the longest batch of each running query, by its name or id; add it to spark.streams."""
+    """Batches, rows read (each time that a batch reads them) and the longest batch of each running query, by its name or id; add it to spark.streams."""
 
     def __init__(self):
         self.queries: dict[str, dict[str, int]] = {}
