@@ -52,7 +52,9 @@ def utc_year(ms: Column) -> Column:
 
 def local_text_ms(text: Column) -> Column:
     """Epoch milliseconds of local ISO date-times, or else of dd.MM.yyyy HH:mm; null for other texts."""
-    iso = F.coalesce(*(F.try_to_timestamp(text, F.lit(p)) for p in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "dd.MM.yyyy HH:mm")))
+    # A text is tried with the one pattern that its end allows: a pattern that doesn't fit costs an exception.
+    ends = {"yyyy-MM-dd'T'HH:mm:ss": r"(?i)T\d\d:\d\d:\d\d$", "yyyy-MM-dd'T'HH:mm": r"(?i)T\d\d:\d\d$", "dd.MM.yyyy HH:mm": r" \d\d:\d\d$"}
+    iso = F.coalesce(*(F.when(text.rlike(end), F.try_to_timestamp(text, F.lit(p))) for p, end in ends.items()))
     return F.unix_millis(F.to_utc_timestamp(iso, ZONE))
 
 
