@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.geo import centroid, line_bearing, point_line_degrees, point_line_metres, turn
+from ..functions.geo import M_PER_DEGREE, centroid, line_bearing, point_line_degrees, point_line_metres, turn
 from .filters import detector_active, overlaps
-from .spatial import line_cells, nearest_points, point_cells, points_near_lines
+from .spatial import CELL_RADII, line_cells, nearest_points, point_cells, points_near_lines, same_cells
 
 c = F.col
 DETECTOR_METRES, DETECTOR_COUNT, CLOSURE_DEGREES, TAG_METRES = 75.0, 25, 0.0003, 15.0
@@ -93,9 +93,10 @@ def closure_pairs(segments: DataFrame, closures: DataFrame) -> DataFrame:
     """Closures with the segments that are near them in degrees and on a street of that name."""
     near = closures.where(c("valid_from").isNotNull() & c("lon").isNotNull())
     size = CLOSURE_DEGREES
-    left = near.withColumn("__cell", F.explode(point_cells(c("lon"), c("lat"), size, size)))
-    right = segments.where(F.size("line") >= 2).select("segment_id", "street_name", "line").withColumn("__cell", F.explode(line_cells(c("line"), size, size)))
-    return left.join(right, "__cell").drop("__cell").where((point_line_degrees(c("lon"), c("lat"), c("line")) <= size) & R.closure_streets_match(c("street_name"), c("closure_street")))
+    cell = CELL_RADII * size
+    left = near.withColumn("__cell", F.explode(point_cells(c("lon"), c("lat"), cell, cell)))
+    right = segments.where(F.size("line") >= 2).select("segment_id", "street_name", "line").withColumn("__cell", F.explode(line_cells(c("line"), cell, cell, size * M_PER_DEGREE)))
+    return same_cells(left, right, "__cell").drop("__cell").where((point_line_degrees(c("lon"), c("lat"), c("line")) <= size) & R.closure_streets_match(c("street_name"), c("closure_street")))
 
 
 def closures_at(events: DataFrame, segments: DataFrame, closures: DataFrame, existing: DataFrame | None = None) -> DataFrame:

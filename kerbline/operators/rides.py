@@ -9,7 +9,7 @@ from ..functions import rules as R
 from ..functions.geo import bearing, compass, haversine, legs, line_line_metres, overlap_ratio, stitch
 from .filters import valid_position
 from .graph import match_rides, ready_to_checkpoint
-from .spatial import box_cells, nearest_in_group
+from .spatial import box_cells, nearest_in_group, same_cells
 
 c = F.col
 LEAST_METRES, REACH_METRES = 500.0, 20.0
@@ -71,7 +71,7 @@ def named_edges(wanted: DataFrame, edges: DataFrame, degrees: float = NAME_DEGRE
     boxes = each.select("other", "name", "start", *(v.alias(k) for k, v in ends.items()))
     there = boxes.withColumn("cell", F.explode(box_cells(c("least_lon"), c("greatest_lon"), c("least_lat"), c("greatest_lat"), cell, cell)))
     meet = [c(f"least_{k}") <= c(f"m.{k}") + r for k in ("lon", "lat")] + [c(f"greatest_{k}") >= c(f"m.{k}") - r for k in ("lon", "lat")]
-    near = asked.join(there, "cell").where((c("edge_id") != c("other")) & meet[0] & meet[1] & meet[2] & meet[3])
+    near = same_cells(asked, there, "cell").where((c("edge_id") != c("other")) & meet[0] & meet[1] & meet[2] & meet[3])
     metres = F.round(haversine(c("m.lat"), c("m.lon"), c("start.lat"), c("start.lon")), 6)
     found = near.groupBy("edge_id").agg(F.min_by("name", F.struct(metres.alias("d"), c("other"))).alias("near_name"))
     name = F.when(named(c("street_name")), c("street_name")).otherwise(F.coalesce("near_name", F.lit(NAMELESS)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..operators.enrich import closure_pairs
 from ..operators.intervals import bucket_of, interval_buckets
+from ..operators.spatial import same_cells
 
 c = F.col
 
@@ -29,6 +30,6 @@ def closures_on_stream(events: DataFrame, buckets: DataFrame) -> DataFrame:
     Events before 1970 or without a time meet none.
     """
     hours = events.select("segment_id", F.floor(c("event_ts") / R.HOUR_MS).cast("long").alias("hour")).select("segment_id", F.explode(bucket_of(c("hour"))).alias("bucket"))
-    hit = hours.join(buckets, ["segment_id", "bucket"])
+    hit = same_cells(hours, buckets, ["segment_id", "bucket"])
     made = hit.groupBy("segment_id", "factor_type", "source", "valid_from").agg(F.min_by(F.struct("feed_id", "valid_to"), "feed_id").alias("f"))
     return made.select("segment_id", "factor_type", "source", "valid_from", c("f.valid_to").alias("valid_to"), c("f.feed_id").alias("feed_id"))
