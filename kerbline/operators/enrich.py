@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,31 +54,34 @@ def best_detectors(events: DataFrame, segments: DataFrame, detectors: DataFrame)
     return active.withColumn("place", F.row_number().over(best)).where("place = 1").select("event_id", "day", "hour", "detector_key", "det_id15", "mq_name", "score")
 
 
-def enrich_traffic(events: DataFrame, segments: DataFrame, detectors: DataFrame, measurements: DataFrame, sources: DataFrame) -> DataFrame:
+def enrich_traffic(events: DataFrame, segments: DataFrame, detectors: DataFrame, measurements: DataFrame | Callable[[DataFrame], DataFrame], sources: DataFrame) -> DataFrame:
     """event_id, traffic_status and the first usable measurement: new detectors, then old ones, then cross-sections.
 
     sources: source_type and month for which data are available. measurements: source_type, key,
-    day, hour and values, one row for each.
+    day, hour and values, one row for each; or a function that adds the values and measured (true where there are any) to
+    a frame with those four columns, so that a source needn't list all it could be asked.
     """
-    chosen = best_detectors(events, segments, detectors).withColumn("month", F.date_format("day", "yyyy-MM"))
     kinds = {"NEW_DETECTOR": "detector_key", "OLD_DETECTOR": "det_id15", "OLD_MQ": "mq_name"}
-    joined = chosen
-    for source, key in kinds.items():
-        one = measurements.where(c("source_type") == source)
-        usable = R.measurement_usable(c("source_type"), c("volume_kfz"), c("speed_kfz"), c("quality"), c("completeness"))
-        one = one.select(c("key").alias(key), c("day"), c("hour"), F.struct("source_type", "volume_kfz", "speed_kfz", "quality", "completeness", usable.alias("usable")).alias(source))
-        months = sources.where(c("source_type") == source).select("month", F.lit(True).alias(f"{source}_there")).distinct()
-        joined = joined.join(one, [key, "day", "hour"], "left").join(months, "month", "left")
-    there = reduce(lambda a, b: a | b, (F.coalesce(f"{s}_there", F.lit(False)) & (F.coalesce(F.trim(k), F.lit("")) != "") for s, k in kinds.items()))
+    keys, values = ["source_type", "key", "day", "hour"], ["volume_kfz", "speed_kfz", "quality", "completeness"]
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("source_type"), c(k).alias("key")) for s, k in kinds.items())))
+    asked = best_detectors(events, segments, detectors).select("event_id", "detector_key", "day", "hour", each.alias("x")).select("event_id", "detector_key", "day", "hour", "x.source_type", "x.key")
+    answered = measurements(asked) if callable(measurements) else asked.join(measurements.select(*keys, *values, F.lit(True).alias("measured")), keys, "left")
+    usable = R.measurement_usable(c("source_type"), c("volume_kfz"), c("speed_kfz"), c("quality"), c("completeness"))
+    met = F.when(c("measured"), F.struct(usable.alias("usable"), "source_type", *values))
+    months = sources.select("source_type", "month").distinct().withColumn("open", F.lit(True))
+    joined = answered.select("event_id", "detector_key", "source_type", "key", met.alias("m"), F.date_format("day", "yyyy-MM").alias("month")).join(months, ["source_type", "month"], "left")
+    there = F.bool_or(F.coalesce("open", F.lit(False)) & (F.coalesce(F.trim("key"), F.lit("")) != ""))
+    of = {s: F.max(F.when(c("source_type") == s, c("m"))).alias(s) for s in kinds}
+    by_event = joined.groupBy("event_id").agg(F.max("detector_key").alias("detector_key"), there.alias("there"), *of.values())
     first = F.coalesce(*(F.when(c(f"{s}.usable"), c(s)) for s in kinds))
     found = F.coalesce(*(c(s) for s in kinds)).isNotNull()
-    status = F.when(first.isNotNull(), "ENRICHED").when(~there, "NO_SOURCE_FILE").when(found, "LOW_QUALITY").otherwise("NO_MEASUREMENT")
-    measured = joined.select("event_id", "detector_key", status.alias("status"), first["source_type"].alias("source_type"), first["volume_kfz"].alias("volume_kfz"), first["speed_kfz"].alias("speed_kfz"))
-    out = events.select("event_id", "segment_id", "event_ts").join(measured, "event_id", "left")
+    status = F.when(first.isNotNull(), "ENRICHED").when(~c("there"), "NO_SOURCE_FILE").when(found, "LOW_QUALITY").otherwise("NO_MEASUREMENT")
+    measured = by_event.select("event_id", "detector_key", status.alias("status"), first["source_type"].alias("source_type"), first["volume_kfz"].alias("volume_kfz"), first["speed_kfz"].alias("speed_kfz"))
     broken = c("segment_id").isNull() | c("event_ts").isNull()
+    out = events.select("event_id", broken.alias("broken")).join(measured, "event_id", "left")
     return out.select(
         "event_id",
-        F.when(broken, "ERROR").otherwise(F.coalesce("status", F.lit("NO_DETECTOR_MATCH"))).alias("traffic_status"),
+        F.when(c("broken"), "ERROR").otherwise(F.coalesce("status", F.lit("NO_DETECTOR_MATCH"))).alias("traffic_status"),
         "detector_key",
         "source_type",
         c("volume_kfz").alias("traffic_volume_kfz"),
