@@ -124,7 +124,8 @@ SELECT o.ride_id, edge_id, arg_min(ts, (round(2 * 6371000e0 * asin(sqrt(least(1,
 )
 def _(r):
     rows = r.table("lineitem").where("l_linenumber <> 3").select(c("l_orderkey").alias("ride_id"), c("l_partkey").alias("edge_id"), (c("l_suppkey") % 400 * 0.0003 + 52.5).alias("lat"), (c("l_partkey") % 300 * 0.0004 + 13.4).alias("lon"))
-    places = rows.groupBy("ride_id", "edge_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
+    # Dealt by ride once, for the groups and for the join with the points.
+    places = rows.repartition("ride_id").groupBy("ride_id", "edge_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
     return spatial.nearest_in_group(places, r.view("ride_points"), "ride_id", "edge_id", "ts", "seq")
 
 
