@@ -41,7 +41,7 @@ def sections(files: DataFrame) -> DataFrame:
 
     Rows of empty files have two empty arrays; see is_empty.
     """
-    lines = F.filter(F.split("content", "\r?\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(F.replace(c("content"), F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.trim(x) != "")
     at = F.transform(c("lines"), lambda x: x.contains(SEPARATOR))
     split = files.select("file", lines.alias("lines")).withColumn("at", F.array_position(at, True).cast("int"))
     plain = lambda part: F.filter(part, lambda x: ~x.contains(SEPARATOR))
@@ -62,16 +62,18 @@ def table_rows(parts: DataFrame, section: str, marker: str, names: list[str]) ->
     """
     starts = F.transform(c(section), lambda x: x.startswith(marker))
     at = F.array_position(starts, True).cast("int")
-    # Rows are read by the CSV parser field by field: the header's place of each name differs between versions.
-    body = parts.select("file", F.element_at(c(section), F.when(at > 0, at)).alias("header"), F.slice(c(section), at + 1, F.size(section)).alias("rows")).where(c("header").isNotNull())
-    rows = body.select("file", F.split("header", ",").alias("heads"), F.posexplode("rows").alias("seq", "row"))
+    # The header's place of each name differs between versions. Missing headers give no rows, as null arrays, without a filter, which would be pushed below the lines' splitting and repeat it.
+    body = parts.select("file", F.element_at(c(section), F.when(at > 0, at)).alias("header"), F.when(at > 0, F.slice(c(section), at + 1, F.size(section))).alias("rows"))
+    rows = body.select("file", F.transform(F.split("header", ","), lambda h: F.trim(h)).alias("heads"), F.posexplode_outer("rows").alias("seq", "row")).where(c("row").isNotNull())
     commas = lambda s: F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))
     padded = F.concat("row", F.repeat(F.lit(","), F.greatest(F.size("heads") - 1 - commas(c("row")), F.lit(0))))
     wide = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(48)])
-    read = rows.select("file", "seq", "heads", F.from_csv(padded, wide.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"mode": "PERMISSIVE"}).alias("v"))
+    # Only rows with quotes need the CSV parser; others are split at their commas.
+    quoted = c("row").contains('"') | c("row").contains("\0")
+    read = rows.select("file", "seq", "heads", padded.alias("row"), F.when(quoted, F.from_csv(padded, wide.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"mode": "PERMISSIVE"})).alias("v"))
+    fields = F.when(c("v").isNotNull(), F.array(*(c(f"v.f{i}") for i in range(48)))).otherwise(F.split("row", ","))
     # Filters on the fields would be pushed below the parsing and repeat it for each field; they stay above a generator.
-    parsed = F.struct(F.transform("heads", lambda h: F.trim(h)).alias("heads"), F.array(*(c(f"v.f{i}") for i in range(48))).alias("v"))
-    values = read.select("file", "seq", F.explode(F.array(parsed)).alias("x")).select("file", "seq", "x.heads", "x.v")
+    values = read.select("file", "seq", F.explode(F.array(F.struct("heads", fields.alias("v")))).alias("x")).select("file", "seq", "x.heads", "x.v")
 
     def field(name: str) -> Column:
         place = F.array_position("heads", name).cast("int")
