@@ -1,9 +1,8 @@
-"""Map matching: a hidden Markov model over a cell index and a table of bounded shortest ways.
+"""Map matching: a hidden Markov model over a cell index and bounded shortest ways.
 
-Every step is a join or a group of bounded size. Points meet the ways of their grid cells only; pairs of
-candidates of neighbouring points are looked up in shortest ways of at most WAY_METRES, which are searched cell by cell among the
-edges of the cell and its neighbours; and the Viterbi recursion reads a ride's points as a sorted stream and keeps one
-number for each candidate of a piece. Nothing is collected, and no task holds more of the network than nine cells.
+Rides are dealt by the tile of their first point in portions of about PORTION points. A portion meets the arcs of the cells of its points and
+those within WAY_METRES of them, and its candidates are found, its moves scored and its rides decoded there, for all of its rides at once. So neither candidates nor moves are
+rows of a shuffle, nothing is collected, and a task holds one portion and the arcs around it.
 
 The model: a candidate's log-chance is -(metres / SIGMA)^2 / 2, a step's -|way - crow| / BETA, where the way runs along the network and the crow flies
 between the points. Ways are added up in whole micrometres, shares of edges and scores rounded to SHARE_DIGITS and SCORE_DIGITS digits. Of equal ways the one with the
@@ -15,6 +14,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.geo import haversine, line_position
+from ..functions.geo import EARTH_M, M_PER_DEGREE, line_position
 from .components import ready_to_checkpoint
-from .spatial import points_near_lines, steps
+from .spatial import CELL_RADII, line_cells, points_near_lines, steps
 
 c = F.col
 SIGMA, BETA, REACH, WAY_METRES, SCORE_DIGITS, SHARE_DIGITS = 10.0, 30.0, 60.0, 500.0, 6, 9
 MICRO = 1_000_000
+#: Points that are decoded together, and their moves that are scored at once.
+PORTION, MOVES = 20_000, 1_000_000
 
 
 def micrometres(metres: Column) -> Column:
@@ -36,16 +38,20 @@ def micrometres(metres: Column) -> Column:
 
 
 def directed(edges: DataFrame) -> DataFrame:
-    """edge_id, ahead, source, target, length (micrometres) and the source's place (lon, lat): a row for each way in which an edge may be ridden.
+    """edge_id, ahead, source, target, length (micrometres) the source's place (lon, lat) and the edge's line: a row for each way in which an edge may be ridden.
 
     edges: edge_id, from_node, to_node, metres, forward, backward, line (from from_node to to_node).
     """
     first, last, length = F.element_at("line", 1), F.element_at("line", -1), micrometres(c("metres"))
-    shared = lambda ahead, a, b, at: ["edge_id", F.lit(ahead).alias("ahead"), c(a).alias("source"), c(b).alias("target"), length.alias("length"), at["lon"].alias("lon"), at["lat"].alias("lat")]
+    shared = lambda ahead, a, b, at: ["edge_id", F.lit(ahead).alias("ahead"), c(a).alias("source"), c(b).alias("target"), length.alias("length"), at["lon"].alias("lon"), at["lat"].alias("lat"), "line"]
     usable = edges.where(F.size("line") >= 2)
     return usable.where("forward").select(*shared(True, "from_node", "to_node", first)).unionByName(usable.where("backward").select(*shared(False, "to_node", "from_node", last)))
 
 
+def _cell(dx: float, dy: float) -> Column:
+    return F.struct(F.floor(c("lon") / dx).cast("long").alias("x"), F.floor(c("lat") / dy).cast("long").alias("y"))
+
+
 def candidates(points: DataFrame, edges: DataFrame, reach: float = REACH) -> DataFrame:
     """ride_id, n, lat, lon, edge_id, ahead, source, target, length, metres and share: the directed edges within reach of each point.
 
@@ -75,15 +81,20 @@ def _ways_from(arcs: dict, start: int, goals: set, most: int) -> Iterator[tuple]
                 heapq.heappush(queue, (length + size, (*edges, edge), target))
 
 
+def _node_cells(arcs: DataFrame, metres: float) -> DataFrame:
+    """node and x, y of its grid cell of that size."""
+    dx, dy = steps(metres)
+    return arcs.groupBy(c("source").alias("node")).agg(F.min(F.floor(c("lon") / dx)).cast("long").alias("x"), F.min(F.floor(c("lat") / dy)).cast("long").alias("y"))
+
+
 def bounded_ways(pairs: DataFrame, edges: DataFrame, metres: float = WAY_METRES) -> DataFrame:
     """source, target, length (micrometres) and edges of the shortest way of each distinct pair (source, target), where one of at most so many metres exists.
 
     Nodes lie in grid cells of that size; a cell's sources are searched among the edges that start in it or a
     neighbouring cell, which hold all ways of that length, as no edge is shorter than the crow flies.
     """
-    dx, dy = steps(metres)
     arcs = directed(edges)
-    at = arcs.groupBy(c("source").alias("node")).agg(F.min(F.floor(c("lon") / dx)).cast("long").alias("x"), F.min(F.floor(c("lat") / dy)).cast("long").alias("y"))
+    at = _node_cells(arcs, metres)
     wanted = pairs.select("source", "target").distinct().join(at.withColumnRenamed("node", "source"), "source")
     around = lambda k: F.explode(F.sequence(c(k) - 1, c(k) + 1))
     spread = arcs.join(at.withColumnRenamed("node", "source"), "source").select("edge_id", "source", "target", "length", around("x").alias("x"), "y").withColumn("y", around("y"))
@@ -105,48 +116,218 @@ def bounded_ways(pairs: DataFrame, edges: DataFrame, metres: float = WAY_METRES)
     return wanted.groupBy("x", "y").cogroup(spread.groupBy("x", "y")).applyInPandas(search, schema)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
+def portions(points: DataFrame, metres: float, most: int = PORTION) -> DataFrame:
+    """points (ride_id, lat, lon, ts) as ride_id, n, lat, lon and the tile and portion of their ride.
 
+    A ride's tile is the grid cell of its first point. The tiles of more than `most` points are broadcast, at most one for each so many points.
+    """
+    dx, dy = steps(metres)
+    located = points.where("lat is not null and lon is not null").select("ride_id", "lat", "lon", "ts")
+    order = Window.partitionBy("ride_id").orderBy("ts", "lat", "lon")
+    placed = located.select("ride_id", "lat", "lon", F.row_number().over(order).alias("n"), F.first(_cell(dx, dy)).over(order).alias("tile"))
+    first = located.groupBy("ride_id").agg(F.min(F.struct("ts", "lat", "lon")).alias("p"), F.count("*").alias("size")).select("p.lon", "p.lat", "size")
+    crowded = first.groupBy(_cell(dx, dy).alias("tile")).agg(F.sum("size").alias("size")).where(c("size") > most).select("tile", F.ceil(c("size") / most).alias("parts"))
+    return placed.join(F.broadcast(crowded), "tile", "left").withColumn("portion", F.pmod(F.xxhash64("ride_id"), F.coalesce("parts", F.lit(1)))).drop("parts")
 
-def best_paths(rows: Iterator[tuple], digits: int = SCORE_DIGITS) -> Iterator[tuple]:
-    """ride, n, the chosen candidate and the one before it in its piece (None at its start), from rows (ride, n, candidates, their scores, moves).
 
-    Rows are sorted by ride and n; moves are (candidate before, candidate, score). A piece starts at a ride's first
-    point and wherever no move leads to a point. A piece's points come last first.
-    """
-    ride, piece, scores = None, [], []  # piece: n, candidates and the best candidate before each
-
-    def chosen():
-        at = min((i for i, s in enumerate(scores) if s is not None), key=lambda i: (-scores[i], i), default=None)
-        for k in range(len(piece) - 1, -1, -1):
-            n, own, backs = piece[k]
-            before = backs[at] if k else None
-            yield ride, n, own[at], piece[k - 1][1][before] if k else None
-            at = before
-
-    for one, n, own, chances, moves in rows:
-        best: list[tuple | None] = [None] * len(own)
-        if one == ride:
-            for m in moves or ():
-                i, j, score = m["i"], m["j"], m["score"]
-                if scores[i] is not None:
-                    here = (-round(scores[i] + score + chances[j], digits), i)
-                    if best[j] is None or here < best[j]:
-                        best[j] = here
-        if any(best):
-            scores = [b and -b[0] for b in best]
-            piece.append((n, own, [b and b[1] for b in best]))
-        else:
-            yield from chosen()
-            ride, piece, scores = one, [(n, own, [])], [round(x, digits) for x in chances]
-    yield from chosen()
-
-
-def _straight(a: Column, b: Column) -> Column:
-    """Whether the ride goes on along one directed edge."""
-    return (a["edge_id"] == b["edge_id"]) & (a["ahead"] == b["ahead"]) & (b["share"] >= a["share"])
+def arcs_around(placed: DataFrame, edges: DataFrame, reach: float, metres: float) -> DataFrame:
+    """near_tile, near_portion and the arcs (edge_id, ahead, source, target, length, line) that ways of at most so many metres from a portion's candidates may take."""
+    dx, dy = steps(CELL_RADII * reach)
+    arcs = directed(edges)
+    at = _node_cells(arcs, metres)
+    ends = edges.where(F.size("line") >= 2).withColumn("cell", F.explode(line_cells(c("line"), dx, dy, reach))).select("cell", F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
+    squares = ends.join(at, "node").select("cell", "x", "y").distinct()
+    used = placed.select(c("tile").alias("near_tile"), c("portion").alias("near_portion"), _cell(dx, dy).alias("cell")).distinct().join(squares, "cell").select("near_tile", "near_portion", "x", "y").distinct()
+    around = lambda k: F.explode(F.sequence(c(k) - 1, c(k) + 1)).alias(k)
+    needed = used.select("near_tile", "near_portion", around("x"), "y").select("near_tile", "near_portion", "x", around("y")).distinct()
+    return needed.join(arcs.join(at.withColumnRenamed("node", "source"), "source"), ["x", "y"]).select("near_tile", "near_portion", "edge_id", "ahead", "source", "target", "length", "line")
+
+
+def _first_best(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The number of the first largest value of each run (none is empty)."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    best = np.repeat(np.maximum.reduceat(values, starts), np.diff(np.append(starts, len(values))))
+    return np.minimum.reduceat(np.where(values == best, np.arange(len(values)), len(values)), starts)
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... of each run of those sizes."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _in_cells(lon: np.ndarray, lat: np.ndarray, legs: list[np.ndarray], arc: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a point and an arc with a leg (lon, lat, lon, lat; arc: whose) whose box, grown by the reach, meets the point's grid cell; sorted by point and arc."""
+    dx, dy = steps(CELL_RADII * reach)
+    high = reach / M_PER_DEGREE * (1 + 1e-9)
+    narrow = [np.maximum(np.abs(np.cos(np.radians(x))) - np.radians(high), 0.01) for x in (legs[1], legs[3])]
+    wide = high / np.minimum(*narrow)
+    floor = lambda x, size: np.floor(x / size).astype(np.int64)
+    x0, x1 = floor(np.minimum(legs[0], legs[2]) - wide, dx), floor(np.maximum(legs[0], legs[2]) + wide, dx)
+    y0, y1 = floor(np.minimum(legs[1], legs[3]) - high, dy), floor(np.maximum(legs[1], legs[3]) + high, dy)
+    cells, which = np.unique(np.stack([floor(lon, dx), floor(lat, dy)]), axis=1, return_inverse=True)
+    # The cells of points are sorted by x and y, so a leg meets a run of them in each column.
+    columns = np.unique(cells[0])
+    low, top = np.searchsorted(columns, x0), np.searchsorted(columns, x1, "right")
+    leg = np.repeat(np.arange(len(arc)), top - low)
+    column = np.repeat(low, top - low) + _within(top - low)
+    span = int(cells[1].max() - cells[1].min()) + 3
+    key = np.searchsorted(columns, cells[0]) * span + cells[1] - cells[1].min() + 1
+    bound = lambda y: column * span + np.clip(y[leg] - cells[1].min() + 1, 0, span - 1)
+    start, end = np.searchsorted(key, bound(y0)), np.searchsorted(key, bound(y1), "right")
+    met = np.unique((np.repeat(start, end - start) + _within(end - start)) * (arc.max(initial=0) + 1) + np.repeat(arc[leg], end - start))
+    cell, arc = np.divmod(met, arc.max(initial=0) + 1)
+    n, which = np.bincount(cell, minlength=cells.shape[1]), which.reshape(-1)
+    size = n[which]
+    at = np.repeat((np.cumsum(n) - n)[which], size) + _within(size)
+    return np.repeat(np.arange(len(lon)), size), arc[at]
+
+
+class Portion:
+    """The points of a portion's rides that have an arc in reach, sorted by ride and n, with the arcs in reach as candidates, and all arcs around them."""
+
+    def __init__(self, points: pa.Table, arcs: pa.Table, sigma: float, beta: float, reach: float, most: int, digits: int):
+        points, whole = points.sort_by([("ride_id", "ascending"), ("n", "ascending")]), lambda column: column.combine_chunks()
+        self.beta, self.most, self.digits = beta, most, digits
+        # Arcs in the order of their edges' ids, forward first; equal ways are told apart by these ids, too.
+        arcs = arcs.sort_by([("edge_id", "ascending"), ("ahead", "descending")])
+        values = arcs["edge_id"].to_pylist()
+        self.ids = sorted(set(values))
+        rank = {x: i for i, x in enumerate(self.ids)}
+        edge = np.array([rank[x] for x in values], np.int64)
+        nodes = pa.chunked_array([whole(arcs["source"]), whole(arcs["target"])]).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        source, target = np.split(nodes, 2)
+        length, self.nodes = arcs["length"].to_numpy(), int(nodes.max(initial=0)) + 1
+        self.arcs: dict = {}
+        for u, v, size, e in zip(source.tolist(), target.tolist(), length.tolist(), edge.tolist(), strict=True):
+            self.arcs.setdefault(u, []).append((v, size, e))
+        self.ways: dict = {}
+        lat, lon = points["lat"].to_numpy(), points["lon"].to_numpy()
+        point, arc, away, share = self.near(lon, lat, whole(arcs["line"]), reach)
+        ahead = arcs["ahead"].to_numpy()[arc]
+        kept, point = np.unique(point, return_inverse=True)
+        points, lat, lon = points.take(pa.array(kept)), np.radians(lat[kept]), np.radians(lon[kept])
+        self.ride = whole(points["ride_id"])
+        rides = self.ride.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        self.new = np.append(True, rides[1:] != rides[:-1])[: len(rides)]  # the first points of rides
+        self.size = np.bincount(point, minlength=len(kept))
+        self.start = np.cumsum(self.size) - self.size
+        share = np.round(share, SHARE_DIGITS)
+        self.share = np.where(ahead, share, np.round(1 - share, SHARE_DIGITS))
+        self.chance = -(away / sigma) * (away / sigma) / 2
+        self.edge, self.turned, self.length = edge[arc], ~ahead, length[arc].astype(np.float64)
+        self.source, self.target = source[arc], target[arc]
+        h = np.sin(np.diff(lat) / 2) ** 2 + np.cos(lat[:-1]) * np.cos(lat[1:]) * np.sin(np.diff(lon) / 2) ** 2
+        self.crow = np.append(0.0, 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(1, h))))
+
+    @staticmethod
+    def near(lon: np.ndarray, lat: np.ndarray, lines: pa.Array, reach: float) -> tuple[np.ndarray, ...]:
+        """Points and arcs within reach of each other, their distance and the share of the line before the nearest place, in a flat projection at the point."""
+        vertices, counts = lines.flatten(), lines.value_lengths().to_numpy()
+        x, y = (vertices.field(k).to_numpy(zero_copy_only=False) for k in ("lon", "lat"))
+        legs = counts - 1
+        of = np.repeat(np.arange(len(counts)), legs)
+        a = np.repeat(np.cumsum(counts) - counts, legs) + _within(legs)
+        point, arc = _in_cells(lon, lat, [x[a], y[a], x[a + 1], y[a + 1]], of, reach)
+        first, made = np.cumsum(legs) - legs, []
+        sizes = np.cumsum(legs[arc])
+        low = 0
+        while low < len(point):
+            high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + MOVES)))
+            p, e = point[low:high], arc[low:high]
+            k = legs[e]
+            at, q = a[np.repeat(first[e], k) + _within(k)], np.repeat(p, k)
+            kx = np.cos(np.radians(lat[q])) * M_PER_DEGREE
+            ax, ay, bx, by = (x[at] - lon[q]) * kx, (y[at] - lat[q]) * M_PER_DEGREE, (x[at + 1] - lon[q]) * kx, (y[at + 1] - lat[q]) * M_PER_DEGREE
+            dx, dy = bx - ax, by - ay
+            size = dx * dx + dy * dy
+            t = np.where(size > 0, np.clip(-(ax * dx + ay * dy) / np.where(size > 0, size, 1), 0, 1), 0.0)
+            away, long = np.hypot(ax + t * dx, ay + t * dy), np.sqrt(size)
+            starts = np.cumsum(k) - k
+            total = np.add.reduceat(long, starts)
+            done = np.cumsum(long) - long
+            best = _first_best(-away, starts)
+            gone = done[best] - done[starts] + t[best] * long[best]
+            share = np.where(total > 0, gone / np.where(total > 0, total, 1), 0.0)
+            ok = away[best] <= reach
+            made.append((p[ok], e[ok], away[best][ok], share[ok]))
+            low = high
+        return tuple(np.concatenate(v) for v in zip(*made, strict=True)) if made else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The lengths of the ways between nodes, infinite beyond the limit."""
+        codes, which = np.unique(a * self.nodes + b, return_inverse=True)
+        pairs = list(zip((codes // self.nodes).tolist(), (codes % self.nodes).tolist(), strict=True))
+        goals: dict = {}
+        for pair in pairs:
+            if pair not in self.ways:
+                self.ways[pair] = (np.inf, None)
+                goals.setdefault(pair[0], set()).add(pair[1])
+        for start, ends in goals.items():
+            for end, length, edges in _ways_from(self.arcs, start, ends, self.most):
+                self.ways[start, end] = (length, edges)
+        return np.array([self.ways[x][0] for x in pairs], np.float64)[which]
+
+    def straight(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether a ride goes on along one directed edge."""
+        return (self.edge[a] == self.edge[b]) & (self.turned[a] == self.turned[b]) & (self.share[b] >= self.share[a])
+
+    def moves(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates before and at these points, by the latter, and the scores of the moves between them (negatively infinite without a way)."""
+        size = self.size[at - 1] * self.size[at]
+        k = _within(size)
+        before = np.repeat(self.size[at - 1], size)
+        a, b = np.repeat(self.start[at - 1], size) + k % before, np.repeat(self.start[at], size) + k // before
+        on = self.straight(a, b)
+        ridden = (self.share[b] - self.share[a]) * self.length[b]
+        x, y = a[~on], b[~on]
+        ridden[~on] = (1 - self.share[x]) * self.length[x] + self.between(self.target[x], self.source[y]) + self.share[y] * self.length[y]
+        return a, b, -np.abs(ridden / MICRO - np.repeat(self.crow[at], size)) / self.beta
+
+    def chosen(self) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen candidate of each point, and whether a piece begins there: at a ride's first point and wherever no move leads to."""
+        n = len(self.size)
+        place = _within(np.diff(np.append(np.flatnonzero(self.new), n)))
+        order = np.argsort(place, kind="stable")
+        ends = np.cumsum(np.bincount(place))
+        score, back, begins = np.round(self.chance, self.digits), np.full(len(self.chance), -1), self.new.copy()
+        for low, high in zip(ends[:-1], ends[1:], strict=True):
+            waiting = order[low:high]
+            while len(waiting):
+                sizes = np.cumsum(self.size[waiting - 1] * self.size[waiting])
+                at, waiting = np.split(waiting, [max(1, int(np.searchsorted(sizes, MOVES)))])
+                a, b, step = self.moves(at)
+                total = np.round(score[a] + step + self.chance[b], self.digits)
+                runs = np.append(True, b[1:] != b[:-1]).nonzero()[0]
+                best = _first_best(total, runs)
+                led = np.isfinite(total[best])
+                ahead = np.maximum.reduceat(led, np.cumsum(self.size[at]) - self.size[at])
+                begins[at[~ahead]] = True
+                goes = np.repeat(ahead, self.size[at])
+                score[b[runs[goes]]] = total[best[goes]]
+                back[b[runs[goes]]] = a[best[goes]]
+        pick = _first_best(score, self.start)
+        for low, high in zip(ends[-2::-1], ends[:0:-1], strict=True):
+            at = order[low:high]
+            at = at[~begins[at]]
+            pick[at - 1] = back[pick[at]]
+        return pick, begins
+
+    def edges(self) -> Iterator[list]:
+        """The edges of each ride in order."""
+        pick, begins = self.chosen()
+        on = np.append(False, self.straight(pick[:-1], pick[1:])) & ~begins
+        now: list = []
+        for k, (new, first, same, edge) in enumerate(zip(self.new.tolist(), begins.tolist(), on.tolist(), self.edge[pick].tolist(), strict=True)):
+            if new and k:
+                yield now
+                now = []
+            if not same:
+                way = [] if first else self.ways[int(self.target[pick[k - 1]]), int(self.source[pick[k]])][1]
+                for e in (*way, edge):
+                    if not now or now[-1] != self.ids[e]:
+                        now.append(self.ids[e])
+        yield now
 
 
 def match_rides(points: DataFrame, edges: DataFrame, sigma: float = SIGMA, beta: float = BETA, reach: float = REACH, way_metres: float = WAY_METRES) -> DataFrame:
@@ -156,48 +337,19 @@ def match_rides(points: DataFrame, edges: DataFrame, sigma: float = SIGMA, beta:
     way_metres leads on, the match goes on with a new piece. A ride without any edge in reach has no edges. Repeated edges that follow each other count once.
     """
     ready_to_checkpoint(points.sparkSession)
-    order = Window.partitionBy("ride_id").orderBy("ts", "lat", "lon")
-    placed = points.where("lat is not null and lon is not null").select("ride_id", "lat", "lon", F.row_number().over(order).alias("n"))
-    found = candidates(placed, edges, reach)
-    one = F.struct("edge_id", (~c("ahead")).alias("turned"), "ahead", "source", "target", "length", "share", "metres")
-    grouped = found.groupBy("ride_id", "n").agg(F.sort_array(F.collect_list(one)).alias("own"), F.min("lat").alias("lat"), F.min("lon").alias("lon"))
-    row = Window.partitionBy("ride_id").orderBy("n")
-    before = {k: F.lag(k).over(row) for k in ("own", "lat", "lon")}
-    states = grouped.withColumns({"crow": haversine(before["lat"], before["lon"], c("lat"), c("lon")), "before": before["own"]}).checkpoint()
-    moves = states.where("before is not null").select("ride_id", "n", "crow", "own", F.posexplode("before").alias("i", "a")).select("ride_id", "n", "crow", "i", "a", F.posexplode("own").alias("j", "b"))
-    moves = moves.withColumn("straight", _straight(c("a"), c("b"))).withColumns({"source": F.when(~c("straight"), c("a.target")), "target": F.when(~c("straight"), c("b.source"))})
-    ways = bounded_ways(moves.where("not straight"), edges, way_metres).checkpoint()
-    known = moves.join(ways.select("source", "target", c("length").alias("between")), ["source", "target"], "left")
-    ridden = F.when(c("straight"), (c("b.share") - c("a.share")) * c("b.length")).otherwise((1 - c("a.share")) * c("a.length") + c("between") + c("b.share") * c("b.length"))
-    scored = known.withColumn("score", -F.abs(ridden / MICRO - c("crow")) / beta).where("score is not null")
-    into = scored.groupBy("ride_id", "n").agg(F.sort_array(F.collect_list(F.struct("i", "j", "score"))).alias("moves"))
-    away = lambda x: -(x["metres"] / sigma) * (x["metres"] / sigma) / 2
-    chain = states.join(into, ["ride_id", "n"], "left").select("ride_id", "n", F.transform("own", lambda x: F.struct(x["edge_id"], x["ahead"], x["source"], x["target"], x["share"])).alias("own"), F.transform("own", away).alias("chances"), "moves")
-    kind = {k: edges.schema[k].dataType for k in ("edge_id", "from_node")} | {"ride_id": points.schema["ride_id"].dataType}
-    fields = {"ride_id": kind["ride_id"], "n": T.IntegerType(), "edge_id": kind["edge_id"], "first": T.BooleanType(), "source": kind["from_node"], "target": kind["from_node"]}
-    schema = T.StructType([T.StructField(k, v) for k, v in fields.items()])
-    arrow = to_arrow_schema(schema)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def steps_of(rows):
-            for ride, n, here, last in best_paths(rows):
-                on = last is not None and last["edge_id"] == here["edge_id"] and last["ahead"] == here["ahead"] and here["share"] >= last["share"]
-                if not on:
-                    yield ride, n, here["edge_id"], last is None, last and last["target"], last and here["source"]
-
-        held: list[tuple] = []
-        for step in steps_of(_rows(batches)):
-            held.append(step)
-            if len(held) >= 10_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(fields, x, strict=True)) for x in held], schema=arrow)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_pylist([dict(zip(fields, x, strict=True)) for x in held], schema=arrow)
-
-    steps_taken = chain.repartition("ride_id").sortWithinPartitions("ride_id", "n").mapInArrow(decode, schema)
-    whole = steps_taken.join(ways.select("source", "target", "edges"), ["source", "target"], "left")
-    part = F.when(c("first"), F.array("edge_id")).otherwise(F.concat("edges", F.array("edge_id")))
-    joined = whole.groupBy("ride_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("n", part.alias("part")))), lambda x: x["part"])).alias("all"))
-    once = F.filter("all", lambda x, i: (i == 0) | (x != F.element_at("all", F.greatest(i, F.lit(1)))))
+    placed = portions(points, way_metres, PORTION)
+    arcs = arcs_around(placed, edges, reach, way_metres)
+    schema = T.StructType([T.StructField("ride_id", points.schema["ride_id"].dataType), T.StructField("edge_ids", T.ArrayType(edges.schema["edge_id"].dataType))])
+    arrow, most, digits = to_arrow_schema(schema), int(round(way_metres * MICRO)), SCORE_DIGITS
+
+    def decode(points: pa.Table, arcs: pa.Table) -> pa.Table:
+        if not points.num_rows or not arcs.num_rows:
+            return arrow.empty_table()
+        portion = Portion(points, arcs, sigma, beta, reach, most, digits)
+        if not len(portion.ride):
+            return arrow.empty_table()
+        return pa.table([portion.ride.filter(pa.array(portion.new)), pa.array(portion.edges(), arrow.field("edge_ids").type)], schema=arrow)
+
+    joined = placed.groupBy("tile", "portion").cogroup(arcs.groupBy("near_tile", "near_portion")).applyInArrow(decode, schema)
     rides = points.select("ride_id").distinct()
-    return rides.join(joined.select("ride_id", once.alias("edge_ids")), "ride_id", "left").select("ride_id", F.coalesce("edge_ids", F.array().cast(T.ArrayType(kind["edge_id"]))).alias("edge_ids"))
+    return rides.join(joined, "ride_id", "left").select("ride_id", F.coalesce("edge_ids", F.array().cast(schema["edge_ids"].dataType)).alias("edge_ids"))

@@ -175,3 +175,19 @@ def test_nearest_in_group(spark):
         if own:
             want[g, k] = min(own)[2]
     assert got == want
+
+
+def test_portions_and_moves_change_nothing(spark, monkeypatch):
+    """Rides dealt in small portions, their moves scored a few at a time, match as in one portion; no candidate or move is a row of its own."""
+    rows, rnd = grid(12, 9), random.Random(5)
+    points = [(f"r{k % 20}", 52.5 + rnd.random() * 0.008, 13.4 + rnd.random() * 0.016, k) for k in range(160)]
+    points += [(f"s{k}", 52.5 + t * 0.0009, 13.4 + k * 0.0015 + 0.0001, t) for k in range(5) for t in range(6)]
+    df, edges = spark.createDataFrame(points, POINTS), frame(spark, rows)
+    matched = lambda: {r.ride_id: r.edge_ids for r in M.match_rides(df, edges).collect()}
+    whole = matched()
+    plan = M.match_rides(df, edges)._jdf.queryExecution().toString()
+    assert "posexplode" not in plan and len(whole) == 25 and all(whole[f"s{k}"] for k in range(5))
+    monkeypatch.setattr(M, "MOVES", 7)
+    monkeypatch.setattr(M, "PORTION", 10)
+    parts = M.portions(df, M.WAY_METRES, 10).select("tile", "portion").distinct().count()
+    assert parts > 5 and matched() == whole
