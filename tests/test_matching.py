@@ -191,3 +191,16 @@ def test_portions_and_moves_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(M, "PORTION", 10)
     parts = M.portions(df, M.WAY_METRES, 10).select("tile", "portion").distinct().count()
     assert parts > 5 and matched() == whole
+
+
+def test_pending_rides_in_small_portions(spark, monkeypatch):
+    """Pending rides matched in small portions are those matched in one."""
+    from kerbline.operators.rides import match_pending
+
+    rows, rnd = grid(12, 9), random.Random(6)
+    points = [(f"r{k}", t, 52.5 + (k % 8) * 0.0009 + rnd.uniform(-1e-4, 1e-4), 13.4 + t * 0.0015 + 0.0007, t * 1000 + 1) for k in range(12) for t in range(9)]
+    df, edges = spark.createDataFrame(points, "ride_id string, seq long, lat double, lon double, ts long"), frame(spark, rows)
+    done = lambda: sorted((r.ride_id, r.status, r.edge_ids, [tuple(x) for x in r.traversals]) for r in match_pending(df, edges).collect())
+    whole = done()
+    monkeypatch.setattr(M, "PORTION", 20)
+    assert len(whole) == 12 and done() == whole
