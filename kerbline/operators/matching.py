@@ -1,8 +1,8 @@
 """Map matching: a hidden Markov model over a cell index and bounded shortest ways.
 
-Rides are dealt by the tile of their first point in portions of about PORTION points. A portion meets the arcs of the cells of its points and
-those within WAY_METRES of them, and its candidates are found, its moves scored and its rides decoded there, for all of its rides at once. So neither candidates nor moves are
-rows of a shuffle, nothing is collected, and a task holds one portion and the arcs around it.
+A ride is one row with its points. Rides are dealt by the tile of their first point in portions of about PORTION points. A portion meets the arcs of the cells of its points and
+those within WAY_METRES of them, and its candidates are found, its moves scored and its rides decoded there, for all of its rides at once. So neither candidates nor moves nor
+ridden edges are rows of a shuffle (points are, twice), nothing is collected, and a task holds one portion and the arcs around it.
 
 The model: a candidate's log-chance is -(metres / SIGMA)^2 / 2, a step's -|way - crow| / BETA, where the way runs along the network and the crow flies
 between the points. Ways are added up in whole micrometres, shares of edges and scores rounded to SHARE_DIGITS and SCORE_DIGITS digits. Of equal ways the one with the
@@ -12,7 +12,7 @@ smaller edge ids counts (compared from the start), of equal scores the candidate
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,13 +24,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.geo import EARTH_M, M_PER_DEGREE, line_position
 from .components import ready_to_checkpoint
-from .spatial import CELL_RADII, line_cells, points_near_lines, steps
+from .spatial import CELL_RADII, RINGS, line_cells, points_near_lines, steps
 
 c = F.col
 SIGMA, BETA, REACH, WAY_METRES, SCORE_DIGITS, SHARE_DIGITS = 10.0, 30.0, 60.0, 500.0, 6, 9
 MICRO = 1_000_000
 #: Points that are decoded together, and their moves that are scored at once.
 PORTION, MOVES = 20_000, 1_000_000
+#: Points that are so many metres farther away than the nearest one may still be as near, to the micrometre.
+NEARLY = 1e-5
 
 
 def micrometres(metres: Column) -> Column:
@@ -38,20 +40,16 @@ def micrometres(metres: Column) -> Column:
 
 
 def directed(edges: DataFrame) -> DataFrame:
-    """edge_id, ahead, source, target, length (micrometres) the source's place (lon, lat) and the edge's line: a row for each way in which an edge may be ridden.
+    """edge_id, ahead, source, target, length (micrometres), metres, the source's place (lon, lat) and the edge's line: a row for each way in which an edge may be ridden.
 
     edges: edge_id, from_node, to_node, metres, forward, backward, line (from from_node to to_node).
     """
     first, last, length = F.element_at("line", 1), F.element_at("line", -1), micrometres(c("metres"))
-    shared = lambda ahead, a, b, at: ["edge_id", F.lit(ahead).alias("ahead"), c(a).alias("source"), c(b).alias("target"), length.alias("length"), at["lon"].alias("lon"), at["lat"].alias("lat"), "line"]
+    shared = lambda ahead, a, b, at: ["edge_id", F.lit(ahead).alias("ahead"), c(a).alias("source"), c(b).alias("target"), length.alias("length"), "metres", at["lon"].alias("lon"), at["lat"].alias("lat"), "line"]
     usable = edges.where(F.size("line") >= 2)
     return usable.where("forward").select(*shared(True, "from_node", "to_node", first)).unionByName(usable.where("backward").select(*shared(False, "to_node", "from_node", last)))
 
 
-def _cell(dx: float, dy: float) -> Column:
-    return F.struct(F.floor(c("lon") / dx).cast("long").alias("x"), F.floor(c("lat") / dy).cast("long").alias("y"))
-
-
 def candidates(points: DataFrame, edges: DataFrame, reach: float = REACH) -> DataFrame:
     """ride_id, n, lat, lon, edge_id, ahead, source, target, length, metres and share: the directed edges within reach of each point.
 
@@ -116,31 +114,61 @@ def bounded_ways(pairs: DataFrame, edges: DataFrame, metres: float = WAY_METRES)
     return wanted.groupBy("x", "y").cogroup(spread.groupBy("x", "y")).applyInPandas(search, schema)
 
 
-def portions(points: DataFrame, metres: float, most: int = PORTION) -> DataFrame:
-    """points (ride_id, lat, lon, ts) as ride_id, n, lat, lon and the tile and portion of their ride.
+def ride_rows(points: DataFrame, *more: str) -> DataFrame:
+    """ride_id and points: a row for each ride with its located points (ts, lat, lon and `more`) in that order."""
+    place = F.when(c("lat").isNotNull() & c("lon").isNotNull(), F.struct("ts", "lat", "lon", *more))
+    return points.groupBy("ride_id").agg(F.sort_array(F.collect_list(place)).alias("points"))
+
+
+def dealt(rides: DataFrame, metres: float, most: int = PORTION) -> DataFrame:
+    """rides (ride_id and points, at least one) with their tile and portion, by which they are partitioned.
 
     A ride's tile is the grid cell of its first point. The tiles of more than `most` points are broadcast, at most one for each so many points.
     """
-    dx, dy = steps(metres)
-    located = points.where("lat is not null and lon is not null").select("ride_id", "lat", "lon", "ts")
-    order = Window.partitionBy("ride_id").orderBy("ts", "lat", "lon")
-    placed = located.select("ride_id", "lat", "lon", F.row_number().over(order).alias("n"), F.first(_cell(dx, dy)).over(order).alias("tile"))
-    first = located.groupBy("ride_id").agg(F.min(F.struct("ts", "lat", "lon")).alias("p"), F.count("*").alias("size")).select("p.lon", "p.lat", "size")
-    crowded = first.groupBy(_cell(dx, dy).alias("tile")).agg(F.sum("size").alias("size")).where(c("size") > most).select("tile", F.ceil(c("size") / most).alias("parts"))
-    return placed.join(F.broadcast(crowded), "tile", "left").withColumn("portion", F.pmod(F.xxhash64("ride_id"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    (dx, dy), first = steps(metres), F.get("points", F.lit(0))
+    placed = rides.withColumn("tile", F.struct(F.floor(first["lon"] / dx).cast("long").alias("x"), F.floor(first["lat"] / dy).cast("long").alias("y")))
+    crowded = placed.groupBy("tile").agg(F.sum(F.size("points")).alias("size")).where(c("size") > most).select("tile", F.ceil(c("size") / most).alias("parts"))
+    portion = F.pmod(F.xxhash64("ride_id"), F.coalesce("parts", F.lit(1)))
+    return placed.join(F.broadcast(crowded), "tile", "left").select("ride_id", "points", "tile", portion.alias("portion")).repartition("tile", "portion")
+
+
+def portions(points: DataFrame, metres: float, most: int = PORTION) -> DataFrame:
+    """The rides of points (ride_id, lat, lon, ts) that have a located point, dealt."""
+    return dealt(ride_rows(points).where(F.size("points") > 0), metres, most)
+
+
+def _cells_of(placed: DataFrame, dx: float, dy: float) -> DataFrame:
+    """near_tile, near_portion and the distinct cells of its points.
+
+    Batches pass whole, so that the shuffle of placed is the one that the decoding reads, too.
+    """
+    kinds = placed.schema
+    schema = T.StructType([T.StructField("near_tile", kinds["tile"].dataType), T.StructField("near_portion", kinds["portion"].dataType), T.StructField("cell", kinds["tile"].dataType)])
+    arrow = to_arrow_schema(schema)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = batch.column("points")
+            of, flat = np.repeat(np.arange(len(points)), points.value_lengths().to_numpy()), points.flatten()
+            x, y = (np.floor(flat.field(k).to_numpy() / size).astype(np.int64) for k, size in (("lon", dx), ("lat", dy)))
+            of, x, y = np.unique(np.stack([of, x, y]), axis=1)
+            cell = pa.StructArray.from_arrays([pa.array(x), pa.array(y)], fields=list(arrow.field("cell").type))
+            yield pa.RecordBatch.from_arrays([batch.column("tile").take(pa.array(of)), batch.column("portion").take(pa.array(of)), cell], schema=arrow)
+
+    return placed.mapInArrow(cells, schema).distinct()
 
 
 def arcs_around(placed: DataFrame, edges: DataFrame, reach: float, metres: float) -> DataFrame:
-    """near_tile, near_portion and the arcs (edge_id, ahead, source, target, length, line) that ways of at most so many metres from a portion's candidates may take."""
+    """near_tile, near_portion and the arcs (edge_id, ahead, source, target, length, metres, line) that ways of at most so many metres from a portion's candidates may take."""
     dx, dy = steps(CELL_RADII * reach)
     arcs = directed(edges)
     at = _node_cells(arcs, metres)
     ends = edges.where(F.size("line") >= 2).withColumn("cell", F.explode(line_cells(c("line"), dx, dy, reach))).select("cell", F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
     squares = ends.join(at, "node").select("cell", "x", "y").distinct()
-    used = placed.select(c("tile").alias("near_tile"), c("portion").alias("near_portion"), _cell(dx, dy).alias("cell")).distinct().join(squares, "cell").select("near_tile", "near_portion", "x", "y").distinct()
+    used = _cells_of(placed, dx, dy).join(squares, "cell").select("near_tile", "near_portion", "x", "y").distinct()
     around = lambda k: F.explode(F.sequence(c(k) - 1, c(k) + 1)).alias(k)
     needed = used.select("near_tile", "near_portion", around("x"), "y").select("near_tile", "near_portion", "x", around("y")).distinct()
-    return needed.join(arcs.join(at.withColumnRenamed("node", "source"), "source"), ["x", "y"]).select("near_tile", "near_portion", "edge_id", "ahead", "source", "target", "length", "line")
+    return needed.join(arcs.join(at.withColumnRenamed("node", "source"), "source"), ["x", "y"]).select("near_tile", "near_portion", "edge_id", "ahead", "source", "target", "length", "metres", "line")
 
 
 def _first_best(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -183,11 +211,62 @@ def _in_cells(lon: np.ndarray, lat: np.ndarray, legs: list[np.ndarray], arc: np.
     return np.repeat(np.arange(len(lon)), size), arc[at]
 
 
+def _apart(lat: np.ndarray, lon: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """Great-circle metres between places in radians."""
+    h = np.sin((lat2 - lat) / 2) ** 2 + np.cos(lat) * np.cos(lat2) * np.sin((lon2 - lon) / 2) ** 2
+    return 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(1, h)))
+
+
+def near_points(at: np.ndarray, lon: np.ndarray, lat: np.ndarray, of: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a place (ride `at`, lon, lat) and a point (ride `of`, x, y) of its ride that is no more than NEARLY farther away than the nearest; sorted by place.
+
+    A place meets the points of its cell and the eight around it, first in small cells, as in spatial.nearest_in_group; the last cells hold whole rides.
+    """
+    left, made, top = np.arange(len(at)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))], min(float(np.abs(y).max(initial=0)) + 1, 89.0)
+    for metres in (*RINGS, None):
+        dx, dy = steps(metres, top) if metres else (1e9, 1e9)
+        cell = lambda v, size, low: np.floor(v / size).astype(np.int64) - low
+        low_x, low_y = cell(x, dx, 0).min(initial=0), cell(y, dy, 0).min(initial=0)
+        px, py = cell(x, dx, low_x), cell(y, dy, low_y)
+        wide, high = int(px.max(initial=0)) + 1, int(py.max(initial=0)) + 1
+        keys = (of * wide + px) * high + py
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        # The points of three cells above each other are one run.
+        column, row = cell(lon[left], dx, low_x)[:, None] + np.array([-1, 0, 1]), cell(lat[left], dy, low_y)[:, None]
+        inside = (column >= 0) & (column < wide) & (row + 1 >= 0) & (row - 1 < high)
+        base = (at[left][:, None] * wide + column) * high
+        start = np.searchsorted(keys, base + np.clip(row - 1, 0, high - 1))
+        size = np.where(inside, np.searchsorted(keys, base + np.clip(row + 1, 0, high - 1), "right") - start, 0)
+        sums, done, first = np.cumsum(size.sum(axis=1)), np.zeros(len(left), bool), 0
+        while first < len(left):
+            end = max(first + 1, int(np.searchsorted(sums, (sums[first - 1] if first else 0) + MOVES)))
+            k = size[first:end].ravel()
+            which = np.repeat(np.arange(first, end), size[first:end].sum(axis=1))
+            point, place = order[np.repeat(start[first:end].ravel(), k) + _within(k)], left[which]
+            away = _apart(*(np.radians(v) for v in (lat[place], lon[place], y[point], x[point])))
+            best = np.full(len(left), np.inf)
+            runs = np.flatnonzero(np.append(True, which[1:] != which[:-1])[: len(which)])
+            if len(runs):
+                best[which[runs]] = np.minimum.reduceat(away, runs)
+            sure = np.isfinite(best) & (best <= (metres * (1 - 1e-6) if metres else np.inf))
+            done |= sure
+            kept = sure[which] & (away <= best[which] + NEARLY)
+            made.append((place[kept], point[kept]))
+            first = end
+        left = left[~done]
+    place, point = (np.concatenate(v) for v in zip(*made, strict=True))
+    order = np.argsort(place, kind="stable")
+    return place[order], point[order]
+
+
 class Portion:
     """The points of a portion's rides that have an arc in reach, sorted by ride and n, with the arcs in reach as candidates, and all arcs around them."""
 
-    def __init__(self, points: pa.Table, arcs: pa.Table, sigma: float, beta: float, reach: float, most: int, digits: int):
-        points, whole = points.sort_by([("ride_id", "ascending"), ("n", "ascending")]), lambda column: column.combine_chunks()
+    def __init__(self, rides: pa.Table, arcs: pa.Table, sigma: float, beta: float, reach: float, most: int, digits: int):
+        whole = lambda column: column.combine_chunks()
+        lists = whole(rides["points"])
+        self.rides, self.points, self.of = len(lists), lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
         self.beta, self.most, self.digits = beta, most, digits
         # Arcs in the order of their edges' ids, forward first; equal ways are told apart by these ids, too.
         arcs = arcs.sort_by([("edge_id", "ascending"), ("ahead", "descending")])
@@ -195,6 +274,7 @@ class Portion:
         self.ids = sorted(set(values))
         rank = {x: i for i, x in enumerate(self.ids)}
         edge = np.array([rank[x] for x in values], np.int64)
+        self.table, self.arc = arcs, np.unique(edge, return_index=True)[1]  # an arc of each edge
         nodes = pa.chunked_array([whole(arcs["source"]), whole(arcs["target"])]).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
         source, target = np.split(nodes, 2)
         length, self.nodes = arcs["length"].to_numpy(), int(nodes.max(initial=0)) + 1
@@ -202,14 +282,12 @@ class Portion:
         for u, v, size, e in zip(source.tolist(), target.tolist(), length.tolist(), edge.tolist(), strict=True):
             self.arcs.setdefault(u, []).append((v, size, e))
         self.ways: dict = {}
-        lat, lon = points["lat"].to_numpy(), points["lon"].to_numpy()
+        lat, lon = (self.points.field(k).to_numpy() for k in ("lat", "lon"))
         point, arc, away, share = self.near(lon, lat, whole(arcs["line"]), reach)
         ahead = arcs["ahead"].to_numpy()[arc]
         kept, point = np.unique(point, return_inverse=True)
-        points, lat, lon = points.take(pa.array(kept)), np.radians(lat[kept]), np.radians(lon[kept])
-        self.ride = whole(points["ride_id"])
-        rides = self.ride.dictionary_encode(null_encoding="encode").indices.to_numpy()
-        self.new = np.append(True, rides[1:] != rides[:-1])[: len(rides)]  # the first points of rides
+        lat, lon, self.ride = np.radians(lat[kept]), np.radians(lon[kept]), self.of[kept]
+        self.new = np.append(True, self.ride[1:] != self.ride[:-1])[: len(self.ride)]  # the first points of rides
         self.size = np.bincount(point, minlength=len(kept))
         self.start = np.cumsum(self.size) - self.size
         share = np.round(share, SHARE_DIGITS)
@@ -217,8 +295,7 @@ class Portion:
         self.chance = -(away / sigma) * (away / sigma) / 2
         self.edge, self.turned, self.length = edge[arc], ~ahead, length[arc].astype(np.float64)
         self.source, self.target = source[arc], target[arc]
-        h = np.sin(np.diff(lat) / 2) ** 2 + np.cos(lat[:-1]) * np.cos(lat[1:]) * np.sin(np.diff(lon) / 2) ** 2
-        self.crow = np.append(0.0, 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(1, h))))
+        self.crow = np.append(0.0, _apart(lat[:-1], lon[:-1], lat[1:], lon[1:]))
 
     @staticmethod
     def near(lon: np.ndarray, lat: np.ndarray, lines: pa.Array, reach: float) -> tuple[np.ndarray, ...]:
@@ -313,21 +390,70 @@ class Portion:
             pick[at - 1] = back[pick[at]]
         return pick, begins
 
-    def edges(self) -> Iterator[list]:
-        """The edges of each ride in order."""
+    def edges(self) -> list[list[int]]:
+        """The numbers of each ride's edges in order."""
+        ridden: list = [[] for _ in range(self.rides)]
+        if not len(self.ride):
+            return ridden
         pick, begins = self.chosen()
         on = np.append(False, self.straight(pick[:-1], pick[1:])) & ~begins
-        now: list = []
-        for k, (new, first, same, edge) in enumerate(zip(self.new.tolist(), begins.tolist(), on.tolist(), self.edge[pick].tolist(), strict=True)):
-            if new and k:
-                yield now
-                now = []
+        for k, (ride, first, same, edge) in enumerate(zip(self.ride.tolist(), begins.tolist(), on.tolist(), self.edge[pick].tolist(), strict=True)):
+            now = ridden[ride]
             if not same:
                 way = [] if first else self.ways[int(self.target[pick[k - 1]]), int(self.source[pick[k]])][1]
                 for e in (*way, edge):
-                    if not now or now[-1] != self.ids[e]:
-                        now.append(self.ids[e])
-        yield now
+                    if not now or now[-1] != e:
+                        now.append(e)
+        return ridden
+
+    def traversed(self, ride: np.ndarray, edge: np.ndarray, kind: pa.DataType) -> pa.StructArray:
+        """Rides' edges in order as match_traversals has them."""
+        arc = self.arc[edge]
+        column = lambda k: self.table[k].combine_chunks()
+        ends = pa.chunked_array([column("source"), column("target")]).combine_chunks().dictionary_encode().indices.to_numpy()
+        a, b = ends[arc], ends[arc + self.table.num_rows]
+        ahead = column("ahead").to_numpy(zero_copy_only=False)[arc]
+        a, b = np.where(ahead, a, b), np.where(ahead, b, a)
+        goes_on = ride[1:] == ride[:-1]
+        after, before = np.append(goes_on, False), np.append(False, goes_on)
+        nexts, lasts = [np.append(v[1:], -1) for v in (a, b)], [np.append(-1, v[:-1]) for v in (a, b)]
+        holds = lambda ends, node: (ends[0] == node) | (ends[1] == node)
+        turned = np.where(after, holds(nexts, a) & ~holds(nexts, b), before & holds(lasts, b) & ~holds(lasts, a))
+        once = np.zeros(len(edge), bool)
+        once[np.unique(np.stack([ride, edge]), axis=1, return_index=True)[1]] = True
+        lines, line = column("line"), pa.array(arc)
+        count = lines.value_lengths().to_numpy()
+        middle = (np.cumsum(count) - count)[arc] + np.where(turned, count[arc] - 1 - count[arc] // 2, count[arc] // 2)
+        x, y = (lines.flatten().field(k).to_numpy(zero_copy_only=False)[middle[once]] for k in ("lon", "lat"))
+        place, point = near_points(ride[once], x, y, self.of, *(self.points.field(k).to_numpy() for k in ("lon", "lat")))
+        sizes = np.zeros(len(edge), np.int64)
+        sizes[once] = np.bincount(place, minlength=int(once.sum()))
+        near = kind.field("near").type
+        made = {"edge_id": column("edge_id").take(line), "metres": column("metres").take(line), "line": lines.take(line), "turned": pa.array(turned), "once": pa.array(once)}
+        made["near"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), self.points.take(pa.array(point)).cast(near.value_type), type=near)
+        return pa.StructArray.from_arrays([made[f.name].cast(f.type) for f in kind], fields=list(kind))
+
+
+def _decoded(rides: DataFrame, edges: DataFrame, found: T.StructField, make: Callable[[Portion, np.ndarray, np.ndarray, pa.DataType], pa.Array], sigma: float, beta: float, reach: float, way_metres: float) -> DataFrame:
+    """ride_id and what `make` finds of each ride, an array, from its portion; rides: ride_id and points, at least one."""
+    placed = dealt(rides, way_metres, PORTION)
+    arcs = arcs_around(placed, edges, reach, way_metres)
+    schema = T.StructType([rides.schema["ride_id"], found])
+    arrow, most, digits = to_arrow_schema(schema), int(round(way_metres * MICRO)), SCORE_DIGITS
+
+    def decode(rides: pa.Table, arcs: pa.Table) -> pa.Table:
+        if not rides.num_rows or not arcs.num_rows:
+            return arrow.empty_table()
+        portion = Portion(rides, arcs, sigma, beta, reach, most, digits)
+        ridden, kind = portion.edges(), arrow.field(found.name).type
+        sizes = np.array([len(x) for x in ridden])
+        edge = np.array([e for x in ridden for e in x], np.int64)
+        values = make(portion, np.repeat(np.arange(len(ridden)), sizes), edge, kind.value_type)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values, type=kind)
+        some = pa.array(sizes > 0)
+        return pa.table([rides["ride_id"].combine_chunks().filter(some), lists.filter(some)], schema=arrow)
+
+    return placed.groupBy("tile", "portion").cogroup(arcs.groupBy("near_tile", "near_portion")).applyInArrow(decode, schema)
 
 
 def match_rides(points: DataFrame, edges: DataFrame, sigma: float = SIGMA, beta: float = BETA, reach: float = REACH, way_metres: float = WAY_METRES) -> DataFrame:
@@ -337,19 +463,20 @@ def match_rides(points: DataFrame, edges: DataFrame, sigma: float = SIGMA, beta:
     way_metres leads on, the match goes on with a new piece. A ride without any edge in reach has no edges. Repeated edges that follow each other count once.
     """
     ready_to_checkpoint(points.sparkSession)
-    placed = portions(points, way_metres, PORTION)
-    arcs = arcs_around(placed, edges, reach, way_metres)
-    schema = T.StructType([T.StructField("ride_id", points.schema["ride_id"].dataType), T.StructField("edge_ids", T.ArrayType(edges.schema["edge_id"].dataType))])
-    arrow, most, digits = to_arrow_schema(schema), int(round(way_metres * MICRO)), SCORE_DIGITS
+    ids = T.ArrayType(edges.schema["edge_id"].dataType)
+    numbers = lambda portion, _, edge, kind: pa.array([portion.ids[e] for e in edge.tolist()], kind)
+    rides = ride_rows(points).where("ride_id is not null and size(points) > 0")
+    joined = _decoded(rides, edges, T.StructField("edge_ids", ids), numbers, sigma, beta, reach, way_metres)
+    return points.select("ride_id").distinct().join(joined, "ride_id", "left").select("ride_id", F.coalesce("edge_ids", F.array().cast(ids)).alias("edge_ids"))
 
-    def decode(points: pa.Table, arcs: pa.Table) -> pa.Table:
-        if not points.num_rows or not arcs.num_rows:
-            return arrow.empty_table()
-        portion = Portion(points, arcs, sigma, beta, reach, most, digits)
-        if not len(portion.ride):
-            return arrow.empty_table()
-        return pa.table([portion.ride.filter(pa.array(portion.new)), pa.array(portion.edges(), arrow.field("edge_ids").type)], schema=arrow)
 
-    joined = placed.groupBy("tile", "portion").cogroup(arcs.groupBy("near_tile", "near_portion")).applyInArrow(decode, schema)
-    rides = points.select("ride_id").distinct()
-    return rides.join(joined, "ride_id", "left").select("ride_id", F.coalesce("edge_ids", F.array().cast(schema["edge_ids"].dataType)).alias("edge_ids"))
+def match_traversals(rides: DataFrame, edges: DataFrame, sigma: float = SIGMA, beta: float = BETA, reach: float = REACH, way_metres: float = WAY_METRES) -> DataFrame:
+    """ride_id and traversals (edge_id, metres, line, turned, once and near, ordered) of the rides that match an edge, as match_rides matches them.
+
+    rides: ride_id and points (see ride_rows), at least one. turned: whether the edge is ridden against its line, by the edges beside it; once: whether it is the
+    edge's first ride; then near has the ride's points that may be the nearest to the middle vertex of the line as ridden: all that are, to the micrometre, and few others.
+    """
+    kinds = edges.schema
+    fields = [T.StructField(k, kinds[k].dataType) for k in ("edge_id", "metres", "line")] + [T.StructField(k, T.BooleanType()) for k in ("turned", "once")]
+    found = T.StructField("traversals", T.ArrayType(T.StructType([*fields, T.StructField("near", rides.schema["points"].dataType)])))
+    return _decoded(rides, edges, found, lambda portion, ride, edge, kind: portion.traversed(ride, edge, kind), sigma, beta, reach, way_metres)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.geo import bearing, compass, haversine, legs, line_line_metres, overlap_ratio, stitch
+from .components import ready_to_checkpoint
 from .filters import valid_position
-from .graph import match_rides, ready_to_checkpoint
+from .matching import match_traversals, ride_rows
 from .spatial import box_cells, nearest_in_group, same_cells
 
 c = F.col
@@ -111,28 +112,26 @@ def match_pending(points: DataFrame, edges: DataFrame) -> DataFrame:
     traversals: edge_id, bearing (first to last vertex, null without length) and ts of the point nearest to the
     middle vertex, for each edge at its first ride, in order.
     """
-    ready_to_checkpoint(points.sparkSession)
-    located = usable_points(points)
-    skip = ride_ends(located).where("located >= 2").select("ride_id", (haversine(c("first.lat"), c("first.lon"), c("last.lat"), c("last.lon")) < LEAST_METRES).alias("skip"))
-    kept = located.join(skip.where(~c("skip")), "ride_id", "left_semi")
-    # Matched once: what follows reads the result several times.
-    matched = match_rides(kept, edges).where(F.size("edge_ids") > 0).checkpoint()
-    ridden = matched.select("ride_id", F.posexplode("edge_ids").alias("at", "edge_id")).join(edges.select("edge_id", "metres", "line", F.array("from_node", "to_node").alias("ends")), "edge_id")
-    order = Window.partitionBy("ride_id").orderBy("at")
-    beside = ridden.withColumns({"after": F.lead("ends").over(order), "before": F.lag("ends").over(order)})
-    holds = lambda ends, node: F.exists(ends, lambda e: e == node)
-    start, end = c("ends")[0], c("ends")[1]
-    turned = F.when(c("after").isNotNull(), holds("after", start) & ~holds("after", end)).otherwise(F.coalesce(holds("before", end) & ~holds("before", start), F.lit(False)))
-    steps = beside.select("ride_id", "at", "edge_id", "metres", F.when(turned, F.reverse("line")).otherwise(c("line")).alias("line"))
-    whole = steps.groupBy("ride_id").agg(F.sum("metres").alias("actual_distance"), F.array_sort(F.collect_list(F.struct("at", "edge_id", "line"))).alias("parts"))
-    p, q = F.element_at("line", 1), F.element_at("line", -1)
-    way = F.when((p["lat"] != q["lat"]) | (p["lon"] != q["lon"]), compass(bearing(p["lat"], p["lon"], q["lat"], q["lon"])))
-    first = steps.groupBy("ride_id", "edge_id").agg(F.min("at").alias("at"), F.min_by("line", "at").alias("line"))
-    timed = first.join(_nearest_times(first.select("ride_id", "edge_id", middle_vertex(c("line")).alias("m")), points), ["ride_id", "edge_id"], "left")
-    traversals = timed.groupBy("ride_id").agg(F.array_sort(F.collect_list(F.struct("at", "edge_id", way.alias("bearing"), "ts"))).alias("traversals"))
-    placed = whole.select("ride_id", F.lit("PENDING").alias("status"), "actual_distance", F.transform("parts", lambda x: x["edge_id"]).alias("edge_ids"), stitch(F.transform("parts", lambda x: x["line"])).alias("trajectory"))
-    done = placed.join(traversals, "ride_id").withColumn("traversals", F.transform("traversals", lambda x: F.struct(x["edge_id"], x["bearing"], x["ts"])))
-    return done.unionByName(skip.where("skip").select("ride_id", F.lit("SKIPPED").alias("status")), allowMissingColumns=True)
+    rides = ride_rows(usable_points(points), "seq").where(F.size("points") >= 2)
+    first = F.array_min(F.transform("points", lambda p: F.struct(p["ts"], p["seq"], p["lat"].alias("lat"), p["lon"].alias("lon"))))
+    last = F.array_max(F.transform("points", lambda p: F.struct(p["ts"], -p["seq"], p["lat"].alias("lat"), p["lon"].alias("lon"))))
+    skip = haversine(first["lat"], first["lon"], last["lat"], last["lon"]) < LEAST_METRES
+    matched = match_traversals(rides.where(c("ride_id").isNotNull() & ~skip), edges)
+    as_ridden = F.transform("traversals", lambda x: F.struct(x["edge_id"].alias("edge_id"), x["metres"].alias("metres"), F.when(x["turned"], F.reverse(x["line"])).otherwise(x["line"]).alias("line"), x["once"].alias("once"), x["near"].alias("near")))
+    ridden = matched.select("ride_id", as_ridden.alias("parts"))
+
+    def traversal(x):
+        p, q, m = F.element_at(x["line"], 1), F.element_at(x["line"], -1), middle_vertex(x["line"])
+        way = F.when((p["lat"] != q["lat"]) | (p["lon"] != q["lon"]), compass(bearing(p["lat"], p["lon"], q["lat"], q["lon"])))
+        nearest = F.array_min(F.transform(x["near"], lambda t: F.struct(F.round(haversine(m["lat"], m["lon"], t["lat"], t["lon"]), 6), t["seq"], t["ts"].alias("ts"))))
+        return F.struct(x["edge_id"].alias("edge_id"), way.alias("bearing"), nearest["ts"].alias("ts"))
+
+    done = ridden.select(
+        "ride_id", F.lit("PENDING").alias("status"), F.aggregate("parts", F.lit(0.0), lambda sum_, x: sum_ + x["metres"]).alias("actual_distance"),
+        F.transform("parts", lambda x: x["edge_id"]).alias("edge_ids"), stitch(F.transform("parts", lambda x: x["line"])).alias("trajectory"),
+        F.transform(F.filter("parts", lambda x: x["once"]), traversal).alias("traversals"),
+    )
+    return done.unionByName(rides.where(skip).select("ride_id", F.lit("SKIPPED").alias("status")), allowMissingColumns=True)
 
 
 def apart_edges(rides: DataFrame, edges: DataFrame, source: str, reference: str, way: str) -> DataFrame:

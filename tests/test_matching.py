@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 
 from kerbline.functions import geo as G
@@ -204,3 +205,33 @@ def test_pending_rides_in_small_portions(spark, monkeypatch):
     whole = done()
     monkeypatch.setattr(M, "PORTION", 20)
     assert len(whole) == 12 and done() == whole
+
+
+@pytest.mark.parametrize("moves", [7, 1_000_000])
+def test_near_points_hold_the_nearest(monkeypatch, moves):
+    monkeypatch.setattr(M, "MOVES", moves)
+    rng = np.random.default_rng(3)
+    spread = 10.0 ** -rng.integers(0, 5, 300)
+    of, x, y = rng.integers(0, 6, 300), 13.4 + rng.uniform(-1, 1, 300) * spread, 52.5 + rng.uniform(-1, 1, 300) * spread
+    of, x, y = np.append(of, of[:40]), np.append(x, x[:40]), np.append(y, y[:40])  # points that are as near as others
+    at, lon, lat = rng.integers(0, 7, 80), 13.4 + rng.uniform(-2, 2, 80) * spread[:80], 52.5 + rng.uniform(-2, 2, 80) * spread[:80]
+    at, lon, lat = np.append(at, of[:40]), np.append(lon, x[:40]), np.append(lat, y[:40])
+    place, point = M.near_points(at, lon, lat, of, x, y)
+    assert (np.diff(place) >= 0).all()
+    for k in range(len(at)):
+        away = {i: metres((lon[k], lat[k]), (x[i], y[i])) for i in np.flatnonzero(of == at[k]).tolist()}
+        near = {i for i in away if away[i] <= min(away.values()) + 1e-6}
+        found = point[place == k].tolist()
+        assert near <= set(found) and len(set(found)) == len(found) and all(away[i] <= min(away.values()) + 2e-5 for i in found)
+    assert all(len(v) == 0 for v in M.near_points(at[:0], lon[:0], lat[:0], of, x, y))
+
+
+def test_pending_rides_are_rows_of_rides(spark):
+    """Neither ridden edges nor single points are rows after the rides are gathered."""
+    from kerbline.operators.rides import match_pending
+
+    points = [("a", k, 52.5, 13.4 + 0.0007 * k, k) for k in range(12)]
+    done = match_pending(spark.createDataFrame(points, "ride_id string, seq long, lat double, lon double, ts long"), frame(spark, grid(12, 9)))
+    plan = done._jdf.queryExecution().toString()
+    assert "posexplode" not in plan and "Window" not in plan and "seq" in plan
+    assert [r.ride_id for r in done.collect()] == ["a"]
