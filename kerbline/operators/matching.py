@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.geo import EARTH_M, M_PER_DEGREE, line_position
 from .components import ready_to_checkpoint
-from .spatial import CELL_RADII, RINGS, line_cells, points_near_lines, steps
+from .spatial import CELL_RADII, RINGS, line_cells, points_near_lines, sorted_join, steps
 
 c = F.col
 SIGMA, BETA, REACH, WAY_METRES, SCORE_DIGITS, SHARE_DIGITS = 10.0, 30.0, 60.0, 500.0, 6, 9
@@ -163,12 +163,15 @@ def arcs_around(placed: DataFrame, edges: DataFrame, reach: float, metres: float
     dx, dy = steps(CELL_RADII * reach)
     arcs = directed(edges)
     at = _node_cells(arcs, metres)
-    ends = edges.where(F.size("line") >= 2).withColumn("cell", F.explode(line_cells(c("line"), dx, dy, reach))).select("cell", F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
-    squares = ends.join(at, "node").select("cell", "x", "y").distinct()
-    used = _cells_of(placed, dx, dy).join(squares, "cell").select("near_tile", "near_portion", "x", "y").distinct()
+    cells = _cells_of(placed, dx, dy)
+    ends = edges.where(F.size("line") >= 2).select(F.array("from_node", "to_node").alias("nodes"), F.explode(line_cells(c("line"), dx, dy, reach)).alias("cell"))
+    touched = sorted_join(ends, cells.select("cell").distinct(), "cell", "left_semi").select("cell", F.explode("nodes").alias("node")).distinct()
+    squares = sorted_join(touched, at, "node").select("cell", "x", "y").distinct()
+    used = sorted_join(cells, squares, "cell").select("near_tile", "near_portion", "x", "y").distinct()
     around = lambda k: F.explode(F.sequence(c(k) - 1, c(k) + 1)).alias(k)
     needed = used.select("near_tile", "near_portion", around("x"), "y").select("near_tile", "near_portion", "x", around("y")).distinct()
-    return needed.join(arcs.join(at.withColumnRenamed("node", "source"), "source"), ["x", "y"]).select("near_tile", "near_portion", "edge_id", "ahead", "source", "target", "length", "metres", "line")
+    there = sorted_join(arcs, at.withColumnRenamed("node", "source"), "source")
+    return sorted_join(needed, there, ["x", "y"]).select("near_tile", "near_portion", "edge_id", "ahead", "source", "target", "length", "metres", "line")
 
 
 def _first_best(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
