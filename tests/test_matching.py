@@ -235,3 +235,10 @@ def test_pending_rides_are_rows_of_rides(spark):
     plan = done._jdf.queryExecution().toString()
     assert "posexplode" not in plan and "Window" not in plan and "seq" in plan
     assert [r.ride_id for r in done.collect()] == ["a"]
+
+
+def test_joins_around_the_network_are_sorted(spark):
+    """The network is never broadcast, however small Spark takes it to be; only crowded tiles are."""
+    placed = M.portions(spark.createDataFrame([("a", 52.5, 13.4, 1)], POINTS), M.WAY_METRES)
+    plan = M.arcs_around(placed, frame(spark, grid()).where("edge_id < 5"), M.REACH, M.WAY_METRES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 5 and plan.count("BroadcastHashJoin") == 2  # placed is read twice
