@@ -28,15 +28,22 @@ _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_r
 
 
 def _ride_files(r: Ride) -> DataFrame:
-    text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    # Rows are gathered as their few columns, and lines made of them afterwards, as a line is several times as long.
+    columns = [*_ORDER.split(", "), "l_orderkey", "code"]
     rows = r.table("lineitem").withColumn("code", F.expr(_CODE))
-    bits = [F.when(c("l_partkey") % (i + 2) == 0, "1").otherwise("0") for i in range(10)]
-    incident = F.concat_ws(",", text(c("l_linenumber")), text(c("l_quantity")), F.lit("13.4"), text(c("l_partkey") * 1000), F.when(c("l_linenumber") > 1, text(c("l_orderkey") % 9)).otherwise(""), text((c("l_orderkey") % 2)), F.lit("0"), text(c("l_orderkey") % 8), text(c("code")), *bits[:9], F.when(c("l_returnflag") == "R", "1").otherwise("0"), F.lit('"a, b"'), bits[9])
-    located = c("l_linenumber") % 4 != 0
-    point = F.concat_ws(",", F.when(located, text(c("l_discount") + 52)).otherwise(""), F.when(located, text(c("l_tax") + 13)).otherwise(""), F.lit("0.1,0.2,0.3"), text(c("l_suppkey") * 1000), text(c("l_quantity")))
-    parts = rows.groupBy(F.concat(F.lit("VM2_"), c("l_orderkey")).alias("file")).agg(*(F.transform(F.array_sort(F.collect_list(F.struct(*_ORDER.split(", "), x.alias("x")))), lambda y: y["x"]).alias(k) for k, x in (("incidents", incident), ("points", point))))
-    lines = F.concat(F.array(F.lit("app#1"), F.lit(",".join(ridefiles.INCIDENT_COLUMNS))), "incidents", F.array(F.lit(""), F.lit("=" * 25), F.lit("app#1"), F.lit("lat,lon,X,Y,Z,timeStamp,acc")), "points")
-    return parts.select("file", F.array_join(lines, "\r\n").alias("content"))
+    files = rows.groupBy(c("l_orderkey").alias("key")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
+    text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+
+    def incident(x):
+        bits = [F.when(x["l_partkey"] % (i + 2) == 0, "1").otherwise("0") for i in range(10)]
+        return F.concat_ws(",", text(x["l_linenumber"]), text(x["l_quantity"]), F.lit("13.4"), text(x["l_partkey"] * 1000), F.when(x["l_linenumber"] > 1, text(x["l_orderkey"] % 9)).otherwise(""), text((x["l_orderkey"] % 2)), F.lit("0"), text(x["l_orderkey"] % 8), text(x["code"]), *bits[:9], F.when(x["l_returnflag"] == "R", "1").otherwise("0"), F.lit('"a, b"'), bits[9])
+
+    def point(x):
+        located = x["l_linenumber"] % 4 != 0
+        return F.concat_ws(",", F.when(located, text(x["l_discount"] + 52)).otherwise(""), F.when(located, text(x["l_tax"] + 13)).otherwise(""), F.lit("0.1,0.2,0.3"), text(x["l_suppkey"] * 1000), text(x["l_quantity"]))
+
+    lines = F.concat(F.array(F.lit("app#1"), F.lit(",".join(ridefiles.INCIDENT_COLUMNS))), F.transform("rows", incident), F.array(F.lit(""), F.lit("=" * 25), F.lit("app#1"), F.lit("lat,lon,X,Y,Z,timeStamp,acc")), F.transform("rows", point))
+    return files.select(F.concat(F.lit("VM2_"), c("key")).alias("file"), F.array_join(lines, "\r\n").alias("content"))
 
 
 _SEQ = f"concat('VM2_', l_orderkey) AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) - 1 AS seq"

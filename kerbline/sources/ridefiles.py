@@ -64,20 +64,28 @@ def table_rows(parts: DataFrame, section: str, marker: str, names: list[str]) ->
     at = F.array_position(starts, True).cast("int")
     # The header's place of each name differs between versions. Missing headers give no rows, as null arrays, without a filter, which would be pushed below the lines' splitting and repeat it.
     body = parts.select("file", F.element_at(c(section), F.when(at > 0, at)).alias("header"), F.when(at > 0, F.slice(c(section), at + 1, F.size(section))).alias("rows"))
-    rows = body.select("file", F.transform(F.split("header", ","), lambda h: F.trim(h)).alias("heads"), F.posexplode_outer("rows").alias("seq", "row")).where(c("row").isNotNull())
+    # Places are sought once for a file, not for each row.
+    heads = F.transform(F.split("header", ","), lambda h: F.trim(h))
+    place = lambda name: F.array_position("heads", name).cast("int").alias(name)
+    placed = body.select("file", heads.alias("heads"), "rows").select("file", F.size("heads").alias("width"), F.struct(*map(place, names)).alias("places"), "rows")
+    rows = placed.select("file", "width", "places", F.posexplode_outer("rows").alias("seq", "row")).where(c("row").isNotNull())
     commas = lambda s: F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))
-    padded = F.concat("row", F.repeat(F.lit(","), F.greatest(F.size("heads") - 1 - commas(c("row")), F.lit(0))))
-    wide = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(48)])
-    # Only rows with quotes need the CSV parser; others are split at their commas.
-    quoted = c("row").contains('"') | c("row").contains("\0")
-    read = rows.select("file", "seq", "heads", padded.alias("row"), F.when(quoted, F.from_csv(padded, wide.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"mode": "PERMISSIVE"})).alias("v"))
-    fields = F.when(c("v").isNotNull(), F.array(*(c(f"v.f{i}") for i in range(48)))).otherwise(F.split("row", ","))
+    padded = F.concat("row", F.repeat(F.lit(","), F.greatest(c("width") - 1 - commas(c("row")), F.lit(0))))
+    wide = ", ".join(f"f{i} string" for i in range(48))
+    # Rows without quotes are split at their commas, and so are those whose quotes enclose whole fields, the commas within them masked. Only other rows need
+    # the CSV parser. A lambda's variable holds the parsed row: named by a column, the parser would run again for each of its fields.
+    parsed = F.transform(F.array(F.from_csv("row", wide, {"mode": "PERMISSIVE"})), lambda v: F.array(*(v[f"f{i}"] for i in range(48))))
+    runs = F.split(F.concat(F.lit(","), "row", F.lit(",")), '"')
+    torn = F.exists(F.transform(runs, lambda x, i: (i % 2 == 0) & ~(x.startswith(",") & x.endswith(","))), lambda x: x)
+    odd = c("row").contains("\\") | c("row").contains("\0") | c("row").contains("\1") | c("row").contains("\r") | torn
+    masked = F.array_join(F.transform(runs, lambda x, i: F.when(i % 2 == 1, F.translate(x, ",", "\1")).otherwise(x)), "")
+    enclosed = F.transform(F.split(F.substring(masked, F.lit(2), F.length(masked) - 2), ","), lambda x: F.translate(x, "\1", ","))
+    fields = F.when(~c("row").contains('"') & ~c("row").contains("\0"), F.split("row", ",")).when(odd, F.element_at(parsed, 1)).otherwise(enclosed)
     # Filters on the fields would be pushed below the parsing and repeat it for each field; they stay above a generator.
-    values = read.select("file", "seq", F.explode(F.array(F.struct("heads", fields.alias("v")))).alias("x")).select("file", "seq", "x.heads", "x.v")
+    values = rows.select("file", "seq", "places", padded.alias("row")).select("file", "seq", F.explode(F.array(F.struct("places", fields.alias("v")))).alias("x")).select("file", "seq", "x.places", "x.v")
 
     def field(name: str) -> Column:
-        place = F.array_position("heads", name).cast("int")
-        return F.when(place > 0, F.nullif(F.trim(F.get("v", place - 1)), F.lit("")))
+        return F.when(c(f"places.{name}") > 0, F.nullif(F.trim(F.get("v", c(f"places.{name}") - 1)), F.lit("")))
 
     return values.select("file", "seq", *(field(n).alias(n) for n in names))
 
